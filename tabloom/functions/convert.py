@@ -9,34 +9,38 @@ from pyspark.sql import types as T
 from tabloom import types as hub
 from tabloom.functions.dates import to_date, to_datetime, to_time
 from tabloom.functions.display import unix_micros_ntz
-from tabloom.functions.text import is_blank, non_blank, without_controls
+from tabloom.functions.text import has_text, on_trimmed, without_controls
 
-# What counts as a whole or a decimal number when types are inferred.
-INTEGER = r"^-?\d+$"
-LEADING_ZERO = r"^0\d+$"
-DECIMAL = r"^-?\d{1,3}(?:[.,]\d{3})*,\d+$|^-?\d+[.,]\d+$"
+# How whole and decimal numbers start when types are inferred.  A leading zero makes an identifier.
+INTEGER = r"^-?\d++"
+LEADING_ZERO = r"^0\d++"
+DECIMAL = r"^-?(?:\d{1,3}(?:[.,]\d{3})*,\d++|\d++[.,]\d++)"
 DECIMAL_LIMIT = 1e14
 
 
 def to_bigint(value: Column) -> Column:
-    text = non_blank(value)
-    return F.when(text.rlike(INTEGER), text.try_cast("bigint"))
+    return on_trimmed(value, lambda text: F.when(text.rlike(INTEGER + "$"), text.try_cast("bigint")))
 
 
 def to_decimal(value: Column) -> Column:
     """Number whose decimal mark is whichever of ``,`` and ``.`` comes last; the other one groups thousands."""
-    text = non_blank(value)
 
-    def last(mark: str) -> Column:  # 1-based position of the last mark, 0 when there is none
-        return F.length(text) - F.length(F.substring_index(text, mark, -1))
+    def number(text: Column) -> Column:
+        def behind(mark: str) -> Column:  # characters after the last such mark, all of them when there is none
+            return F.length(F.substring_index(text, mark, -1))
 
-    comma_decimal = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    point_decimal = F.replace(text, F.lit(","), F.lit(""))
-    return F.when(last(",") > last("."), comma_decimal).otherwise(point_decimal).try_cast(T.DecimalType(18, 4))
+        def without(mark: str) -> Column:
+            return F.replace(text, F.lit(mark), F.lit(""))
+
+        comma_decimal = F.replace(without("."), F.lit(","), F.lit("."))
+        plain = F.when(behind(".") > behind(","), comma_decimal).otherwise(without(","))
+        return plain.try_cast(T.DecimalType(18, 4))
+
+    return on_trimmed(value, number)
 
 
 def to_text(value: Column) -> Column:
-    return F.when(~is_blank(value), without_controls(value))
+    return F.when(has_text(value), without_controls(value))
 
 
 _CONVERTERS = {

@@ -5,72 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import non_blank
+from tabloom.functions.text import on_trimmed, trimmed
 
-# The accepted spellings.  A time of day may follow a date, with fraction and zone.
+# The accepted spellings, for years from 100 on.  A time of day may follow a date, with fraction and zone.
 TIME_PART = r"(?:[T ]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)?"
-ISO_DATE = rf"^\d{{4}}-\d{{2}}-\d{{2}}{TIME_PART}$"
-SLASH_DATE = rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}{TIME_PART}$"
-CLOCK = r"^\d{1,2}:\d{2}(:\d{2})?$"
-FIRST_YEAR = "0100"
+ISO_DATE = r"^(?!00)\d{4}-\d{2}-\d{2}" + TIME_PART
+SLASH_DATE = r"^\d{1,2}/\d{1,2}/(?!00)\d{4}" + TIME_PART
+CLOCK = r"^\d{1,2}:\d{2}(:\d{2})?"
+VALID_CLOCK = r"^(?:\d|[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?$"
+TIME_START = r"[T ]\d{2}:\d{2}"
 
 
-def _date_and_rest(text: Column) -> tuple[Column, Column]:
-    """Calendar date (NULL unless it exists) and the text that follows it.
+def date_of(text: Column, end: str = "$") -> Column:
+    """Calendar date of a date-like text, NULL when there is no such day.
 
-    ``31/12/2024`` is read day first; month first only where the second number cannot be a month.
+    Between slashes the day comes first.  Where that gives no existing day the month may come first, which can only
+    succeed when the second number is too large for a month.  ``end`` is the pattern of what may follow.
     """
-    iso, slash = text.rlike(ISO_DATE), text.rlike(SLASH_DATE)
-    first, second = F.split_part(text, F.lit("/"), F.lit(1)), F.split_part(text, F.lit("/"), F.lit(2))
-    tail = F.split_part(text, F.lit("/"), F.lit(3))
-    month_first = (F.lpad(first, 2, "0") <= "12") & (F.lpad(second, 2, "0") > "12")
-    day = F.lpad(F.when(month_first, second).otherwise(first), 2, "0")
-    month = F.lpad(F.when(month_first, first).otherwise(second), 2, "0")
-    spelled = F.concat_ws("-", F.substring(tail, 1, 4), month, day)
-    ymd = F.when(iso, F.substring(text, 1, 10)).when(slash, spelled)
-    rest = F.when(iso, F.substr(text, F.lit(11))).otherwise(F.substr(tail, F.lit(5)))
-    return F.when(ymd >= FIRST_YEAR, ymd).try_cast("date"), rest
+    first = F.substring_index(text, "/", 1)
+    second = F.substring_index(F.substring_index(text, "/", 2), "/", -1)
+    year = F.substring(F.substring_index(text, "/", -1), 1, 4)
+    day_first = F.concat_ws("-", year, second, first).try_cast("date")
+    month_first = F.concat_ws("-", year, first, second).try_cast("date")
+    return F.when(text.rlike(ISO_DATE + end), F.substring(text, 1, 10).try_cast("date")).when(
+        text.rlike(SLASH_DATE + end), F.coalesce(day_first, month_first)
+    )
 
 
 def normalize_date(value: Column) -> Column:
     """ISO spelling of a date-like text, time part unchanged; NULL when it is no existing date."""
-    date, rest = _date_and_rest(non_blank(value))
-    return F.when(date.isNotNull(), F.concat(F.date_format(date, "yyyy-MM-dd"), rest))
+    return on_trimmed(
+        value, lambda text: F.concat(date_of(text).cast("string"), F.regexp_extract(text, f"{TIME_PART}$", 0))
+    )
 
 
 def has_time_part(value: Column) -> Column:
     """True for a date-like text that carries a time of day."""
-    date, rest = _date_and_rest(non_blank(value))
-    return F.coalesce(date.isNotNull() & (rest != ""), F.lit(False))
+    return F.coalesce(normalize_date(value).rlike(TIME_START), F.lit(False))
 
 
 def to_date(value: Column) -> Column:
     """Calendar date of a date-like text, time of day dropped."""
-    return _date_and_rest(non_blank(value))[0]
+    return on_trimmed(value, date_of)
 
 
 def to_datetime(value: Column) -> Column:
     """Wall-clock timestamp of a date-like text: zone dropped, cut to milliseconds, midnight when no time is given."""
-    date, rest = _date_and_rest(non_blank(value))
-    clock = F.regexp_extract(rest, r"^[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,3})?)?)", 1)
-    seconds = F.when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock)
-    spelled = F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(" "), F.when(rest == "", "00:00:00").otherwise(seconds))
-    return spelled.try_cast("timestamp_ntz")
+
+    def moment(text: Column) -> Column:
+        clock = F.regexp_extract(text, r"[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,3})?)?)", 1)
+        return F.concat(date_of(text).cast("string"), F.lit(" "), clock).try_cast("timestamp_ntz")
+
+    return on_trimmed(value, moment)
 
 
 def to_time(value: Column) -> Column:
     """``HH:mm:ss`` of a clock text; NULL for hours beyond 23."""
-    text = non_blank(value)
-    parts = [F.split_part(text, F.lit(":"), F.lit(i)) for i in (1, 2, 3)]
-    hour, minute = F.lpad(parts[0], 2, "0"), parts[1]
-    second = F.when(parts[2] == "", "00").otherwise(parts[2])
-    valid = text.rlike(CLOCK) & (hour <= "23") & (minute <= "59") & (second <= "59")
-    return F.when(valid, F.concat_ws(":", hour, minute, second))
+
+    def clock(text: Column) -> Column:
+        size = F.length(text)
+        tens, seconds = F.when(size.isin(4, 7), "0").otherwise(""), F.when(size < 6, ":00").otherwise("")
+        return F.when(text.rlike(VALID_CLOCK), F.concat(tens, text, seconds))
+
+    return on_trimmed(value, clock)
 
 
 def excel_serial(value: Column, sql_type: str) -> Column:
     """ISO text of a spreadsheet serial day number in a date column; any other text is returned as it is."""
-    text = non_blank(value)
+    text = trimmed(value)
     number = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
     millis = F.round((number - 25569) * 86400000).cast("bigint")
     moment = F.timestamp_add("MILLISECOND", millis, F.lit("1970-01-01").cast("timestamp_ntz"))

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import is_blank, without_controls
+from tabloom.functions.text import has_text, without_controls
 
 
-def hash_field(value: Column) -> Column:
-    """One value as it enters the row hash: quoted, quotes doubled, no control character, break or bar."""
+def _clean(value: Column) -> Column:
+    """A value without control characters, breaks and bars, its quotes doubled; blank and NULL alike become empty."""
     text = value.cast("string")
-    clean = F.replace(without_controls(text, also_space="|"), F.lit('"'), F.lit('""'))
-    return F.concat(F.lit('"'), F.when(is_blank(text), "").otherwise(clean), F.lit('"'))
+    plain = F.replace(without_controls(text, also_space="|"), F.lit('"'), F.lit('""'))
+    return F.when(has_text(text), plain).otherwise("")
+
+
+def hash_field(value: Column) -> Column:
+    """One value as it enters the row hash."""
+    return F.concat(F.lit('"'), _clean(value), F.lit('"'))
 
 
 def row_hash(columns: list[Column]) -> Column:
     """32 hex digits that identify the text of a row; column order matters."""
-    return F.md5(F.concat_ws("|", *[hash_field(c) for c in columns]))
+    quoted = F.concat(F.lit('"'), F.concat_ws('"|"', *[_clean(c) for c in columns]), F.lit('"'))
+    return F.md5(quoted)

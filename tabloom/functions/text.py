@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,24 +23,41 @@ LINE_BREAKS = "\n\r\t"
 CONTROLS = "".join(chr(c) for c in [*range(0x20), 0x7F] if chr(c) not in LINE_BREAKS)
 
 
+_SPECIAL = r"[\x00-\x1f\x7f]"
+_BLANK_EDGE = f"^[{BLANKS}]|[{BLANKS}]$"
+
+
 def trimmed(value: Column) -> Column:
     """The value without blanks at either end."""
     return F.btrim(value, F.lit(BLANKS))
 
 
-def non_blank(value: Column) -> Column:
-    """The trimmed value, NULL when nothing is left."""
-    return F.nullif(trimmed(value), F.lit(""))
+def left_trimmed(value: Column) -> Column:
+    """The value without blanks at its start: cheap, and enough for patterns that allow blanks at the end."""
+    return F.ltrim(value, F.lit(BLANKS))
+
+
+def has_text(value: Column) -> Column:
+    """True when a value holds anything but blanks."""
+    return left_trimmed(value) != ""
+
 
+def on_trimmed(value: Column, convert: Callable[[Column], Column]) -> Column:
+    """A conversion of the trimmed value.
 
-def is_blank(value: Column) -> Column:
-    return value.isNull() | (trimmed(value) == "")
+    Few values have blanks at an edge, and trimming costs more than most conversions: the value is converted as it is,
+    and trimmed only when that yields NULL and it has such blanks.
+    """
+    return F.coalesce(convert(value), F.when(value.rlike(_BLANK_EDGE), convert(trimmed(value))))
 
 
 def without_controls(value: Column, also_space: str = "") -> Column:
-    """One pass that drops control characters and turns line breaks (and ``also_space``) into spaces."""
+    """Control characters dropped, line breaks (and ``also_space``) turned into spaces, in one pass over the values that
+    have any."""
     spaced = LINE_BREAKS + also_space
-    return F.translate(value, spaced + CONTROLS, " " * len(spaced))
+    cleaned = F.translate(value, spaced + CONTROLS, " " * len(spaced))
+    special = _SPECIAL[:-1] + also_space + "]"
+    return F.when(value.rlike(special), cleaned).otherwise(value)
 
 
 def _accent_table() -> tuple[str, str]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabloom import types as hub
 from tabloom.functions.convert import convert, convert_source
 from tabloom.functions.hashing import row_hash
-from tabloom.functions.text import is_blank
+from tabloom.functions.text import has_text
 from tabloom.types import ROW_HASH, ColumnSpec
 
 SHOWN_CHARS = 180  # how much of a rejected value the report shows
@@ -43,7 +43,7 @@ def conversion_rejects(df: DataFrame, mapping: list[ColumnSpec], line_column: st
     """Every non-blank value that does not convert: line, column, type and the value."""
     failed = [
         F.when(
-            ~is_blank(df[c.original_name]) & convert(df[c.original_name], c.sql_type).isNull(),
+            has_text(df[c.original_name]) & convert(df[c.original_name], c.sql_type).isNull(),
             F.struct(
                 F.lit(c.sql_name).alias("column_name"),
                 F.lit(c.sql_type).alias("sql_type"),

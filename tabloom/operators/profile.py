@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom import types as hub
 from tabloom.functions import convert, dates
-from tabloom.functions.text import non_blank
+from tabloom.functions.text import BLANKS, left_trimmed
 from tabloom.naming import header_marks_identifier, normalize_headers
 from tabloom.types import ColumnSpec
 
@@ -19,21 +19,25 @@ _TIME_PART, _IDENTIFIER = 16, 32  # one value is enough
 
 
 def _value_bits(text: Column) -> Column:
-    """The properties of one non-blank value as a bit set; NULL for a blank, which aggregates skip."""
-    whole = text.rlike(convert.INTEGER)
-    leading_zero = text.rlike(convert.LEADING_ZERO)
-    number = (
-        F.when(whole & leading_zero, _IDENTIFIER)
-        .when(whole, _INT | _DECIMAL)
-        .when(text.rlike(convert.DECIMAL), _DECIMAL)
-        .otherwise(0)
+    """The properties of one value as a bit set; NULL for a blank, which aggregates skip.
+
+    ``text`` has no blanks at its start and may have some at its end.  Plain character tests decide which shape a value
+    can have at all, so that most values meet one pattern only; text that starts with a letter meets none.
+    """
+    end = f"[{BLANKS}]*$"
+    starts_typed = ((text >= "0") & (text < ":")) | text.startswith("-")
+    is_date = dates.date_of(text, end).isNotNull()
+    timed = F.when(text.rlike(dates.CLOCK + end), _CLOCK).when(is_date, _DATE | _TIME_PART)
+    zero_led = text.startswith("0") & text.rlike(convert.LEADING_ZERO)
+    whole = F.when(zero_led, _IDENTIFIER).otherwise(_INT | _DECIMAL)
+    shape = (
+        F.when(text.contains(":"), timed)
+        .when(text.contains("/"), F.when(is_date, _DATE))
+        .when(text.contains(",") | text.contains("."), F.when(text.rlike(convert.DECIMAL + end), _DECIMAL))
+        .when(text.rlike(convert.INTEGER + end), whole)
+        .when(is_date, _DATE)
     )
-    # NULL unless the value is a date; longer than the ten characters of the date when a time follows.
-    beyond_date = F.length(dates.normalize_date(text)) - 10
-    date = F.coalesce(F.sign(beyond_date).cast("int") * _TIME_PART + _DATE, F.lit(0))
-    moment = F.when(text.rlike(dates.CLOCK), _CLOCK).otherwise(date)
-    # A whole or decimal number is no date and no time; the date patterns run only for what is neither.
-    return F.when(text.isNotNull(), F.when(number != 0, number).otherwise(moment))
+    return F.when(starts_typed, F.coalesce(shape, F.lit(0))).when(text != "", 0)
 
 
 STATS = (
@@ -50,58 +54,53 @@ def column_stats(df: DataFrame) -> DataFrame:
 def _full_stats(df: DataFrame) -> DataFrame:
     """Column statistics with row count and text size.
 
-    Every value is classified once into a bit set; two bitwise aggregates and a few totals per column then answer all
-    questions in one pass with map-side aggregation.
+    Rows are turned into (position, value) pairs, so that one small expression, compiled once, classifies the values of
+    all columns however wide the table is.  Bitwise aggregates by position, combined inside each map task, then answer
+    all questions in one pass; what is shuffled is one row per column and task.
     """
     names = df.columns
-    classified = df.select(
-        *[
-            c
-            for i, name in enumerate(names)
-            for c in (
-                _value_bits(non_blank(df[name])).alias(f"bits_{i}"),
-                F.when(non_blank(df[name]).isNotNull(), F.length(df[name])).alias(f"len_{i}"),
-                F.octet_length(df[name]).alias(f"size_{i}"),
-            )
-        ]
-    )
-    per_column = [
-        (
-            F.count(f"bits_{i}").alias(f"n_{i}"),
-            F.bit_and(f"bits_{i}").alias(f"every_{i}"),
-            F.bit_or(f"bits_{i}").alias(f"some_{i}"),
-            F.max(f"len_{i}").alias(f"max_{i}"),
-            F.sum(f"size_{i}").alias(f"bytes_{i}"),
+    values = df.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in names])).alias("at", "value"))
+    per_column = (
+        values.withColumn("text", left_trimmed(F.col("value")))
+        .withColumn("bits", _value_bits(F.col("text")))
+        .groupBy("at")
+        .agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.count("bits").alias("sample_count"),
+            F.bit_and("bits").alias("every"),
+            F.bit_or("bits").alias("some"),
+            F.max(F.when(F.col("bits").isNotNull(), F.length("value"))).alias("max_len"),
+            F.sum(F.octet_length("value")).alias("text_bytes"),
         )
-        for i in range(len(names))
-    ]
-    totals = classified.agg(F.count(F.lit(1)).alias("row_count"), *[a for aggs in per_column for a in aggs])
-
-    def every(i: int, bit: int) -> Column:
-        return F.coalesce(F.col(f"every_{i}").bitwiseAND(bit) != 0, F.lit(True))
-
-    def some(i: int, bit: int) -> Column:
-        return F.coalesce(F.col(f"some_{i}").bitwiseAND(bit) != 0, F.lit(False))
-
-    rows = [
-        F.struct(
-            F.lit(i + 1).alias("ordinal"),
-            F.lit(name).alias("column_name"),
-            F.col(f"n_{i}").alias("sample_count"),
-            (F.col(f"n_{i}") < F.col("row_count")).alias("has_null"),
-            F.coalesce(F.col(f"max_{i}"), F.lit(0)).cast("bigint").alias("max_len"),
-            every(i, _INT).alias("all_int"),
-            every(i, _DECIMAL).alias("all_decimal"),
-            every(i, _DATE).alias("all_date"),
-            some(i, _TIME_PART).alias("has_time"),
-            every(i, _CLOCK).alias("all_time"),
-            some(i, _IDENTIFIER).alias("looks_identifier"),
-            F.col("row_count").alias("row_count"),
-            F.coalesce(F.col(f"bytes_{i}"), F.lit(0)).alias("text_bytes"),
-        )
-        for i, name in enumerate(names)
-    ]
-    return totals.select(F.inline(F.array(*rows)))
+    )
+    # A table without rows still has columns.
+    columns = df.sparkSession.range(len(names), numPartitions=1).select(F.col("id").cast("int").alias("at"))
+    found = columns.join(F.broadcast(per_column), "at", "left")  # one row per column on either side
+
+    def every(bit: int) -> Column:
+        return F.coalesce(F.col("every").bitwiseAND(bit) != 0, F.lit(True))
+
+    def some(bit: int) -> Column:
+        return F.coalesce(F.col("some").bitwiseAND(bit) != 0, F.lit(False))
+
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name)
+
+    return found.select(
+        (F.col("at") + 1).alias("ordinal"),
+        F.element_at(F.array(*[F.lit(c) for c in names]), F.col("at") + 1).alias("column_name"),
+        number("sample_count"),
+        F.coalesce(F.col("sample_count") < F.col("row_count"), F.lit(False)).alias("has_null"),
+        number("max_len"),
+        every(_INT).alias("all_int"),
+        every(_DECIMAL).alias("all_decimal"),
+        every(_DATE).alias("all_date"),
+        some(_TIME_PART).alias("has_time"),
+        every(_CLOCK).alias("all_time"),
+        some(_IDENTIFIER).alias("looks_identifier"),
+        number("row_count"),
+        number("text_bytes"),
+    )
 
 
 def infer_schema(df: DataFrame) -> DataFrame:

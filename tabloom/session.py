@@ -39,3 +39,13 @@ def materialize(df, label: str):
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Settings that suit these operators.  Conversions of wide tables make long generated methods; beyond 8000 bytecodes the
+# JVM would interpret them, so Spark is told to split the work of such a stage into shorter ones instead.
+RECOMMENDED_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
