@@ -182,8 +182,8 @@ def format_time_cells(spark, folder):
 
 @registry.query(
     "format_sizes",
-    """SELECT doc_id, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE)
- ELSE printf('%.1f MB', n / 1048576.0::DOUBLE) END AS size, CASE WHEN n < 1000 THEN n || 'ms' WHEN n < 60000 THEN (n // 1000) || 's'
+    """SELECT doc_id, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0::DOUBLE * 10 + 0.5) / 10)
+ ELSE printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size, CASE WHEN n < 1000 THEN n || 'ms' WHEN n < 60000 THEN (n // 1000) || 's'
  WHEN n < 3600000 THEN (n // 60000) || 'm ' || (n // 1000 % 60) || 's' ELSE (n // 3600000) || 'h ' || (n // 60000 % 60) || 'm' END
  AS duration FROM (SELECT doc_id, n_chars * 37 AS n FROM documents) d""",
 )
