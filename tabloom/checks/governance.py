@@ -122,14 +122,17 @@ def stale_runs(spark, folder):
 
 @registry.query(
     "orphan_jobs",
-    f"""{_with(frames.JOBS_SQL, frames.SOURCES_SQL)} SELECT source_id, source_name FROM sources s WHERE last_status = 'running' AND NOT
- EXISTS (SELECT 1 FROM jobs j WHERE j.status IN ('QUEUED', 'RUNNING') AND json_extract_string(j.payload, '$.k') = CAST(s.source_id AS
- VARCHAR))""",
+    f"""{_with(frames.JOBS_SQL)} SELECT c_custkey AS derived_id, c_name AS derived_name FROM customer WHERE c_acctbal < 5000 AND NOT EXISTS
+ (SELECT 1 FROM jobs j WHERE j.status IN ('QUEUED', 'RUNNING') AND json_extract_string(j.payload, '$.k') = CAST(c_custkey AS VARCHAR))""",
 )
 def orphan_jobs(spark, folder):
-    return g.without_active_job(
-        frames.sources(spark, folder), frames.jobs(spark, folder), "source_id", "k"
-    ).select("source_id", "source_name")
+    derived = frames.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("derived_id"),
+        F.col("c_name").alias("derived_name"),
+        F.when(F.col("c_acctbal") < 5000, "running").otherwise("completed").alias("last_status"),
+    )
+    orphans = g.without_active_job(derived, frames.jobs(spark, folder), "derived_id", "k")
+    return orphans.select("derived_id", "derived_name")
 
 
 @registry.query(
@@ -227,13 +230,13 @@ def assign_groups(spark, folder):
 @registry.query(
     "unconnected_tables",
     """SELECT p_brand AS source_schema, p_name || ' ' || p_partkey AS source_table FROM part WHERE lower(p_name) LIKE '%widget%' AND
- p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)""",
+ p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_tax > 0.07)""",
 )
 def unconnected_tables(spark, folder):
     part = frames.table(spark, folder, "part")
     name = F.concat_ws(" ", "p_name", "p_partkey").alias("source_table")
     listing = part.select(F.col("p_brand").alias("source_schema"), name)
-    sold = frames.table(spark, folder, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
+    sold = frames.table(spark, folder, "lineitem").where("l_quantity > 49 and l_tax > 0.07").select(F.col("l_partkey").alias("p_partkey"))
     connected = part.join(sold.distinct(), "p_partkey").select(F.col("p_brand").alias("source_schema"), name)
     return g.unconnected_tables(listing, connected, "WIDGET")
 

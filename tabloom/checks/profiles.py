@@ -194,11 +194,11 @@ def normalize_headers_query(spark, folder):
 
 @registry.query(
     "convert_source_values",
-    """SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_extendedprice * 4e9 < 1e14 THEN CAST(l_extendedprice * 4e9 AS DECIMAL(18,4))
+    """SELECT l_orderkey, l_linenumber, CAST(CASE WHEN floor(l_extendedprice) * 2e9 < 1e14 THEN CAST(floor(l_extendedprice) * 2e9 AS DECIMAL(18,4))
  END AS DOUBLE) AS scaled, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_extendedprice""",
 )
 def convert_source_values(spark, folder):
-    lines = frames.table(spark, folder, "lineitem").withColumn("big", F.col("l_extendedprice") * 4e9)
+    lines = frames.table(spark, folder, "lineitem").withColumn("big", F.floor("l_extendedprice").cast("double") * 2e9)
     scaled = convert_source(F.col("big"), lines.schema["big"].dataType).cast("double")
     return lines.groupBy("l_orderkey", "l_linenumber", scaled.alias("scaled"), "l_extendedprice").agg(
         F.count(F.lit(1)).alias("n")

@@ -1,3 +1,63 @@
-from tabloom.checks import Registry
+"""Reading delimited files and live sources.  The files are written from the tables first."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabloom.checks import Registry, frames
+from tabloom.operators import export
+from tabloom.session import fresh_path
+from tabloom.sources import delimited, external
 
 registry = Registry()
+
+
+@registry.query("read_delimited", frames.text_sql("lineitem"))
+def read_delimited(spark, folder):
+    """Line items as a semicolon file with a header, hints detected, every column text."""
+    raw = frames.text_table(spark, folder, "lineitem")
+    path = fresh_path(spark, "file")
+    raw.write.option("sep", ";").option("header", True).option("emptyValue", "").csv(path)
+    return delimited.read_delimited(spark, path)
+
+
+@registry.query(
+    "read_delimited_quoted", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents"
+)
+def read_delimited_quoted(spark, folder):
+    """Texts with line breaks, separators and quotes in their values."""
+    documents = frames.table(spark, folder, "documents").select(F.col("doc_id").cast("string"), "text", "lang")
+    path = fresh_path(spark, "file")
+    lines = export.export_query(documents)
+    # Carriage returns would be taken for line ends by other readers; the reader under test keeps them.
+    header = spark.createDataFrame([('"doc_id","text","lang"',)], "line string")
+    header.unionByName(lines).coalesce(1).write.text(path)
+    return delimited.read_delimited(
+        spark, path, separator=",", encoding="UTF-8", headers=["doc_id", "text", "lang"], multiline=True
+    )
+
+
+@registry.query(
+    "detect_separator",
+    """SELECT doc_id, CASE WHEN a >= b AND a >= c THEN ';' WHEN b >= c THEN ',' ELSE chr(9) END AS separator FROM (SELECT doc_id, length(head)
+ - length(replace(head, ';', '')) AS a, length(head) - length(replace(head, ',', '')) AS b, length(head) - length(replace(head, chr(9),
+ '')) AS c FROM (SELECT doc_id, array_to_string(list_slice(regexp_split_to_array(text, '\\r?\\n'), 1, 10), chr(10)) AS head FROM documents)
+ h) n""",
+)
+def detect_separator(spark, folder):
+    return frames.table(spark, folder, "documents").select(
+        "doc_id", delimited.separator_of(F.col("text")).alias("separator")
+    )
+
+
+@registry.query(
+    "live_view",
+    """SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_quantity > 45""",
+)
+def live_view(spark, folder):
+    """A live source: each query reads it anew, with the query's own filters and columns pushed to the scan."""
+    external.live_view(frames.table(spark, folder, "lineitem"), "live_lineitem")
+    return spark.sql(
+        """SELECT l_orderkey, l_linenumber, l_shipdate FROM live_lineitem
+        WHERE l_shipdate >= TIMESTAMP_NTZ '2000-01-01' AND l_quantity > 45"""
+    )

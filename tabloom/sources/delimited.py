@@ -12,7 +12,6 @@ from tabloom.naming import normalize_headers
 SEPARATORS = (";", ",", "\t")
 SEPARATOR_LINES = 10
 UTF8, WINDOWS = "UTF-8", "windows-1252"
-REPLACEMENT = "�"  # what a byte that is no UTF-8 is read as
 
 
 def separator_of(text: Column) -> Column:
@@ -40,7 +39,7 @@ def detect_hints(spark: SparkSession, path: str) -> tuple[str, str]:
     lines = spark.read.text(path)
     head = "\n".join(r.value for r in lines.limit(SEPARATOR_LINES).collect())
     separator = max(SEPARATORS, key=head.count)  # the first of equals
-    foreign = lines.where(F.col("value").contains(REPLACEMENT))
+    foreign = lines.where(~F.is_valid_utf8("value"))
     return (UTF8 if foreign.isEmpty() else WINDOWS), separator
 
 

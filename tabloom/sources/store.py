@@ -11,7 +11,6 @@ import json
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from tabloom.operators import load
 from tabloom.operators.mapping import apply_mapping
@@ -44,25 +43,26 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        spark.createDataFrame([], VERSIONS).write.mode("ignore").parquet(f"{self.root}/_versions")
 
     def versions(self) -> DataFrame:
         """One row per published version of every table."""
-        try:
-            return self.spark.read.schema(VERSIONS).parquet(f"{self.root}/_versions")
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return self.spark.createDataFrame([], VERSIONS)
+        return self.spark.read.schema(VERSIONS).parquet(f"{self.root}/_versions")
 
-    def _newest(self, table: str):
-        return self.versions().where(F.col("table_name") == table).orderBy(F.desc("version")).first()
+    def _state(self, table: str, load_id: str | None = None):
+        """The newest version of a table, and whether a load id is recorded for it, in one look at the record."""
+        own = self.versions().where(F.col("table_name") == table)
+        return own.agg(
+            F.max_by(F.struct("version", "path", "schema_json"), "version").alias("newest"),
+            F.coalesce(F.max(F.col("load_id") == F.lit(load_id)), F.lit(False)).alias("done"),
+        ).first()
 
     def exists(self, table: str) -> bool:
-        return self._newest(table) is not None
+        return self._state(table).newest is not None
 
     def read(self, table: str) -> DataFrame:
         """The current version."""
-        newest = self._newest(table)
+        newest = self._state(table).newest
         if newest is None:
             raise KeyError(table)
         schema = T.StructType.fromJson(json.loads(newest.schema_json))
@@ -75,8 +75,8 @@ class TableStore:
 
         A load id that is recorded already is not written again; leftovers of an unrecorded attempt are overwritten.
         """
-        done = self.versions().where((F.col("table_name") == table) & (F.col("load_id") == load_id)).first()
-        if done is not None:
+        state = self._state(table, load_id)
+        if state.done:
             return self.read(table)
         path = f"{self.root}/{table}/{load_id}"
         sent = Observation()
@@ -85,10 +85,9 @@ class TableStore:
         held = stored.count()  # from the file footers
         if held != sent.get["n"]:
             raise IntegrityError(f"{table}: {sent.get['n']} rows sent, {held} rows held; version not published")
-        newest = self._newest(table)
         entry = (
             table,
-            1 if newest is None else newest.version + 1,
+            1 if state.newest is None else state.newest.version + 1,
             load_id,
             path,
             mode,

@@ -54,15 +54,16 @@ def stream_upsert(rows: DataFrame, key: str, order: list[str], path: str, checkp
     )
 
 
-def upserted(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
-    """The table the batches add up to: for each key the row of its last batch."""
+def upserted(spark: SparkSession, path: str, schema: T.StructType, key: str, order: list[str]) -> DataFrame:
+    """The table the batches add up to: the newest row of each key, and of equally new ones that of the last batch.
+
+    Newest is by the delta column, as within a batch, so the outcome does not depend on the order files arrive in.
+    """
     kept = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
     batches = spark.read.schema(kept).parquet(path)
-    keyless = batches.where(F.col(key).isNull())
-    newest = latest_per_key(batches.where(F.col(key).isNotNull()), key, [BATCH])
-    return newest.unionByName(keyless).drop(BATCH)
+    return latest_per_key(batches, key, [*order, BATCH]).drop(BATCH)
 
 
-def compact(spark: SparkSession, path: str, schema: T.StructType, key: str, into: str) -> None:
+def compact(spark: SparkSession, path: str, schema: T.StructType, key: str, order: list[str], into: str) -> None:
     """Write the current rows as one new base, so that readers need not merge old batches again."""
-    upserted(spark, path, schema, key).write.mode("overwrite").parquet(f"{into}/{BATCH}=-1")
+    upserted(spark, path, schema, key, order).write.mode("overwrite").parquet(f"{into}/{BATCH}=-1")
