@@ -91,7 +91,7 @@ _convert_query(
     """CAST(TRY_CAST(CASE WHEN instr(reverse(t), ',') > 0 AND (instr(reverse(t), '.') = 0 OR instr(reverse(t), ',') <
  instr(reverse(t), '.')) THEN replace(replace(t, '.', ''), ',', '.') ELSE replace(t, ',', '') END AS DECIMAL(18,4)) AS DOUBLE)""",
 )
-_convert_query("convert_date", hub.DATE, date_sql("t"))
+_convert_query("convert_date", hub.DATE, f"CAST(({date_sql('t')}) AS VARCHAR)")
 _convert_query(
     "convert_datetime",
     hub.DATETIME,
@@ -270,7 +270,7 @@ def fn_string(spark, folder):
 
 @registry.query(
     "fn_cast",
-    """SELECT o_orderkey, TRY_CAST(o_totalprice AS DECIMAL(8,2))::DOUBLE AS narrow, CAST(o_orderdate AS DATE) AS day,
+    """SELECT o_orderkey, TRY_CAST(o_totalprice AS DECIMAL(8,2))::DOUBLE AS narrow, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
  CASE WHEN regexp_full_match(o_orderpriority[1:1], '\\d') THEN CAST(o_orderpriority[1:1] AS INT) END AS rank,
  TRY_CAST(o_orderpriority AS INT) AS nothing FROM orders""",
 )

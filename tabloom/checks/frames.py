@@ -75,22 +75,25 @@ _TYPED_SQL = {
     "int": "CAST({0} AS BIGINT)",
     "str": "{0}",
     "dec": "CAST(CAST({0} AS DECIMAL(18,4)) AS DOUBLE)",
-    "day": "CAST({0} AS DATE)",
+    "day": "CAST(CAST({0} AS DATE) AS VARCHAR)",
     "moment": "date_trunc('millisecond', {0})",
 }
 
 
 def typed_sql(name: str, source: str | None = None) -> str:
-    """SELECT of a table as a load types it; decimals are shown as doubles."""
+    """SELECT of a table as a load types it, as ``shown``."""
     parts = [f"{_TYPED_SQL[kind].format(c)} AS {c}" for c, kind in columns_of(name)]
     return f"SELECT {', '.join(parts)} FROM {source or name}"
 
 
+SHOWN_AS = {T.DecimalType: "double", T.DateType: "string"}
+
+
 def shown(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, so that results compare across engines."""
+    """Decimals as doubles and dates as text, so that results compare across engines."""
     return df.select(
         *[
-            F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+            F.col(f.name).cast(SHOWN_AS[type(f.dataType)]).alias(f.name) if type(f.dataType) in SHOWN_AS else F.col(f.name)
             for f in df.schema.fields
         ]
     )

@@ -196,8 +196,8 @@ def _orders_source(spark, folder, reader=frames.table, **options) -> Source:
     return Source("orders", read, **options)
 
 
-_CANONICAL_FILE = _TYPED_FILE.replace("CAST(o_orderdate AS DATE)", "o_orderdate")
-_CANONICAL_ORDERS = _TYPED_ORDERS.replace("CAST(o_orderdate AS DATE)", "o_orderdate")
+_CANONICAL_FILE = _TYPED_FILE.replace("CAST(CAST(o_orderdate AS DATE) AS VARCHAR)", "o_orderdate")
+_CANONICAL_ORDERS = _TYPED_ORDERS.replace("CAST(CAST(o_orderdate AS DATE) AS VARCHAR)", "o_orderdate")
 MARK = "1998-06-01"
 
 

@@ -87,29 +87,19 @@ def latest_per_key(df: DataFrame, key: str | list[str], order: list[str]) -> Dat
     return df.groupBy(*keys).agg(newest.alias("newest")).select(*keys, "newest.*").select(*df.columns)
 
 
-def change_counts(before: DataFrame, after_rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows that came and went: ``before`` minus ``kept``, and ``after_rows``."""
-    def total(df: DataFrame) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n"))
-
-    return total(after_rows).select(
-        F.col("n").alias("inserted"), (total(before).scalar() - total(kept).scalar()).alias("updated")
-    )
-
-
 def upsert_counts(target: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Rows inserted (all of the file) and target rows replaced."""
-    return change_counts(target, incoming, keep_by_key(target, incoming, [key], present=False))
+    replaced = keep_by_key(target, incoming, [key], present=True).agg(F.count(F.lit(1)).alias("updated"))
+    return incoming.agg(F.count(F.lit(1)).alias("inserted")).withColumn("updated", replaced.scalar())
 
 
 def delta_counts(target: DataFrame, changes: DataFrame) -> DataFrame:
     """Rows inserted and removed by a delta replace, from its change set."""
     unhashed = target.where(F.col(ROW_HASH).isNull()).agg(F.count(F.lit(1)))
+
     return changes.agg(
-        F.coalesce(F.sum(F.when(F.col("file_rows") > 0, F.col("file_rows"))), F.lit(0)).alias("inserted"),
-        (F.coalesce(F.sum(F.when(F.col("target_rows") > 0, F.col("target_rows"))), F.lit(0)) + unhashed.scalar()).alias(
-            "updated"
-        ),
+        F.coalesce(F.sum("file_rows"), F.lit(0)).alias("inserted"),
+        (F.coalesce(F.sum("target_rows"), F.lit(0)) + unhashed.scalar()).alias("updated"),
     )
 
 

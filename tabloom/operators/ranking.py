@@ -19,11 +19,19 @@ CURSOR_PAGE = 100
 def keep_newest(df: DataFrame, group: str, order: list[str], keep: int = 10) -> DataFrame:
     """The newest ``keep`` rows of each group, with their rank.
 
-    The rank is bounded by a constant, so Spark drops later rows of a group inside the map tasks
-    (WindowGroupLimit) and a group's reducer receives ``keep`` rows from each of them at most.
+    Up to a bound, Spark itself drops later rows of a group inside the map tasks (WindowGroupLimit), and a group's
+    reducer receives ``keep`` rows from each of them at most.  Beyond it the same is done here: a group is first ranked
+    in as many slices as there are reducers.
     """
-    newest_first = Window.partitionBy(group).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("rn", F.row_number().over(newest_first)).where(F.col("rn") <= keep)
+    spark = df.sparkSession
+    newest_first = [F.desc(c) for c in order]
+    if keep > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sliced = df.withColumn("slice", F.spark_partition_id() % slices)
+        within = Window.partitionBy(group, "slice").orderBy(*newest_first)
+        df = sliced.withColumn("rn", F.row_number().over(within)).where(F.col("rn") <= keep).drop("slice", "rn")
+    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*newest_first)))
+    return ranked.where(F.col("rn") <= keep)
 
 
 def sliding_rate(requests: DataFrame, principal: str, moment: str, limit: int = RATE_LIMITS["query"]) -> DataFrame:

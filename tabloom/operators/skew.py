@@ -28,12 +28,22 @@ def frequent_keys(df: DataFrame, key: Column, support: float = SUPPORT) -> DataF
     return sketch.select(F.explode("hot_freqItems").alias("hot")).distinct()
 
 
+def _fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark, by its own size estimate and threshold, would broadcast a DataFrame."""
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= threshold
+
+
 def keep_by_key(rows: DataFrame, keys: DataFrame, on: list[str], present: bool, unique: bool = False) -> DataFrame:
     """Rows whose key is present in ``keys`` (or absent from it).  A NULL key is never present.
 
     ``unique`` says that ``keys`` holds every key once already.
     """
+    how = "left_semi" if present else "left_anti"
     known = keys.select(*on).dropna()
+    if _fits_broadcast(known):
+        return rows.join(known, on, how)  # the rows are not shuffled, so no key can be too frequent
     if not unique:
         known = known.distinct()
     spread = _spread_of(rows)
@@ -55,4 +65,4 @@ def keep_by_key(rows: DataFrame, keys: DataFrame, on: list[str], present: bool,
         .withColumn("salt", F.explode(F.when(F.col("hot").isNotNull(), all_salts).otherwise(F.array(F.lit(0)))))
         .drop("key_digest", "hot")
     )
-    return salted.join(copies, [*on, "salt"], "left_semi" if present else "left_anti").select(*rows.columns)
+    return salted.join(copies, [*on, "salt"], how).select(*rows.columns)

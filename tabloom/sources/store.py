@@ -22,7 +22,7 @@ VERSIONS = T.StructType(
         T.StructField("table_name", T.StringType()),
         T.StructField("version", T.LongType()),
         T.StructField("load_id", T.StringType()),
-        T.StructField("path", T.StringType()),
+        T.StructField("paths", T.ArrayType(T.StringType())),
         T.StructField("mode", T.StringType()),
         T.StructField("row_count", T.LongType()),
         T.StructField("inserted", T.LongType()),
@@ -38,7 +38,10 @@ class IntegrityError(RuntimeError):
 
 
 class TableStore:
-    """Versioned tables below one folder that all executors share."""
+    """Versioned tables below one folder that all executors share.
+
+    A version is a list of folders: an append adds one to those of the version before, every other load starts anew.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -53,10 +56,14 @@ class TableStore:
         """The newest version of a table, and whether a load id is recorded for it, in one look at the record."""
         own = self.versions().where(F.col("table_name") == table)
         return own.agg(
-            F.max_by(F.struct("version", "path", "schema_json"), "version").alias("newest"),
+            F.max_by(F.struct("version", "paths", "row_count", "schema_json"), "version").alias("newest"),
             F.coalesce(F.max(F.col("load_id") == F.lit(load_id)), F.lit(False)).alias("done"),
         ).first()
 
+    def _open(self, newest) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(newest.schema_json))
+        return self.spark.read.schema(schema).parquet(*newest.paths)
+
     def exists(self, table: str) -> bool:
         return self._state(table).newest is not None
 
@@ -65,40 +72,42 @@ class TableStore:
         newest = self._state(table).newest
         if newest is None:
             raise KeyError(table)
-        schema = T.StructType.fromJson(json.loads(newest.schema_json))
-        return self.spark.read.schema(schema).parquet(newest.path)
+        return self._open(newest)
 
-    def publish(
-        self, table: str, rows: DataFrame, mode: str, load_id: str, inserted: int | None = None, updated: int = 0
-    ) -> DataFrame:
+    def publish(self, table: str, rows: DataFrame, mode: str, load_id: str, inserted: int | None = None) -> DataFrame:
         """Write the next version, compare what was sent with what the files hold, and make it current.
 
         A load id that is recorded already is not written again; leftovers of an unrecorded attempt are overwritten.
+        ``append`` writes the new rows only.  ``inserted`` of the written rows come from the file (all, when not given);
+        rows of the version before that are not among the others count as updated.
         """
         state = self._state(table, load_id)
         if state.done:
-            return self.read(table)
+            return self._open(state.newest)
         path = f"{self.root}/{table}/{load_id}"
         sent = Observation()
         rows.observe(sent, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-        stored = self.spark.read.schema(rows.schema).parquet(path)
-        held = stored.count()  # from the file footers
+        held = self.spark.read.schema(rows.schema).parquet(path).count()  # from the file footers
         if held != sent.get["n"]:
             raise IntegrityError(f"{table}: {sent.get['n']} rows sent, {held} rows held; version not published")
+        before = state.newest
+        earlier = 0 if before is None else before.row_count
+        appending = mode == "append" and before is not None
+        fresh = held if inserted is None else inserted
         entry = (
             table,
-            1 if state.newest is None else state.newest.version + 1,
+            1 if before is None else before.version + 1,
             load_id,
-            path,
+            [*before.paths, path] if appending else [path],
             mode,
-            held,
-            held if inserted is None else inserted,
-            updated,
+            held + earlier if appending else held,
+            fresh,
+            0 if appending or inserted is None else earlier - (held - fresh),
             rows.schema.json(),
             datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None),
         )
         self.spark.createDataFrame([entry], VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
-        return stored
+        return self.spark.read.schema(rows.schema).parquet(*entry[3])
 
     def load(
         self, table: str, raw: DataFrame, mapping: list[ColumnSpec], mode: str, load_id: str, key: str | None = None
@@ -108,39 +117,35 @@ class TableStore:
         A replace of a table that has row hashes and the same columns becomes a delta replace.
         """
         incoming = apply_mapping(raw, mapping, with_hash=True)
-        if not self.exists(table):
+        newest = self._state(table).newest
+        if newest is None:
             return self.publish(table, incoming, "replace", load_id)
-        target = self.read(table)
+        target = self._open(newest)
         mismatches = load.schema_mismatches(target, mapping)
         if mode == "replace":
             if mismatches or ROW_HASH not in target.columns:
                 return self.publish(table, incoming, "replace", load_id)
             incoming = materialize(incoming, "incoming")  # parsed and hashed once, read by both joins
             changes = materialize(load.delta_changes(target, incoming), "changes")
-            counts = load.delta_counts(target, changes).first()
-            rows = load.delta_replace(target, incoming, changes)
-            return self.publish(table, rows, "delta-replace", load_id, counts.inserted, counts.updated)
+            inserted = load.delta_counts(target, changes).first().inserted
+            return self.publish(table, load.delta_replace(target, incoming, changes), "delta-replace", load_id, inserted)
         if mismatches:
             raise ValueError("incompatible schema: " + "; ".join(mismatches))
         if mode == "append":
-            incoming = materialize(incoming, "incoming")
-            return self.publish(table, load.append(target, incoming), "append", load_id, incoming.count())
+            return self.publish(table, incoming, "append", load_id)
         if mode != "upsert":
             raise ValueError(f"unknown load mode {mode!r}")
         if key is None or key not in [c.sql_name for c in mapping]:
             raise ValueError("upsert needs a key column of the file")
-        incoming = materialize(incoming, "incoming")
-        return self.upsert(table, incoming, key, load_id)
+        return self.upsert(table, materialize(incoming, "incoming"), key, load_id)
 
     def upsert(self, table: str, incoming: DataFrame, key: str, load_id: str) -> DataFrame:
         """Publish ``incoming`` over the rows that share its keys.  Repeated keys are refused."""
         if not load.duplicate_keys(incoming, key).isEmpty():
             raise ValueError(f"repeated keys in {key!r}")
-        target = self.read(table)
-        counts = load.upsert_counts(target, incoming, key).first()
-        rows = load.upsert(target, incoming, key)
-        return self.publish(table, rows, "upsert", load_id, counts.inserted, counts.updated)
+        rows = load.upsert(self.read(table), incoming, key)
+        return self.publish(table, rows, "upsert", load_id, incoming.count())
 
-    def drop(self, tables: list[str]) -> DataFrame:
+    def without(self, tables: list[str]) -> DataFrame:
         """The versions that remain when some tables are dropped; their files are left to the file system's policy."""
         return self.versions().where(~F.col("table_name").isin(tables))

@@ -59,7 +59,7 @@ def test_append_then_replace(store, file_of):
     )
 
 
-def test_upsert_counts_and_is_idempotent(store, file_of):
+def test_upsert_counts_and_is_idempotent(store, file_of, broadcast_limit):
     store.load("t", file_of(range(1, 6)), MAPPING, "replace", "a")
     first = store.load("t", file_of([4, 5, 6], lambda i: i), MAPPING, "upsert", "b", key="id")
     assert ids(first) == [1, 2, 3, 4, 5, 6]
@@ -116,7 +116,7 @@ def test_guard_keeps_the_old_version(store, file_of, monkeypatch):
     assert store.read("t").count() == 3
 
 
-def test_delta_set_and_multiset(text_rows):
+def test_delta_set_and_multiset(text_rows, broadcast_limit):
     def hashed(rows):
         return apply_mapping(text_rows(["id", "nome", "valor"], rows), MAPPING, with_hash=True)
 
@@ -139,7 +139,7 @@ def test_rows_without_hash_are_dropped_by_a_delta(text_rows):
     assert load.delta_counts(target, load.delta_changes(target, incoming)).first().updated == 1
 
 
-def test_precomputed_delta(text_rows):
+def test_precomputed_delta(text_rows, broadcast_limit):
     raw = text_rows(["id", "nome", "valor"], [(str(i), "a", "1") for i in range(4)])
     rows = apply_mapping(raw, MAPPING, with_hash=True)
     out = load.delta_precomputed(rows.where("id < 3"), rows.where("id > 1"), rows.where("id = 0").select("row_hash"))
@@ -155,8 +155,16 @@ def test_delta_prep_gates(store, file_of):
         load.delta_prep(store.read("t"), MAPPING[:2])
 
 
+@pytest.fixture(params=["10MB", "-1"])
+def broadcast_limit(spark, request):
+    """With small key sides broadcast, and with none."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("present", [True, False])
-def test_keep_by_key_against_brute_force(spark, present):
+def test_keep_by_key_against_brute_force(spark, present, broadcast_limit):
     """One key holds a third of the rows, another share has no key at all."""
     draw = random.Random(7)
     rows = [(draw.choice([0, None, i % 97]), i) for i in range(3000)]

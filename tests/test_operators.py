@@ -142,3 +142,11 @@ def test_stream_append(spark, folder, table):
     for _ in range(2):
         ingest.stream_append(rows, f"{folder}/out", f"{folder}/check").awaitTermination()
     assert spark.read.parquet(f"{folder}/out").count() == events.count()
+
+
+def test_many_newest_of_a_large_group(spark):
+    df = spark.range(0, 9000, numPartitions=6).selectExpr("if(id % 3 = 0, 0, id) as g", "id as at")
+    kept = ranking.keep_newest(df, "g", ["at"], 1500)
+    counts = {r.g: r["count"] for r in kept.groupBy("g").count().where("g = 0 or g = 1").collect()}
+    assert counts == {0: 1500, 1: 1}
+    assert kept.where("g = 0").agg(F.min("at")).first()[0] == 3 * 1500
