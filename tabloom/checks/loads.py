@@ -11,6 +11,7 @@ from tabloom.naming import normalize_headers
 from tabloom.operators import export, load, profile
 from tabloom.operators.mapping import apply_mapping
 from tabloom.plans import derived, refresh
+from tabloom.plans.file_load import load_file
 from tabloom.plans.refresh import Source
 from tabloom.session import fresh_path
 from tabloom.sources import external
@@ -100,6 +101,24 @@ def load_delta_precomputed(spark, folder):
     return _shown(load.delta_precomputed(target, new, removed))
 
 
+@registry.query("load_file", f"SELECT * FROM ({frames.typed_sql('lineitem')}) l WHERE l_quantity IS NOT NULL")
+def load_file_query(spark, folder):
+    """A delimited file, detected, profiled, converted and loaded."""
+    path = fresh_path(spark, "file")
+    frames.text_table(spark, folder, "lineitem").write.option("sep", ";").option("header", True).csv(path)
+    return _shown(load_file(_store(spark), "lineitem", path, "replace", "first"))
+
+
+@registry.query("load_same_file", f"SELECT 'first' AS loaded, * FROM ({_TYPED_ORDERS}) o")
+def load_same_file(spark, folder):
+    """A file loaded twice: the second load finds no change and writes no row."""
+    store = _store(spark)
+    store.load("orders", _target_text(spark, folder), ORDERS_MAPPING, "replace", "first")
+    second = store.load("orders", _target_text(spark, folder), ORDERS_MAPPING, "replace", "second")
+    folder_of = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return _shown(second.withColumn("loaded", folder_of))
+
+
 _HASHED = frames.hash_sql([c for c, _ in frames.columns_of("orders")])
 
 
@@ -139,7 +158,16 @@ def load_counts(spark, folder):
     return upserted.unionByName(delta)
 
 
-@registry.query("load_log")
+_CHANGED = "(SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderstatus = 'P')"
+
+
+@registry.query(
+    "load_log",
+    f"""SELECT 'orders' AS table_name, 1::BIGINT AS version, 'replace' AS mode, count(*) AS row_count, count(*) AS inserted, 0::BIGINT AS
+ updated FROM orders UNION ALL SELECT 'orders', 2, 'delta-replace', count(*), {_CHANGED}, {_CHANGED} FROM orders UNION ALL SELECT
+ 'orders', 3, 'append', 2 * count(*), count(*), 0 FROM orders UNION ALL SELECT 'orders', 4, 'upsert', 2 * count(*) - count(*) FILTER
+ (WHERE o_orderpriority <> '1-URGENT'), count(*), count(*) + count(*) FILTER (WHERE o_orderpriority <> '1-URGENT') FROM orders""",
+)
 def load_log(spark, folder):
     """The versions a table went through, with the counts of each load."""
     store = _store(spark)
@@ -147,8 +175,9 @@ def load_log(spark, folder):
         ("first", _target_text(spark, folder), "replace"),
         ("second", _file_text(spark, folder), "replace"),
         ("third", _target_text(spark, folder), "append"),
+        ("fourth", _target_text(spark, folder), "upsert"),
     ):
-        store.load("orders", raw, ORDERS_MAPPING, mode, load_id)
+        store.load("orders", raw, ORDERS_MAPPING, mode, load_id, key="o_orderkey")
     return store.versions().select("table_name", "version", "mode", "row_count", "inserted", "updated")
 
 

@@ -57,3 +57,42 @@ def live_view(spark, folder):
         """SELECT l_orderkey, l_linenumber, l_shipdate FROM live_lineitem
         WHERE l_shipdate >= TIMESTAMP_NTZ '2000-01-01' AND l_quantity > 45"""
     )
+
+
+@registry.query(
+    "profile_files",
+    """SELECT lang, count(*) AS line_count, CAST(sum(CAST(('0x' || md5(line)[1:15]) AS BIGINT)) AS VARCHAR) AS sum_high,
+ CAST(sum(CAST(('0x' || md5(line)[17:31]) AS BIGINT)) AS VARCHAR) AS sum_low FROM (SELECT lang, unnest(string_split(regexp_replace(text,
+ '\\r\\n?', chr(10), 'g'), chr(10))) AS line FROM documents) d GROUP BY lang""",
+)
+def profile_files(spark, folder):
+    """Texts written as files by language; the files of a language add up to its lines."""
+    documents = frames.table(spark, folder, "documents")
+    path = fresh_path(spark, "files")
+    documents.select("lang", "text").write.partitionBy("lang").text(path)
+    files = delimited.profile_files(spark, path)
+    lang = F.regexp_extract("file", "lang=([^/]+)/", 1)
+    return files.groupBy(lang.alias("lang")).agg(
+        F.sum("line_count").alias("line_count"),
+        *[F.sum(F.col(c).cast("decimal(38,0)")).cast("string").alias(c) for c in ("sum_high", "sum_low")],
+    )
+
+
+_TYPE_OF = {
+    "view": "int4", "click": "NUMERIC(10,2)", "purchase": "timestamp with time zone", "signup": "date", "error": "uuid",
+}
+_CANONICAL = {"view": "BIGINT", "click": "DECIMAL(18,4)", "purchase": "DATETIME2", "signup": "DATE", "error": "NVARCHAR(MAX)"}
+
+
+@registry.query(
+    "canonical_listing",
+    "SELECT event_id, CASE event_type "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CANONICAL.items())
+    + " END AS sql_type FROM events",
+)
+def canonical_listing(spark, folder):
+    """Type names of a database listing, one per event, as canonical types."""
+    names = F.create_map(*[F.lit(x) for pair in _TYPE_OF.items() for x in pair])
+    return frames.table(spark, folder, "events").select(
+        "event_id", external.canonical_type(names[F.col("event_type")]).alias("sql_type")
+    )

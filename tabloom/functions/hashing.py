@@ -24,3 +24,9 @@ def row_hash(columns: list[Column]) -> Column:
     """32 hex digits that identify the text of a row; column order matters."""
     quoted = F.concat(F.lit('"'), F.concat_ws('"|"', *[_clean(c) for c in columns]), F.lit('"'))
     return F.md5(quoted)
+
+
+def digest_sum(digest: Column, start: int) -> Column:
+    """Aggregate: the sum of fifteen hex digits of each digest, as text.  Order and partitioning do not matter."""
+    number = F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)")
+    return F.coalesce(F.sum(number), F.lit(0)).cast("string")

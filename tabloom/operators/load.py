@@ -45,10 +45,13 @@ def delta_replace(target: DataFrame, incoming: DataFrame, changes: DataFrame | N
     """
     changes = delta_changes(target, incoming) if changes is None else changes
     gone = changes.where("target_rows > 0")
-    new = changes.where("file_rows > 0")
     kept = keep_by_key(target.where(F.col(ROW_HASH).isNotNull()), gone, [ROW_HASH], present=False, unique=True)
-    added = keep_by_key(incoming, new, [ROW_HASH], present=True, unique=True)
-    return kept.unionByName(added)
+    return kept.unionByName(new_rows(incoming, changes))
+
+
+def new_rows(incoming: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows of the file that a change set says are new."""
+    return keep_by_key(incoming, changes.where("file_rows > 0"), [ROW_HASH], present=True, unique=True)
 
 
 def delta_precomputed(target: DataFrame, new_rows: DataFrame, removed_hashes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabloom import types as hub
 from tabloom.functions.convert import DECIMAL_LIMIT
+from tabloom.functions.hashing import digest_sum
 
 # Years a target database can hold.
 FIRST_YEAR, LAST_YEAR = 1753, 9999
@@ -69,13 +70,10 @@ def table_fingerprint(df: DataFrame, digits: int) -> DataFrame:
 
 def fingerprint_sums(df: DataFrame) -> DataFrame:
     """Row count and two sums over the row digests: no shuffle of rows at all, one partial sum per task."""
-    def part(start: int) -> Column:
-        return F.conv(F.substring("h", start, 15), 16, 10).cast(T.DecimalType(20, 0))
-
     return line_digests(df).agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(part(1)), F.lit(0)).cast("string").alias("sum_high"),
-        F.coalesce(F.sum(part(17)), F.lit(0)).cast("string").alias("sum_low"),
+        digest_sum(F.col("h"), 1).alias("sum_high"),
+        digest_sum(F.col("h"), 17).alias("sum_low"),
     )
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.functions.hashing import digest_sum
 from tabloom.naming import normalize_headers
+from tabloom.types import ColumnSpec
 
 # Separators in the order that decides a tie, and the lines that are counted for them.
 SEPARATORS = (";", ",", "\t")
@@ -65,6 +67,46 @@ def read_header(spark: SparkSession, path: str, separator: str, encoding: str =
     return [(cell or "").removeprefix("﻿") for cell in row]
 
 
+def read_for_mapping(
+    spark: SparkSession, path: str, mapping: list[ColumnSpec], separator: str | None = None, encoding: str | None = None,
+    multiline: bool = False,
+) -> DataFrame:
+    """A file read for an existing mapping: its text columns under the mapping's table names, in the mapping's order.
+
+    The file's headers may stand in any order; columns the file does not reach are NULL.
+    """
+    if separator is None or encoding is None:
+        found_encoding, found_separator = detect_hints(spark, path)
+        separator, encoding = separator or found_separator, encoding or found_encoding
+    headers = read_header(spark, path, separator, encoding)
+    df = read_delimited(spark, path, separator, encoding, headers, multiline)
+    places = bind_header(headers, [(c.original_name, c.sql_name) for c in mapping])
+    missing = F.lit(None).cast("string")
+    return df.select(
+        *[
+            (df[df.columns[place]] if place < len(headers) else missing).alias(c.sql_name)
+            for c, place in zip(mapping, places)
+        ]
+    )
+
+
+def profile_files(spark: SparkSession, path: str) -> DataFrame:
+    """Size, lines and an order-free content fingerprint of every text file of a folder.
+
+    A large file is read by many tasks; two files hold the same lines exactly when size, lines and sums agree.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("size_bytes"),
+        F.md5(F.col("value").cast("binary")).alias("h"),
+    )
+    return lines.groupBy("file", "size_bytes").agg(
+        F.count(F.lit(1)).alias("line_count"),
+        digest_sum(F.col("h"), 1).alias("sum_high"),
+        digest_sum(F.col("h"), 17).alias("sum_low"),
+    )
+
+
 def _csv(spark: SparkSession, separator: str, encoding: str):
     if encoding != UTF8:
         # Spark accepts only Unicode encodings for text unless it is told to use all that Java knows.

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom import types as hub
 from tabloom.operators.mapping import canonicalize
 from tabloom.plans.scoped_sql import check_read_only
 
@@ -51,6 +52,25 @@ def jdbc_query(spark: SparkSession, connection: Connection, query: str, prepare:
     return (reader.option("prepareQuery", prepare) if prepare else reader).load()
 
 
+def canonical_type(type_name: Column) -> Column:
+    """Canonical type of a database type name, for a listing that is data itself."""
+    plain = F.trim(F.lower(F.substring_index(type_name, "(", 1)))
+    pairs = [F.lit(x) for canonical, names in hub.SOURCE_TYPE_NAMES.items() for n in names for x in (n, canonical)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), plain), F.lit(hub.TEXT))
+
+
+def jdbc_listing(spark: SparkSession, connection: Connection) -> DataFrame:
+    """Schemas, tables and columns of a database with their canonical types."""
+    columns = jdbc_table(spark, connection, "information_schema.columns")
+    return columns.select(
+        F.col("table_schema").alias("source_schema"),
+        F.col("table_name").alias("source_table"),
+        F.col("ordinal_position").cast("bigint").alias("ordinal"),
+        "column_name",
+        canonical_type(F.col("data_type")).alias("sql_type"),
+    )
+
+
 def live_view(df: DataFrame, name: str) -> DataFrame:
     """Register a source as a view that is read anew by each query."""
     df.createOrReplaceTempView(name)

@@ -74,12 +74,21 @@ class TableStore:
             raise KeyError(table)
         return self._open(newest)
 
-    def publish(self, table: str, rows: DataFrame, mode: str, load_id: str, inserted: int | None = None) -> DataFrame:
+    def publish(
+        self,
+        table: str,
+        rows: DataFrame,
+        mode: str,
+        load_id: str,
+        inserted: int | None = None,
+        adding: bool = False,
+    ) -> DataFrame:
         """Write the next version, compare what was sent with what the files hold, and make it current.
 
         A load id that is recorded already is not written again; leftovers of an unrecorded attempt are overwritten.
-        ``append`` writes the new rows only.  ``inserted`` of the written rows come from the file (all, when not given);
-        rows of the version before that are not among the others count as updated.
+        With ``adding`` the rows are added to the version before, whose files stay as they are.  Otherwise ``inserted``
+        of the written rows come from the file (all, when not given), and rows of the version before that are not among
+        the others count as updated.
         """
         state = self._state(table, load_id)
         if state.done:
@@ -92,7 +101,7 @@ class TableStore:
             raise IntegrityError(f"{table}: {sent.get['n']} rows sent, {held} rows held; version not published")
         before = state.newest
         earlier = 0 if before is None else before.row_count
-        appending = mode == "append" and before is not None
+        appending = adding and before is not None
         fresh = held if inserted is None else inserted
         entry = (
             table,
@@ -127,12 +136,16 @@ class TableStore:
                 return self.publish(table, incoming, "replace", load_id)
             incoming = materialize(incoming, "incoming")  # parsed and hashed once, read by both joins
             changes = materialize(load.delta_changes(target, incoming), "changes")
-            inserted = load.delta_counts(target, changes).first().inserted
-            return self.publish(table, load.delta_replace(target, incoming, changes), "delta-replace", load_id, inserted)
+            counts = load.delta_counts(target, changes).first()
+            if counts.updated == 0:  # nothing left the table: what is there stays untouched
+                added = load.new_rows(incoming, changes)
+                return self.publish(table, added, "delta-replace", load_id, adding=True)
+            rows = load.delta_replace(target, incoming, changes)
+            return self.publish(table, rows, "delta-replace", load_id, counts.inserted)
         if mismatches:
             raise ValueError("incompatible schema: " + "; ".join(mismatches))
         if mode == "append":
-            return self.publish(table, incoming, "append", load_id)
+            return self.publish(table, incoming, "append", load_id, adding=True)
         if mode != "upsert":
             raise ValueError(f"unknown load mode {mode!r}")
         if key is None or key not in [c.sql_name for c in mapping]:

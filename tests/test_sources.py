@@ -1,14 +1,19 @@
 """Delimited files, the SQL scope, external options."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom import types as hub
 from tabloom.plans import derived, refresh
+from tabloom.plans.file_load import load_file, with_serial_dates
 from tabloom.plans.refresh import Source
 from tabloom.plans.scoped_sql import ReadOnlyError, ScopeError, check_read_only, run_query
 from tabloom.sources import delimited, external
+from tabloom.sources.series import benchmark_rows
 from tabloom.sources.store import TableStore
+from tabloom.types import ColumnSpec
 
 
 def write(folder, name, data):
@@ -167,3 +172,39 @@ def test_jdbc_query_must_read(spark):
 )
 def test_type_names(name, canonical):
     assert hub.canonical_from_name(name) == canonical
+
+
+def test_file_load_by_mapping(spark, folder):
+    """Headers in another order and a repeated one; the table keeps the mapping's order."""
+    store = TableStore(spark, f"{folder}/store")
+    first = write(folder, "a.csv", "Código;Valor;Valor\n007;1,5;2\n")
+    assert rows(load_file(store, "t", first, "replace", "one").drop("row_hash")) == [("007", Decimal("1.5"), 2)]
+    mapping = [
+        ColumnSpec("Valor", "valor", hub.DECIMAL), ColumnSpec("Valor", "valor_2", hub.BIGINT),
+        ColumnSpec("Código", "codigo", hub.TEXT), ColumnSpec("Outro", "outro", hub.TEXT),
+    ]
+    out = load_file(store, "u", first, "replace", "two", mapping=mapping).drop("row_hash")
+    assert out.columns == ["valor", "valor_2", "codigo", "outro"]
+    assert rows(out) == [(Decimal("1.5"), 2, "007", None)]
+
+
+def test_delta_without_removals_keeps_files(spark, folder):
+    store = TableStore(spark, f"{folder}/store")
+    load_file(store, "t", write(folder, "a.csv", "n;v\n1;a\n2;b\n"), "replace", "one")
+    load_file(store, "t", write(folder, "b.csv", "n;v\n1;a\n2;b\n3;c\n"), "replace", "two")
+    newest = store.versions().orderBy(F.desc("version")).first()
+    assert [p.rsplit("/", 1)[1] for p in newest.paths] == ["one", "two"]
+    assert (newest.row_count, newest.inserted, newest.updated) == (3, 1, 0)
+    assert sorted(rows(store.read("t").select("n", "v"))) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_serial_dates(text_rows):
+    raw = text_rows(["dia", "n"], [("45000", "45000"), ("2024-01-02", "1")])
+    mapping = [ColumnSpec("dia", "dia", hub.DATE), ColumnSpec("n", "n", hub.BIGINT)]
+    assert rows(with_serial_dates(raw, mapping)) == [("2023-03-15", "45000"), ("2024-01-02", "1")]
+
+
+def test_series(spark):
+    df = benchmark_rows(spark, 1000)
+    assert df.agg(F.count_distinct("categoria"), F.count_distinct("data_ref")).first()[:] == (5, 730)
+    assert df.where("id = 1").first().valor == Decimal("79.19")
