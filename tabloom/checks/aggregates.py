@@ -157,10 +157,9 @@ _scoped(
 )
 _scoped(
     "sql_subquery",
-    """SELECT p_type, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)
- AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) GROUP BY p_type""".replace("FROM lineitem", "FROM sales__lineitem"),
-    """SELECT p_type, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)
- AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) GROUP BY p_type""",
+    """SELECT p_type, count(*) AS n FROM part WHERE p_partkey IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount > 0.05)
+ AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49) f WHERE f.l_partkey = p_partkey)
+ GROUP BY p_type""",
 )
 
 

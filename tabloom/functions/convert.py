@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tabloom import types as hub
 from tabloom.functions.dates import to_date, to_datetime, to_time
-from tabloom.functions.display import unix_micros_ntz
+from tabloom.functions.moments import unix_micros
 from tabloom.functions.text import has_text, on_trimmed, without_controls
 
 # How whole and decimal numbers start when types are inferred.  A leading zero makes an identifier.
@@ -70,7 +70,7 @@ def convert_source(value: Column, data_type: T.DataType) -> Column:
         return value.cast(hub.SPARK_TYPES[canonical])
     if canonical == hub.DATETIME:
         moment = value.cast("timestamp_ntz")
-        return F.timestamp_add("MICROSECOND", -(unix_micros_ntz(moment) % 1000), moment)
+        return F.timestamp_add("MICROSECOND", -(unix_micros(moment) % 1000), moment)
     if canonical == hub.TIME:
         return F.substring(value.cast("string"), 1, 8)
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):

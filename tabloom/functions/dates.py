@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabloom.functions.moments import from_micros, iso_millis
 from tabloom.functions.text import on_trimmed, trimmed
 
 # The accepted spellings, for years from 100 on.  A time of day may follow a date, with fraction and zone.
@@ -75,6 +76,6 @@ def excel_serial(value: Column, sql_type: str) -> Column:
     text = trimmed(value)
     number = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
     millis = F.round((number - 25569) * 86400000).cast("bigint")
-    moment = F.timestamp_add("MILLISECOND", millis, F.lit("1970-01-01").cast("timestamp_ntz"))
-    pattern = "yyyy-MM-dd" if sql_type == "DATE" else "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
-    return F.when((number > 0) & (number <= 100000), F.date_format(moment, pattern)).otherwise(value)
+    moment = from_micros(millis * 1000)
+    spelled = moment.cast("date").cast("string") if sql_type == "DATE" else iso_millis(moment)
+    return F.when((number > 0) & (number <= 100000), spelled).otherwise(value)

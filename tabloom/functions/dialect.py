@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabloom.functions.display import unix_micros_ntz
+from tabloom.functions.moments import unix_micros
 
 # Names and short names of date parts.
 DATE_PARTS: dict[str, tuple[str, ...]] = {
@@ -41,7 +41,7 @@ def date_part_name(part: str) -> str:
 
 def date_diff(part: str, start: Column, end: Column) -> Column:
     """Whole units between two moments, every unit taken as a fixed span (a month is 30 days)."""
-    return F.floor((unix_micros_ntz(end) - unix_micros_ntz(start)) / F.lit(PART_MICROS[date_part_name(part)]))
+    return F.floor((unix_micros(end) - unix_micros(start)) / F.lit(PART_MICROS[date_part_name(part)]))
 
 
 def date_add(part: str, count: Column, moment: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.functions.moments import iso_millis, unix_micros
+
 # Size units, each 1024 times the one before.
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
 
@@ -44,7 +46,7 @@ def duration_text(millis: Column) -> Column:
 
 def age_text(moment: Column, now: Column) -> Column:
     """How long ago: ``agora``, ``há 5 min``, ``há 3h`` or ``há 2d``."""
-    minutes = F.floor((unix_micros_ntz(now) - unix_micros_ntz(moment)) / 60_000_000)
+    minutes = F.floor((unix_micros(now) - unix_micros(moment)) / 60_000_000)
 
     def ago(divisor: int, unit: str) -> Column:
         return F.concat(F.lit("há "), F.floor(minutes / divisor).cast("string"), F.lit(unit))
@@ -57,17 +59,12 @@ def age_text(moment: Column, now: Column) -> Column:
     )
 
 
-def unix_micros_ntz(moment: Column) -> Column:
-    """Microseconds since 1970 of a wall-clock timestamp, whatever the session's time zone is."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), moment.cast("timestamp_ntz"))
-
-
 def feed_value(value: Column, data_type: T.DataType) -> Column:
     """A value as the feed carries it: numbers beyond double precision, moments and nested values as text."""
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    if isinstance(data_type, T.DateType):
-        return F.date_format(value, "yyyy-MM-dd")
+        if isinstance(data_type, T.TimestampType):
+            value = F.convert_timezone(None, F.lit("UTC"), value.cast("timestamp_ntz"))
+        return iso_millis(value)
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         infinite = F.abs(value) == float("inf")
         return (

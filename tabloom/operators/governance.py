@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.display import unix_micros_ntz
+from tabloom.functions.moments import unix_micros
 from tabloom.operators.ranking import keep_newest
 from tabloom.operators.skew import keep_by_key
 
@@ -29,11 +29,16 @@ FIRST_REFRESH_HOUR = 4
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    return F.floor((unix_micros_ntz(end) - unix_micros_ntz(start)) / 1_000_000)
+    return F.floor((unix_micros(end) - unix_micros(start)) / 1_000_000)
 
 
 def older_than(moment: Column, now: Column, seconds: int) -> Column:
-    return unix_micros_ntz(moment) < unix_micros_ntz(now) - seconds * 1_000_000
+    """Compared as the column stands, so that the filter can reach the scan."""
+    return moment < F.timestamp_add("SECOND", F.lit(-seconds), now)
+
+
+def within(moment: Column, now: Column, seconds: int) -> Column:
+    return moment >= F.timestamp_add("SECOND", F.lit(-seconds), now)
 
 
 def _rank(permission: Column) -> Column:
@@ -95,10 +100,10 @@ def retained(
     df: DataFrame, moment: str, now: Column, days: int = RETENTION_DAYS, states: tuple[str, ...] | None = None
 ) -> DataFrame:
     """Rows that survive the retention purge: young ones, and those that are not in a finished state."""
-    goes = expired(F.col(moment), now, days)
+    stays = within(F.col(moment), now, days * 86_400) | F.col(moment).isNull()
     if states is not None:
-        goes = goes & F.col("status").isin(*states)
-    return df.where(~F.coalesce(goes, F.lit(False)))
+        stays = stays | ~F.col("status").isin(*states) | F.col("status").isNull()
+    return df.where(stays)
 
 
 def retention_counts(jobs: DataFrame, audit: DataFrame, versions: DataFrame, now: Column, keep: int = 10) -> DataFrame:
@@ -199,7 +204,7 @@ def inactive_with_table(sources: DataFrame) -> DataFrame:
 
 def job_kpis(jobs: DataFrame, now: Column) -> DataFrame:
     """Per job type: how many run, wait, and finished or failed within a day."""
-    status, recent = F.col("status"), ~older_than(F.col("created_at"), now, 86_400)
+    status, recent = F.col("status"), within(F.col("created_at"), now, 86_400)
     return jobs.groupBy("type").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(status == "RUNNING").alias("running"),
@@ -213,7 +218,7 @@ def average_load_seconds(jobs: DataFrame, now: Column, days: int = 7) -> DataFra
     """Mean whole-second duration of the completed jobs of the last days."""
     recent = jobs.where(
         (F.col("status") == "COMPLETED") & F.col("locked_at").isNotNull()
-        & ~older_than(F.col("updated_at"), now, days * 86_400)
+        & within(F.col("updated_at"), now, days * 86_400)
     )
     return recent.agg(F.avg(seconds_between(F.col("locked_at"), F.col("updated_at"))).alias("avg_seconds"))
 

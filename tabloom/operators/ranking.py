@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.display import feed_value, unix_micros_ntz
+from tabloom.functions.display import feed_value
+from tabloom.functions.moments import from_micros, unix_micros
 
 # Requests per minute each kind of call allows; page sizes.
 RATE_LIMITS = {"query": 60, "upload": 10, "default": 120}
@@ -40,7 +41,7 @@ def sliding_rate(requests: DataFrame, principal: str, moment: str, limit: int =
     Requests of one instant are counted first.  The instants are then cut into minutes: a minute and the one before it
     hold all that a count needs, so a busy principal's history is spread over many small windows.
     """
-    instants = requests.groupBy(principal, unix_micros_ntz(F.col(moment)).alias("micros")).agg(
+    instants = requests.groupBy(principal, unix_micros(F.col(moment)).alias("micros")).agg(
         F.count(F.lit(1)).alias("requests")
     )
     minute = F.floor(F.col("micros") / WINDOW_MICROS)
@@ -61,7 +62,7 @@ def sliding_rate(requests: DataFrame, principal: str, moment: str, limit: int =
         .where("place.own")
         .select(
             principal,
-            F.timestamp_add("MICROSECOND", F.col("micros"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("moment"),
+            from_micros(F.col("micros")).alias("moment"),
             "requests",
             "used",
             F.greatest(F.lit(0), F.lit(limit) - F.col("used")).cast("bigint").alias("remaining"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom import types as hub
-from tabloom.functions import dates, dialect, display, hashing, text
+from tabloom.functions import dates, dialect, display, hashing, moments, text
 from tabloom.functions.convert import convert, convert_source
 from tabloom.operators.mapping import apply_mapping, conversion_rejects, reject_counts
 from tabloom.types import ColumnSpec
@@ -126,3 +126,25 @@ def test_slugs_of_values(text_rows):
     out = [r.c for r in df.select(text.slug(F.col("v")).alias("c")).collect()]
     assert out[:2] == ["recursos-humanos-gestao", None]
     assert len(out[2]) == 100
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "Asia/Kolkata"])
+def test_moments_ignore_the_session_zone(spark, zone):
+    """A quarter of an hour that summer time skips in one of the zones."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([("2018-11-04 00:15:00.5",)], "s string").select(
+            F.col("s").cast("timestamp_ntz").alias("t")
+        )
+        row = df.select(
+            moments.unix_micros(F.col("t")).alias("micros"),
+            moments.iso_millis(F.col("t")).alias("iso"),
+            moments.from_micros(moments.unix_micros(F.col("t"))).cast("string").alias("back"),
+            dates.excel_serial(F.lit("43408.25"), hub.DATETIME).alias("serial"),
+        ).first()
+        assert tuple(row) == (
+            1541290500500000, "2018-11-04T00:15:00.500Z", "2018-11-04 00:15:00.5", "2018-11-04T06:00:00.000Z",
+        )
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -150,3 +150,38 @@ def test_many_newest_of_a_large_group(spark):
     counts = {r.g: r["count"] for r in kept.groupBy("g").count().where("g = 0 or g = 1").collect()}
     assert counts == {0: 1500, 1: 1}
     assert kept.where("g = 0").agg(F.min("at")).first()[0] == 3 * 1500
+
+
+def test_filters_reach_the_scan(spark, table):
+    """Retention, incremental pulls, ranges, cursors and live views filter in the file reader and read few columns."""
+    from tabloom.plans.scoped_sql import run_query
+    from tabloom.sources import external
+
+    events, orders = table("events"), table("orders")
+    now = F.lit("2024-01-20").cast("timestamp_ntz")
+    cases = [
+        (governance.retained(events, "ts", now, 7).select("event_id"), "GreaterThanOrEqual(ts,2024-01-13", 2),
+        (external.newer_than(orders, "o_orderdate", "1998-06-01").select("o_orderkey"), "GreaterThan(o_orderdate", 2),
+        (ranking.cursor_page(events, "ts", "event_id", ("2024-01-15", 5)).select("event_id"), "LessThan(ts", 2),
+        (
+            run_query(spark, "SELECT sum(o_totalprice) FROM orders WHERE o_custkey > 5", {"a": {"orders": orders}}),
+            "GreaterThan(o_custkey,5)",
+            2,
+        ),
+    ]
+    for df, pushed, columns in cases:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scan = next(line for line in plan.splitlines() if "FileScan" in line)
+        assert pushed in scan.split("PushedFilters:")[1]
+        assert scan.split("FileScan parquet [")[1].split("]")[0].count(",") == columns - 1
+
+
+def test_plans_have_no_cross_join(spark):
+    """Nor a nested loop, in any registered query that only builds a plan."""
+    from conftest import SF
+    from tabloom.checks import aggregates, governance as governed
+
+    for module in (aggregates, governed):
+        for name, build in module.registry.queries.items():
+            plan = build(spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
