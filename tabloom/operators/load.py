@@ -44,9 +44,13 @@ def delta_replace(target: DataFrame, incoming: DataFrame, changes: DataFrame | N
     caller has written it out already.
     """
     changes = delta_changes(target, incoming) if changes is None else changes
-    gone = changes.where("target_rows > 0")
-    kept = keep_by_key(target.where(F.col(ROW_HASH).isNotNull()), gone, [ROW_HASH], present=False, unique=True)
-    return kept.unionByName(new_rows(incoming, changes))
+    return rows_kept(target, changes).unionByName(new_rows(incoming, changes))
+
+
+def rows_kept(target: DataFrame, changes: DataFrame) -> DataFrame:
+    """The target rows that a change set leaves in place."""
+    hashed = target.where(F.col(ROW_HASH).isNotNull())
+    return keep_by_key(hashed, changes.where("target_rows > 0"), [ROW_HASH], present=False, unique=True)
 
 
 def new_rows(incoming: DataFrame, changes: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import datetime
 import json
+from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 
 from tabloom.operators import load
 from tabloom.operators.mapping import apply_mapping
+from tabloom.operators.skew import keep_by_key
 from tabloom.session import materialize
 from tabloom.types import ROW_HASH, ColumnSpec
 
@@ -33,6 +36,13 @@ VERSIONS = T.StructType(
 )
 
 
+class Kept(NamedTuple):
+    """Files of the version before that stay as they are, and the rows they hold."""
+
+    paths: list[str]
+    rows: int
+
+
 class IntegrityError(RuntimeError):
     """A written table does not hold the rows that were sent to it."""
 
@@ -40,7 +50,8 @@ class IntegrityError(RuntimeError):
 class TableStore:
     """Versioned tables below one folder that all executors share.
 
-    A version is a list of folders: an append adds one to those of the version before, every other load starts anew.
+    A version is a list of folders and files.  A load writes one folder with what it changes: new rows, and the rows of
+    those files it has to take rows out of.  All other files of the version before stay in the list.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -61,8 +72,7 @@ class TableStore:
         ).first()
 
     def _open(self, newest) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(newest.schema_json))
-        return self.spark.read.schema(schema).parquet(*newest.paths)
+        return self._read(newest.paths, T.StructType.fromJson(json.loads(newest.schema_json)))
 
     def exists(self, table: str) -> bool:
         return self._state(table).newest is not None
@@ -81,14 +91,13 @@ class TableStore:
         mode: str,
         load_id: str,
         inserted: int | None = None,
-        adding: bool = False,
+        kept: Kept = Kept([], 0),
     ) -> DataFrame:
-        """Write the next version, compare what was sent with what the files hold, and make it current.
+        """Write a folder, compare what was sent with what its files hold, and make it and ``kept`` the next version.
 
         A load id that is recorded already is not written again; leftovers of an unrecorded attempt are overwritten.
-        With ``adding`` the rows are added to the version before, whose files stay as they are.  Otherwise ``inserted``
-        of the written rows come from the file (all, when not given), and rows of the version before that are not among
-        the others count as updated.
+        ``inserted`` of the written rows come from the load's file (all, when not given); rows of the version before
+        that are in the next one neither way count as updated.
         """
         state = self._state(table, load_id)
         if state.done:
@@ -96,27 +105,47 @@ class TableStore:
         path = f"{self.root}/{table}/{load_id}"
         sent = Observation()
         rows.observe(sent, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-        held = self.spark.read.schema(rows.schema).parquet(path).count()  # from the file footers
+        held = self._read([path], rows.schema).count()  # from the file footers
         if held != sent.get["n"]:
             raise IntegrityError(f"{table}: {sent.get['n']} rows sent, {held} rows held; version not published")
         before = state.newest
-        earlier = 0 if before is None else before.row_count
-        appending = adding and before is not None
+        row_count = kept.rows + held
         fresh = held if inserted is None else inserted
         entry = (
             table,
             1 if before is None else before.version + 1,
             load_id,
-            [*before.paths, path] if appending else [path],
+            [*kept.paths, path],
             mode,
-            held + earlier if appending else held,
+            row_count,
             fresh,
-            0 if appending or inserted is None else earlier - (held - fresh),
+            0 if before is None or mode in ("replace", "copy", "derived") else before.row_count - (row_count - fresh),
             rows.schema.json(),
             datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None),
         )
         self.spark.createDataFrame([entry], VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
-        return self.spark.read.schema(rows.schema).parquet(*entry[3])
+        return self._read(entry[3], rows.schema)
+
+    def _read(self, paths: list[str], schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def _split(self, newest, leaving: DataFrame) -> tuple[DataFrame | None, Kept]:
+        """The rows of the files that hold a leaving row, and the files that hold none.
+
+        ``leaving`` is a selection from the current version with its ``file_name``.  The driver sees file names, as it
+        does whenever Spark lists a table.
+        """
+        target = self._open(newest)
+        touched = {r.file_name for r in leaving.select("file_name").distinct().collect()}
+        files = [unquote(f) for f in target.inputFiles()]
+        rewritten = [f for f in files if f.rsplit("/", 1)[1] in touched]
+        if not rewritten:
+            return None, Kept(newest.paths, newest.row_count)
+        rows = self._read(rewritten, target.schema)
+        if len(rewritten) == len(files):
+            return rows, Kept([], 0)
+        untouched = [f for f in files if f.rsplit("/", 1)[1] not in touched]
+        return rows, Kept(untouched, newest.row_count - rows.count())  # counted from the file footers
 
     def load(
         self, table: str, raw: DataFrame, mapping: list[ColumnSpec], mode: str, load_id: str, key: str | None = None
@@ -136,16 +165,20 @@ class TableStore:
                 return self.publish(table, incoming, "replace", load_id)
             incoming = materialize(incoming, "incoming")  # parsed and hashed once, read by both joins
             changes = materialize(load.delta_changes(target, incoming), "changes")
-            counts = load.delta_counts(target, changes).first()
-            if counts.updated == 0:  # nothing left the table: what is there stays untouched
-                added = load.new_rows(incoming, changes)
-                return self.publish(table, added, "delta-replace", load_id, adding=True)
-            rows = load.delta_replace(target, incoming, changes)
-            return self.publish(table, rows, "delta-replace", load_id, counts.inserted)
+            inserted = load.delta_counts(target, changes).first().inserted
+            located = target.withColumn("file_name", F.col("_metadata.file_name"))
+            unhashed = located.where(F.col(ROW_HASH).isNull())
+            gone = changes.where("target_rows > 0")
+            leaving = keep_by_key(located, gone, [ROW_HASH], present=True, unique=True).unionByName(unhashed)
+            rows, kept = self._split(newest, leaving)
+            added = load.new_rows(incoming, changes)
+            if rows is not None:
+                added = load.rows_kept(rows, changes).unionByName(added)
+            return self.publish(table, added, "delta-replace", load_id, inserted, kept)
         if mismatches:
             raise ValueError("incompatible schema: " + "; ".join(mismatches))
         if mode == "append":
-            return self.publish(table, incoming, "append", load_id, adding=True)
+            return self.publish(table, incoming, "append", load_id, kept=Kept(newest.paths, newest.row_count))
         if mode != "upsert":
             raise ValueError(f"unknown load mode {mode!r}")
         if key is None or key not in [c.sql_name for c in mapping]:
@@ -156,8 +189,12 @@ class TableStore:
         """Publish ``incoming`` over the rows that share its keys.  Repeated keys are refused."""
         if not load.duplicate_keys(incoming, key).isEmpty():
             raise ValueError(f"repeated keys in {key!r}")
-        rows = load.upsert(self.read(table), incoming, key)
-        return self.publish(table, rows, "upsert", load_id, incoming.count())
+        newest = self._state(table).newest
+        target = self._open(newest)
+        located = target.withColumn("file_name", F.col("_metadata.file_name"))
+        rows, kept = self._split(newest, keep_by_key(located, incoming, [key], present=True))
+        new = incoming if rows is None else load.upsert(rows, incoming, key)
+        return self.publish(table, new, "upsert", load_id, incoming.count(), kept)
 
     def without(self, tables: list[str]) -> DataFrame:
         """The versions that remain when some tables are dropped; their files are left to the file system's policy."""

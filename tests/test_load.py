@@ -204,3 +204,49 @@ def test_payload_dedupe(spark):
     seen = load.dedupe_payloads(uploads.where("id = 3"), uploads.where("id = 0").selectExpr("1 size_bytes", "'' md5"), "id")
     out = load.dedupe_payloads(uploads, seen, "id")
     assert sorted(r.id for r in out.collect()) == [1, 4]
+
+
+def test_untouched_files_stay(spark, store, file_of, broadcast_limit):
+    """Of four files one holds a changed key; a delta and an upsert rewrite that one only."""
+    four = file_of(range(40)).withColumn("n", F.col("id").cast("int")).repartitionByRange(4, "n").drop("n")
+    first = store.load("t", four, MAPPING, "replace", "a")
+    names = {f.rsplit("/", 1)[1] for f in first.inputFiles()}
+    assert len(names) == 4
+
+    second = store.load("t", file_of([3, 50], lambda i: -i), MAPPING, "upsert", "b", key="id")
+    kept = {f.rsplit("/", 1)[1] for f in second.inputFiles()} & names
+    assert len(kept) == 3
+    assert ids(second) == [*range(40), 50] and second.where("id = 3").first().valor == -3
+    newest = store.versions().orderBy(F.desc("version")).first()
+    assert (newest.row_count, newest.inserted, newest.updated) == (41, 2, 1)
+
+    file = file_of([i for i in range(40) if i != 25], lambda i: -i if i == 3 else 100 * i)
+    third = store.load("t", file, MAPPING, "replace", "c")
+    assert len({f.rsplit("/", 1)[1] for f in third.inputFiles()} & names) == 2
+    assert sorted((r.id, r.valor) for r in third.collect()) == sorted(
+        (i, -i if i == 3 else 100 * i) for i in range(40) if i != 25
+    )
+    newest = store.versions().orderBy(F.desc("version")).first()
+    assert (newest.row_count, newest.inserted, newest.updated) == (39, 0, 2)
+
+
+def test_random_loads_against_a_model(spark, store, file_of):
+    """Appends, upserts and replaces in random order; the store always holds what a dictionary of rows says."""
+    draw = random.Random(11)
+    model = []
+    for step in range(9):
+        mode = draw.choice(["replace", "append", "upsert"]) if step else "replace"
+        keys = draw.sample(range(12), draw.randrange(1, 9))
+        new = [(k, 100 * k + step % 3) for k in keys]
+        raw = file_of(keys, lambda k, step=step: 100 * k + step % 3)
+        if mode == "replace":
+            # Set semantics: copies of a row that the file still has all stay.
+            old = [r for r in model if r in new]
+            model = old + [r for r in new if r not in model]
+        elif mode == "append":
+            model = model + new
+        else:
+            model = [r for r in model if r[0] not in keys] + new
+        out = store.load("t", raw, MAPPING, mode, f"load-{step}", key="id")
+        assert sorted((r.id, r.valor) for r in out.collect()) == sorted(model), (step, mode)
+        assert store.versions().orderBy(F.desc("version")).first().row_count == len(model)
