@@ -69,15 +69,16 @@ def retention_purge(spark, folder):
 
 @registry.query(
     "retention_counts",
-    f"""{_with(frames.JOBS_SQL, frames.VERSIONS_SQL)} SELECT 'jobs' AS kind, count(*) AS deleted FROM jobs WHERE status IN ('COMPLETED',
+    f"""{_with(frames.JOBS_SQL, frames.UPLOADS_SQL, frames.VERSIONS_SQL)} SELECT 'jobs' AS kind, count(*) AS deleted FROM jobs WHERE status IN ('COMPLETED',
  'FAILED') AND created_at < TIMESTAMP '2024-02-10' - INTERVAL 30 DAY UNION ALL SELECT 'audit_events', count(*) FROM jobs WHERE
- created_at < TIMESTAMP '2024-02-10' - INTERVAL 30 DAY UNION ALL SELECT 'versions', count(*) FROM (SELECT row_number() OVER (
+ created_at < TIMESTAMP '2024-02-10' - INTERVAL 30 DAY UNION ALL SELECT 'uploads', count(*) FROM uploads WHERE status IN ('COMPLETED',
+ 'FAILED', 'CANCELLED') AND created_at < TIMESTAMP '2024-02-10' - INTERVAL 30 DAY UNION ALL SELECT 'versions', count(*) FROM (SELECT row_number() OVER (
  PARTITION BY table_id ORDER BY created_at DESC, version_id DESC) AS rn FROM versions) r WHERE rn > 10""",
 )
 def retention_counts(spark, folder):
     jobs = frames.jobs(spark, folder)
     now = F.lit("2024-02-10").cast("timestamp_ntz")
-    return g.retention_counts(jobs, jobs, frames.versions(spark, folder), now)
+    return g.retention_counts(jobs, jobs, frames.uploads(spark, folder), frames.versions(spark, folder), now)
 
 
 @registry.query(
@@ -136,6 +137,16 @@ def orphan_jobs(spark, folder):
     return orphans.select("derived_id", "derived_name")
 
 
+@registry.query(
+    "stuck_imports",
+    f"""{_with(frames.JOBS_SQL, frames.UPLOADS_SQL)} SELECT upload_id FROM uploads u WHERE status = 'IMPORTING' AND NOT EXISTS (SELECT 1 FROM
+ jobs j WHERE j.status IN ('QUEUED', 'RUNNING', 'COMPLETED') AND j.job_id = u.upload_id)""",
+)
+def stuck_imports(spark, folder):
+    jobs = frames.jobs(spark, folder).withColumnRenamed("job_id", "upload_id")
+    return g.stuck_imports(frames.uploads(spark, folder), jobs).select("upload_id")
+
+
 @registry.query(
     "orphan_sources",
     f"""{_with(frames.SOURCES_SQL)} SELECT source_id, target_table_id FROM sources WHERE NOT active AND target_table_id IS NOT NULL""",

@@ -40,7 +40,7 @@ def stream_upsert(spark, folder):
     arriving, schema = _arrivals(spark, folder)
     path = fresh_path(spark, "upserted")
     ingest.stream_upsert(arriving, KEY, ORDER, path, fresh_path(spark, "checkpoint")).awaitTermination()
-    return ingest.upserted(spark, path, schema, KEY, ORDER)
+    return ingest.upserted(spark, [path], schema, KEY, ORDER)
 
 
 @registry.query(

@@ -106,16 +106,21 @@ def retained(
     return df.where(stays)
 
 
-def retention_counts(jobs: DataFrame, audit: DataFrame, versions: DataFrame, now: Column, keep: int = 10) -> DataFrame:
-    """How many rows a purge removes from the job, audit and version tables."""
+def retention_counts(
+    jobs: DataFrame, audit: DataFrame, uploads: DataFrame, versions: DataFrame, now: Column, keep: int = 10
+) -> DataFrame:
+    """How many rows a purge removes from the job, audit, upload and version tables."""
     gone = expired(F.col("created_at"), now)
-    old_jobs = jobs.where(gone & F.col("status").isin(*FINISHED)).agg(F.count(F.lit(1)).alias("deleted"))
-    old_audit = audit.where(gone).agg(F.count(F.lit(1)).alias("deleted"))
+    deleted = F.count(F.lit(1)).alias("deleted")
+    old_jobs = jobs.where(gone & F.col("status").isin(*FINISHED)).agg(deleted)
+    old_audit = audit.where(gone).agg(deleted)
+    old_uploads = uploads.where(gone & F.col("status").isin(*FINISHED_UPLOADS)).agg(deleted)
     per_table = versions.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"))
     old_versions = per_table.agg(F.coalesce(F.sum(F.greatest(F.col("n") - keep, F.lit(0))), F.lit(0)).alias("deleted"))
     return (
         old_jobs.withColumn("kind", F.lit("jobs"))
         .unionByName(old_audit.withColumn("kind", F.lit("audit_events")))
+        .unionByName(old_uploads.withColumn("kind", F.lit("uploads")))
         .unionByName(old_versions.withColumn("kind", F.lit("versions")))
         .select("kind", "deleted")
     )
@@ -197,6 +202,12 @@ def without_active_job(parents: DataFrame, jobs: DataFrame, parent_key: str, pay
     return keep_by_key(running, active, ["parent_text"], present=False).drop("parent_text")
 
 
+def stuck_imports(uploads: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Uploads marked as importing whose jobs have all failed, or that have none."""
+    alive = jobs.where(F.col("status").isin(*ACTIVE_JOBS, "COMPLETED")).select("upload_id")
+    return keep_by_key(uploads.where("status = 'IMPORTING'"), alive, ["upload_id"], present=False)
+
+
 def inactive_with_table(sources: DataFrame) -> DataFrame:
     """Inactive sources that still own a table."""
     return sources.where(~F.col("active") & F.col("target_table_id").isNotNull())

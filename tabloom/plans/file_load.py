@@ -20,14 +20,19 @@ def load_file(
     load_id: str,
     key: str | None = None,
     mapping: list[ColumnSpec] | None = None,
+    separator: str | None = None,
+    encoding: str | None = None,
     multiline: bool = False,
 ) -> DataFrame:
-    """Detect, read, infer (unless a mapping is given), convert, load and verify: the rows the table then holds."""
+    """Detect, read, infer (unless a mapping is given), convert, load and verify: the rows the table then holds.
+
+    Naming separator and encoding saves the scan that detects them, a mapping saves the one that infers types.
+    """
     if mapping is None:
-        raw = delimited.read_delimited(store.spark, path, multiline=multiline)
+        raw = delimited.read_delimited(store.spark, path, separator, encoding, multiline=multiline)
         mapping = infer_mapping(raw)
     else:
-        raw = delimited.read_for_mapping(store.spark, path, mapping, multiline=multiline)
+        raw = delimited.read_for_mapping(store.spark, path, mapping, separator, encoding, multiline)
         mapping = [ColumnSpec(c.sql_name, c.sql_name, c.sql_type) for c in mapping]
     return store.load(table, raw, mapping, mode, load_id, key)
 

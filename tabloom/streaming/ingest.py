@@ -5,6 +5,8 @@ Both jobs take what is available and stop; a scheduler starts them again, and th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,16 +56,17 @@ def stream_upsert(rows: DataFrame, key: str, order: list[str], path: str, checkp
     )
 
 
-def upserted(spark: SparkSession, path: str, schema: T.StructType, key: str, order: list[str]) -> DataFrame:
+def upserted(spark: SparkSession, paths: list[str], schema: T.StructType, key: str, order: list[str]) -> DataFrame:
     """The table the batches add up to: the newest row of each key, and of equally new ones that of the last batch.
 
     Newest is by the delta column, as within a batch, so the outcome does not depend on the order files arrive in.
+    ``paths`` are the folder the stream writes to and, if there is one, the base it was compacted into.
     """
     kept = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    batches = spark.read.schema(kept).parquet(path)
+    batches = reduce(DataFrame.unionByName, [spark.read.schema(kept).parquet(path) for path in paths])
     return latest_per_key(batches, key, [*order, BATCH]).drop(BATCH)
 
 
-def compact(spark: SparkSession, path: str, schema: T.StructType, key: str, order: list[str], into: str) -> None:
-    """Write the current rows as one new base, so that readers need not merge old batches again."""
-    upserted(spark, path, schema, key, order).write.mode("overwrite").parquet(f"{into}/{BATCH}=-1")
+def compact(spark: SparkSession, paths: list[str], schema: T.StructType, key: str, order: list[str], into: str) -> None:
+    """Write the current rows as a new base.  The batches it covers may then go; reading them again changes nothing."""
+    upserted(spark, paths, schema, key, order).write.mode("overwrite").parquet(f"{into}/{BATCH}=-1")

@@ -127,12 +127,14 @@ def test_stream_upsert_survives_a_rerun(spark, folder, table):
     half[1].write.mode("append").parquet(f"{folder}/in")
     run()
     run()  # nothing new
-    streamed = ingest.upserted(spark, f"{folder}/out", events.schema, "user_id", order)
+    streamed = ingest.upserted(spark, [f"{folder}/out"], events.schema, "user_id", order)
     whole = load.latest_per_key(events, "user_id", order)
     assert sorted(streamed.collect()) == sorted(whole.collect())
-    ingest.compact(spark, f"{folder}/out", events.schema, "user_id", order, f"{folder}/base")
-    again = ingest.upserted(spark, f"{folder}/base", events.schema, "user_id", order)
-    assert sorted(again.collect()) == sorted(whole.collect())
+    base = f"{folder}/base"
+    ingest.compact(spark, [f"{folder}/out"], events.schema, "user_id", order, base)
+    for paths in ([base], [base, f"{folder}/out"]):
+        again = ingest.upserted(spark, paths, events.schema, "user_id", order)
+        assert sorted(again.collect()) == sorted(whole.collect())
 
 
 def test_stream_append(spark, folder, table):
