@@ -128,7 +128,8 @@ _scoped(
 )
 _scoped(
     "sql_join_full",
-    """SELECT coalesce(c.nation, s.nation) AS nation, customers, suppliers FROM
+    """SELECT coalesce(c.nation, s.nation) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers
+ FROM
  (SELECT c_nationkey AS nation, count(*) AS customers FROM customer WHERE c_acctbal < 1000 GROUP BY c_nationkey) c
  FULL JOIN (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier WHERE s_acctbal > 2000 GROUP BY s_nationkey) s
  ON c.nation = s.nation""",

@@ -81,10 +81,13 @@ def _convert_query(name: str, sql_type: str, sql: str) -> None:
     def build(spark, folder):
         mixed = _mixed(spark, folder)
         converted = convert.convert(F.col("raw"), sql_type)
-        return frames.shown(mixed.select("o_orderkey", "style", converted.alias("converted")))
+        out = frames.shown(mixed.select("o_orderkey", "style", converted.alias("converted")))
+        return frames.as_text(out, "converted") if sql_type == hub.BIGINT else out
 
 
-_convert_query("convert_bigint", hub.BIGINT, "CASE WHEN regexp_full_match(t, '-?\\d+') THEN TRY_CAST(t AS BIGINT) END")
+_convert_query(
+    "convert_bigint", hub.BIGINT, "CAST(CASE WHEN regexp_full_match(t, '-?\\d+') THEN TRY_CAST(t AS BIGINT) END AS VARCHAR)"
+)
 _convert_query(
     "convert_decimal",
     hub.DECIMAL,
@@ -272,11 +275,11 @@ def fn_string(spark, folder):
     "fn_cast",
     """SELECT o_orderkey, TRY_CAST(o_totalprice AS DECIMAL(8,2))::DOUBLE AS narrow, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
  CASE WHEN regexp_full_match(o_orderpriority[1:1], '\\d') THEN CAST(o_orderpriority[1:1] AS INT) END AS rank,
- TRY_CAST(o_orderpriority AS INT) AS nothing FROM orders""",
+ CAST(TRY_CAST(o_orderpriority AS INT) AS VARCHAR) AS nothing FROM orders""",
 )
 def fn_cast(spark, folder):
     orders = frames.table(spark, folder, "orders")
-    return frames.shown(
+    converted = frames.shown(
         orders.select(
             "o_orderkey",
             dialect.try_convert("decimal(8,2)", F.col("o_totalprice")).alias("narrow"),
@@ -285,6 +288,7 @@ def fn_cast(spark, folder):
             dialect.try_convert("int", F.col("o_orderpriority")).alias("nothing"),
         )
     )
+    return frames.as_text(converted, "nothing")
 
 
 _PARTS = ("year", "qq", "mm", "ww", "dy", "hh", "mi", "ss", "ms")

@@ -99,6 +99,11 @@ def shown(df: DataFrame) -> DataFrame:
     )
 
 
+def as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole numbers that may be NULL as text: engines hand them to Python in different types."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 def blank_sql(expr: str) -> str:
     return f"trim({expr}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279)) = ''"
 

@@ -47,12 +47,14 @@ def effective_grants(spark, folder):
     "visible_datasets",
     _with(frames.GRANTS_SQL, frames.DATASETS_SQL)
     + """, everything AS (SELECT DISTINCT principal FROM grants WHERE scope_type = 'GLOBAL')
+ SELECT principal, CAST(dataset_id AS VARCHAR) AS dataset_id FROM (
  SELECT principal, CAST(NULL AS BIGINT) AS dataset_id FROM everything UNION ALL (SELECT principal, scope_id FROM grants WHERE
  scope_type = 'DATASET' AND principal NOT IN (SELECT principal FROM everything) UNION SELECT principal, dataset_id FROM grants JOIN
- datasets ON scope_type = 'PROJECT' AND scope_id = project_id WHERE principal NOT IN (SELECT principal FROM everything))""",
+ datasets ON scope_type = 'PROJECT' AND scope_id = project_id WHERE principal NOT IN (SELECT principal FROM everything))) v""",
 )
 def visible_datasets(spark, folder):
-    return g.visible_datasets(frames.grants(spark, folder), frames.datasets(spark, folder))
+    seen = g.visible_datasets(frames.grants(spark, folder), frames.datasets(spark, folder))
+    return frames.as_text(seen, "dataset_id")
 
 
 @registry.query(
@@ -115,11 +117,12 @@ def due_refreshes(spark, folder):
 @registry.query(
     "stale_runs",
     f"""{_with(frames.JOBS_SQL)} SELECT job_id, type, attempts, CASE WHEN attempts >= max_attempts THEN 'FAILED' ELSE 'QUEUED' END AS
- next_status, CASE WHEN attempts < max_attempts THEN least(attempts * 30, 120) END AS retry_delay FROM jobs WHERE status = 'RUNNING'
+ next_status, CASE WHEN attempts < max_attempts THEN CAST(least(attempts * 30, 120) AS VARCHAR) END AS retry_delay FROM jobs WHERE status = 'RUNNING'
  AND heartbeat_at < CASE type WHEN 'purchase' THEN {LAST} - INTERVAL 90 MINUTE ELSE {LAST} - INTERVAL 120 SECOND END""",
 )
 def stale_runs(spark, folder):
-    return g.stale_runs(frames.jobs(spark, folder), frames.last_moment(spark, folder), import_type="purchase")
+    runs = g.stale_runs(frames.jobs(spark, folder), frames.last_moment(spark, folder), import_type="purchase")
+    return frames.as_text(runs, "retry_delay")
 
 
 @registry.query(

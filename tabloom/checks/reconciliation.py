@@ -78,7 +78,7 @@ def compare_tables(spark, folder):
     "count_audit",
     " UNION ALL ".join(
         f"""SELECT '{t}' AS table_name, count(*) AS source_count, {"count(*)" if t != "part" else "count(*) FILTER (WHERE p_size <= 40)"} AS
- target_count, {"NULL" if t == "orders" else "count(*)"} AS catalog_count, '{"ok" if t == "supplier" else "diff"}' AS status FROM {t}"""
+ target_count, {"NULL" if t == "orders" else "CAST(count(*) AS VARCHAR)"} AS catalog_count, '{"ok" if t == "supplier" else "diff"}' AS status FROM {t}"""
         for t in COMPARED
     ),
 )
@@ -89,7 +89,7 @@ def count_audit(spark, folder):
         {"supplier": supplier, "part": part.where("p_size <= 40"), "orders": orders}, "target_count"
     )
     catalog = reconcile.table_counts({"supplier": supplier, "part": part}, "catalog_count")
-    return reconcile.count_audit(sources, targets, catalog)
+    return frames.as_text(reconcile.count_audit(sources, targets, catalog), "catalog_count")
 
 
 @registry.query(
