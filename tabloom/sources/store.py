@@ -108,23 +108,29 @@ class TableStore:
         held = self._read([path], rows.schema).count()  # from the file footers
         if held != sent.get["n"]:
             raise IntegrityError(f"{table}: {sent.get['n']} rows sent, {held} rows held; version not published")
-        before = state.newest
-        row_count = kept.rows + held
         fresh = held if inserted is None else inserted
+        paths = [*kept.paths, path]
+        return self._record(state, table, load_id, mode, paths, kept.rows + held, fresh, rows.schema)
+
+    def _record(
+        self, state, table: str, load_id: str, mode: str, paths: list[str], row_count: int, fresh: int, schema: T.StructType
+    ) -> DataFrame:
+        """Make a list of files the current version."""
+        before = state.newest
         entry = (
             table,
             1 if before is None else before.version + 1,
             load_id,
-            [*kept.paths, path],
+            paths,
             mode,
             row_count,
             fresh,
             0 if before is None or mode in ("replace", "copy", "derived") else before.row_count - (row_count - fresh),
-            rows.schema.json(),
+            schema.json(),
             datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None),
         )
         self.spark.createDataFrame([entry], VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
-        return self._read(entry[3], rows.schema)
+        return self._read(paths, schema)
 
     def _read(self, paths: list[str], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
@@ -154,8 +160,11 @@ class TableStore:
 
         A replace of a table that has row hashes and the same columns becomes a delta replace.
         """
+        state = self._state(table, load_id)
+        if state.done:
+            return self._open(state.newest)
         incoming = apply_mapping(raw, mapping, with_hash=True)
-        newest = self._state(table).newest
+        newest = state.newest
         if newest is None:
             return self.publish(table, incoming, "replace", load_id)
         target = self._open(newest)
@@ -171,6 +180,8 @@ class TableStore:
             gone = changes.where("target_rows > 0")
             leaving = keep_by_key(located, gone, [ROW_HASH], present=True, unique=True).unionByName(unhashed)
             rows, kept = self._split(newest, leaving)
+            if rows is None and inserted == 0:  # the same file again
+                return self._record(state, table, load_id, "delta-replace", kept.paths, kept.rows, 0, target.schema)
             added = load.new_rows(incoming, changes)
             if rows is not None:
                 added = load.rows_kept(rows, changes).unionByName(added)

@@ -48,6 +48,7 @@ def test_replace_scenario(store, file_of):
     assert sorted(same.collect()) == sorted(edited.collect())
     newest = store.versions().orderBy(F.desc("version")).first()
     assert (newest.version, newest.mode, newest.inserted, newest.updated) == (5, "delta-replace", 0, 0)
+    assert newest.paths == store.versions().where("version = 4").first().paths
     assert ids(replace(6, file_of([10, 11, 12]))) == [10, 11, 12]
 
 
