@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import importlib
-
 from tabloom.checks import Registry
-from tabloom.llm import slots
+from tabloom.llm import simhash_vptree, slots
 from tabloom.llm.common import table
 
 registry = Registry()
 
 
+@registry.query("op4_simhash")
+def op4_simhash(spark, folder):
+    return simhash_vptree.near_duplicates(table(spark, folder, "documents"))
+
+
 @registry.query("op10_slots")
 def op10_slots(spark, folder):
     return slots.shard_rows(table(spark, folder, "documents"))
