@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 from tabloom.checks import Registry
-from tabloom.llm import simhash_vptree, slots
+from tabloom.llm import decontaminate, simhash_vptree, slots
 from tabloom.llm.common import table
 
 registry = Registry()
 
 
+@registry.query("op1_decontaminate", """WITH clean AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w
+ FROM documents), item AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w
+ FROM benchmark), starts AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS a FROM item WHERE len(w) > 0),
+ win AS (SELECT DISTINCT item_id, w[a:a + 9] AS win, len(w[a:a + 9]) AS n FROM starts), lens AS (SELECT DISTINCT n FROM win),
+ at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS a FROM clean), hit AS (SELECT at.doc_id, a, win.n, item_id FROM at
+ JOIN lens ON a + lens.n - 1 <= len(w) JOIN win ON win.n = lens.n AND win.win = w[a:a + lens.n - 1]), agg AS (SELECT doc_id,
+ len(list_distinct(flatten(list(range(a, a + n))))) AS n_hit, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM
+ hit GROUP BY doc_id) SELECT clean.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+ CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AS contaminated FROM clean LEFT JOIN agg USING (doc_id)""")
+def op1_decontaminate(spark, folder):
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @registry.query("op4_simhash")
 def op4_simhash(spark, folder):
     return simhash_vptree.near_duplicates(table(spark, folder, "documents"))
