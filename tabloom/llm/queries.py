@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabloom.checks import Registry
-from tabloom.llm import decontaminate, simhash_vptree, slots
+from tabloom.llm import decontaminate, quality_pu, simhash_vptree, slots
 from tabloom.llm.common import table
 
 registry = Registry()
@@ -25,6 +25,11 @@ def op1_decontaminate(spark, folder):
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@registry.query("op2_quality")
+def op2_quality(spark, folder):
+    return quality_pu.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @registry.query("op4_simhash")
 def op4_simhash(spark, folder):
     return simhash_vptree.near_duplicates(table(spark, folder, "documents"))
