@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabloom.checks import Registry
-from tabloom.llm import decontaminate, quality_pu, simhash_vptree, slots
+from tabloom.llm import decontaminate, mixing, quality_pu, simhash_vptree, slots
 from tabloom.llm.common import table
 
 registry = Registry()
@@ -35,6 +35,11 @@ def op4_simhash(spark, folder):
     return simhash_vptree.near_duplicates(table(spark, folder, "documents"))
 
 
+@registry.query("op7_mixing")
+def op7_mixing(spark, folder):
+    return mixing.report(table(spark, folder, "documents"))
+
+
 @registry.query("op10_slots")
 def op10_slots(spark, folder):
     return slots.shard_rows(table(spark, folder, "documents"))
