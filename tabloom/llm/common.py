@@ -17,6 +17,7 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 HELD_OUT_FOLDS = 5
 PYTHON_BATCH = 256
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +48,11 @@ def packed(rows: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in rows.columns])
 
 
+def bounded(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of short keys, to be broadcast if a count shows that it is small; else Spark joins by shuffling."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 class Scratch:
     """Temporary tables in the shared folder, deleted on leaving the block except for those in ``keep``."""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabloom.checks import Registry
-from tabloom.llm import decontaminate, mixing, quality_pu, simhash_vptree, slots
+from tabloom.llm import decontaminate, line_dedup, mixing, quality_pu, quality_rules, simhash_vptree, slots
 from tabloom.llm.common import table
 
 registry = Registry()
@@ -40,6 +40,38 @@ def op7_mixing(spark, folder):
     return mixing.report(table(spark, folder, "documents"))
 
 
+@registry.query("op8_rules", r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+ list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+ l AS (SELECT *, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+ win AS (SELECT r, i, w[i:i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+ rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM win) WHERE c > 1),
+ cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY r),
+ m AS (SELECT r, doc_id, t, w, lines, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS
+ word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) -
+ len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM l LEFT JOIN cov
+ USING (r)), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed
+ OR 10 * n_symbols > n_words OR 10 * length(regexp_replace(t, '[^!?]', '', 'g')) > n_words
+ OR 10 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 4 * length(t) OR 2 * word_chars < 5 * n_words
+ OR word_chars > 12 * n_words OR 2 * n_dup_lines > len(lines) OR 10 * len(list_distinct(w)) < n_words) AS kept FROM b""")
+def op8_rules(spark, folder):
+    return quality_rules.report(table(spark, folder, "documents"))
+
+
+@registry.query("op9_site_lines", rf"""WITH p AS (SELECT row_number() OVER () AS r, page_id,
+ lower(regexp_extract(coalesce(url, ''), '{line_dedup.HOST}', 1)) AS host,
+ list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''), '{line_dedup.UNSEEN}', ' ', 'g'),
+ '{line_dedup.BLOCK}'), x -> trim(regexp_replace(x, '{line_dedup.TAG_OR_BLANKS}', ' ', 'g'), ' ')), x -> x <> '') AS lines
+ FROM pages), seen AS (SELECT host, x, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS x FROM p) GROUP BY ALL),
+ total AS (SELECT host, count(*) AS pages FROM p GROUP BY host), often AS (SELECT host, list(x) AS marks FROM seen JOIN total
+ USING (host) WHERE pages >= {line_dedup.LEAST_PAGES} AND n > {line_dedup.RATIO} * pages GROUP BY host),
+ k AS (SELECT p.*, list_filter(lines, x -> NOT list_contains(coalesce(marks, []), x)) AS kept FROM p LEFT JOIN often USING (host))
+ SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped,
+ sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k""")
+def op9_site_lines(spark, folder):
+    return line_dedup.report(table(spark, folder, "pages"))
+
+
 @registry.query("op10_slots")
 def op10_slots(spark, folder):
     return slots.shard_rows(table(spark, folder, "documents"))
