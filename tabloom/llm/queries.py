@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabloom.checks import Registry
-from tabloom.llm import decontaminate, line_dedup, mixing, quality_pu, quality_rules, simhash_vptree, slots
+from tabloom.llm import decontaminate, line_dedup, mixing, quality_pu, quality_rules, simhash_vptree, slots, toxicity_mil, warc_chunks
 from tabloom.llm.common import table
 
 registry = Registry()
@@ -30,11 +30,26 @@ def op2_quality(spark, folder):
     return quality_pu.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@registry.query("op3_toxicity")
+def op3_toxicity(spark, folder):
+    return toxicity_mil.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @registry.query("op4_simhash")
 def op4_simhash(spark, folder):
     return simhash_vptree.near_duplicates(table(spark, folder, "documents"))
 
 
+@registry.query("op5_warc", """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+ sha256(coalesce(html, '')) AS payload_digest FROM pages), f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE
+ payload_bytes >= 100 GROUP BY payload_digest HAVING count(*) > 1) SELECT page_id, payload_bytes,
+ payload_digest, CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS
+ record_type, CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM p LEFT JOIN f
+ USING (payload_digest)""")
+def op5_warc(spark, folder):
+    return warc_chunks.round_trip(table(spark, folder, "pages"))
+
+
 @registry.query("op7_mixing")
 def op7_mixing(spark, folder):
     return mixing.report(table(spark, folder, "documents"))
