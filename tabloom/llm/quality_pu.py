@@ -236,13 +236,11 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
         rows = scratch.write(measured(documents, labels), keep=True)
         model = fit(rows)
 
-    def of_batches(batches):
-        for batch in batches:
-            score = model.score(_matrix(batch["x"])) if len(batch) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score})
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_matrix(x)))
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double"
-    out = rows.select("doc_id", "held_out", "x").mapInPandas(of_batches, schema)
+    out = rows.select("doc_id", "held_out", score("x").alias("score"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
                       F.lit(model.prior).alias("prior"))
 

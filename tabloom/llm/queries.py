@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabloom.checks import Registry
-from tabloom.llm import decontaminate, line_dedup, mixing, quality_pu, quality_rules, simhash_vptree, slots, toxicity_mil, warc_chunks
+from tabloom.llm import decontaminate, line_dedup, mixing, quality_pu, quality_rules, simhash_vptree, slots, suffix_dedup, toxicity_mil, warc_chunks
 from tabloom.llm.common import table
 
 registry = Registry()
@@ -50,6 +50,11 @@ def op5_warc(spark, folder):
     return warc_chunks.round_trip(table(spark, folder, "pages"))
 
 
+@registry.query("op6_suffixes")
+def op6_suffixes(spark, folder):
+    return suffix_dedup.deduplicated(table(spark, folder, "documents"))
+
+
 @registry.query("op7_mixing")
 def op7_mixing(spark, folder):
     return mixing.report(table(spark, folder, "documents"))

@@ -123,7 +123,8 @@ def record_text(chunks: DataFrame) -> Column:
 def write_archives(pages: DataFrame, path: str, chars: int = CHUNK_CHARS) -> None:
     """One compressed archive file per task, at ``path``."""
     with small_batches(pages.sparkSession):
-        chunks = with_running_digest(chunked(records(pages), chars))
+        texts = {c: F.col(c).cast("string") for c in ("page_id", "first_id")}  # pandas has no whole numbers with NULL
+        chunks = with_running_digest(chunked(records(pages), chars).withColumns(texts))
         out = chunks.select(record_text(chunks).alias("value"))
         out.write.option("lineSep", BLANK_LINE).option("compression", "gzip").text(path)
 
