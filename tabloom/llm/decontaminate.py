@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Scratch, lower_ascii, packed
+from tabloom.llm.common import Scratch, bounded, lower_ascii, packed
 
 WINDOW = 10
 # Windows that one pass broadcasts (some 200 bytes each in memory); a larger benchmark takes several passes.
@@ -145,13 +145,15 @@ def _without(text: Column, spans: Column) -> Column:
 def clean(documents: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
     """The documents, all columns, without contaminated ones, or (``remove="spans"``) without their hit words.
 
-    Clean documents and those with NULL or empty texts stay as they are.
+    Clean documents and those with NULL or empty texts stay as they are.  Hits are judged on the input: words that only
+    meet once others are gone do not count.
     """
     spark = documents.sparkSession
     with Scratch(spark, "decontaminate") as scratch:
         windows, _ = index(benchmark, scratch)
         found = covered(hits(documents, windows)).where("n_hit > 0")
         found = scratch.write(found.select(*[F.col(c).alias(f"of_{c}") for c in KEY], "spans"), keep=True)
+    found = bounded(found.drop("spans") if remove == "documents" else found)
     rows = documents.select(packed(documents).alias("row"), *_key(documents))
     match = [rows[c].eqNullSafe(found[f"of_{c}"]) for c in KEY]
     if remove == "documents":

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Scratch, packed, small_batches
+from tabloom.llm.common import Scratch, bounded, packed, small_batches
 
 SHINGLE = 4
 SEED = 42
@@ -199,18 +199,19 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def grouped(documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """Every row's doc_id and fp, and the component_id of its fingerprint."""
+    """Every row's doc_id, digest (of the text) and fp, and the component_id of its fingerprint."""
     spark = documents.sparkSession
     with small_batches(spark):
-        rows = scratch.write(documents.select("doc_id", fingerprints("text").alias("fp")))
+        rows = documents.select("doc_id", F.xxhash64("text").alias("digest"), fingerprints("text").alias("fp"))
+        rows = scratch.write(rows)
     nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = connected(links(nodes, scratch), scratch)
     roots = nodes.join(labels, nodes["fp"] == labels["node"], "left").select(
         "fp", "least", F.coalesce("label", "fp").alias("root")
     )
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = roots.join(smallest, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = roots.join(smallest, "root").select("fp", "root", "component_id")
+    return rows.join(found, "fp").select("doc_id", "digest", "fp", "root", "component_id")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -229,22 +230,26 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents, all columns, with one row left of each component: that of the smallest doc_id.
+    """The documents, all columns, with one row left of each component: that of the smallest doc_id (ids before NULL).
 
-    Of several rows with that id (repeated rows, or a component without ids) the one with the smallest text stays.
+    Among several texts with that id the one of the least hash stays, among repeated rows the least row.  Texts are not
+    shuffled while the list of rows to drop is short enough to broadcast.
     """
-    spark = documents.sparkSession
-    with Scratch(spark, "simhash") as scratch:
+    with Scratch(documents.sparkSession, "simhash") as scratch:
         found = grouped(documents, scratch)
-        kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("fp", "doc_id", "component_id").count()
-        first = kept.groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp"), F.sum("count").alias("rows"))
-        first = scratch.write(first.select(F.col("doc_id").alias("id"), "fp", "rows"), keep=True)
-        kept_path = first.scratch_path
-    rows = documents.select(packed(documents).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
-    stay = rows.join(first, rows["id"].eqNullSafe(first["id"])).select("row", rows["id"], "text", "fp", "rows")
-    single = stay.where("rows = 1").select("row")
-    several = stay.where("rows > 1").where(fingerprints("text") == F.col("fp"))
-    several = several.groupBy("id", "fp").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row")).select("row")
-    out = single.unionByName(several).select("row.*")
-    out.scratch_path = kept_path
-    return out
+        keys = scratch.write(found.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")))
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+        best = keys.groupBy("root").agg(F.min(order).alias("best"))
+        keys = keys.join(best, "root").withColumn("stays", order.eqNullSafe(F.col("best")))
+        keys = keys.select(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), "copies", "stays")
+        listed = scratch.write(keys.where(~F.col("stays") | (F.col("copies") > 1)), keep=True)
+    rows = documents.select(packed(documents).alias("row"), "doc_id", F.xxhash64("text").alias("digest"))
+    match = lambda other: rows["doc_id"].eqNullSafe(other["of_id"]) & (rows["digest"] == other["of_digest"])
+    dropped = bounded(listed.select("of_id", "of_digest"))
+    out = rows.join(dropped, match(dropped), "left_anti").select("row")
+    repeated = listed.where("stays").select("of_id", "of_digest")
+    if repeated.take(1):
+        repeated = bounded(repeated)
+        again = rows.join(repeated, match(repeated), "left_semi").groupBy("doc_id", "digest")
+        out = out.unionByName(again.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return out.select("row.*")
