@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.llm.common import Scratch, held_out, small_batches, summed
 
@@ -74,7 +75,7 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def feature_bytes(texts: pd.Series) -> pd.Series:
     return pd.Series([features(t).tobytes() for t in texts])
 

@@ -10,12 +10,12 @@ registry = Registry()
 
 
 @registry.query("op1_decontaminate", """WITH clean AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
- 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
  FROM documents), item AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
- 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
  FROM benchmark), starts AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS a FROM item WHERE len(w) > 0),
  win AS (SELECT DISTINCT item_id, w[a:a + 9] AS win, len(w[a:a + 9]) AS n FROM starts), lens AS (SELECT DISTINCT n FROM win),
- at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS a FROM clean), hit AS (SELECT at.doc_id, a, win.n, item_id FROM at
+ spot AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS a FROM clean), hit AS (SELECT spot.doc_id, a, win.n, item_id FROM spot
  JOIN lens ON a + lens.n - 1 <= len(w) JOIN win ON win.n = lens.n AND win.win = w[a:a + lens.n - 1]), agg AS (SELECT doc_id,
  len(list_distinct(flatten(list(range(a, a + n))))) AS n_hit, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM
  hit GROUP BY doc_id) SELECT clean.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
@@ -61,8 +61,8 @@ def op7_mixing(spark, folder):
 
 
 @registry.query("op8_rules", r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
- list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
- l AS (SELECT *, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+ list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
  win AS (SELECT r, i, w[i:i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
  rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM win) WHERE c > 1),
  cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY r),
@@ -81,11 +81,11 @@ def op8_rules(spark, folder):
 @registry.query("op9_site_lines", rf"""WITH p AS (SELECT row_number() OVER () AS r, page_id,
  lower(regexp_extract(coalesce(url, ''), '{line_dedup.HOST}', 1)) AS host,
  list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''), '{line_dedup.UNSEEN}', ' ', 'g'),
- '{line_dedup.BLOCK}'), x -> trim(regexp_replace(x, '{line_dedup.TAG_OR_BLANKS}', ' ', 'g'), ' ')), x -> x <> '') AS lines
+ '{line_dedup.BLOCK}'), lambda x: trim(regexp_replace(x, '{line_dedup.TAG_OR_BLANKS}', ' ', 'g'), ' ')), lambda x: x <> '') AS lines
  FROM pages), seen AS (SELECT host, x, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS x FROM p) GROUP BY ALL),
  total AS (SELECT host, count(*) AS pages FROM p GROUP BY host), often AS (SELECT host, list(x) AS marks FROM seen JOIN total
  USING (host) WHERE pages >= {line_dedup.LEAST_PAGES} AND n > {line_dedup.RATIO} * pages GROUP BY host),
- k AS (SELECT p.*, list_filter(lines, x -> NOT list_contains(coalesce(marks, []), x)) AS kept FROM p LEFT JOIN often USING (host))
+ k AS (SELECT p.*, list_filter(lines, lambda x: NOT list_contains(coalesce(marks, []), x)) AS kept FROM p LEFT JOIN often USING (host))
  SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped,
  sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k""")
 def op9_site_lines(spark, folder):
