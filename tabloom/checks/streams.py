@@ -21,10 +21,10 @@ def _arrivals(spark, folder):
     return ingest.arriving(spark, path, events.schema, files_per_batch=3), events.schema
 
 
-@registry.query("stream_append", "SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_type <> 'view'")
+@registry.query("stream_append", "SELECT event_id, ts, user_id, event_type, value FROM events")
 def stream_append(spark, folder):
     arriving, _ = _arrivals(spark, folder)
-    rows = arriving.where("event_type <> 'view'").drop("props")
+    rows = arriving.drop("props")
     path = fresh_path(spark, "appended")
     ingest.stream_append(rows, path, fresh_path(spark, "checkpoint")).awaitTermination()
     return spark.read.schema(rows.schema).parquet(path)

@@ -56,10 +56,14 @@ def header_marks_identifier(header: str) -> bool:
 
 def normalize_headers(headers: list[str]) -> list[str]:
     """Table column names for file headers: blank headers are numbered, repeats get a numeric suffix."""
-    seen: dict[str, int] = {}
+    used: set[str] = set()
     names = []
     for position, header in enumerate(headers, start=1):
-        base = sql_identifier(header or f"col_{position}")
-        seen[base] = seen.get(base, 0) + 1
-        names.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
+        base = name = sql_identifier(header or f"col_{position}")
+        copy = 1
+        while name in used:
+            copy += 1
+            name = f"{base}_{copy}"
+        used.add(name)
+        names.append(name)
     return names

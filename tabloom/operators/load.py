@@ -110,6 +110,10 @@ def delta_counts(target: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+class SchemaMismatch(ValueError):
+    """Rows do not have a table's columns."""
+
+
 def schema_mismatches(target: DataFrame, mapping: list[ColumnSpec]) -> list[str]:
     """Why a mapping cannot be loaded into a table as it is: names in order, then types.  Empty when it can."""
     fields = [f for f in target.schema.fields if f.name != ROW_HASH]

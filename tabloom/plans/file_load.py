@@ -22,7 +22,7 @@ def load_file(
     mapping: list[ColumnSpec] | None = None,
     separator: str | None = None,
     encoding: str | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """Detect, read, infer (unless a mapping is given), convert, load and verify: the rows the table then holds.
 

@@ -46,6 +46,17 @@ def _nodes(plan) -> Iterator:
         yield from _nodes(part)
 
 
+# Functions that call code outside the engine.
+OUTSIDE_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+
+
+def _function_names(expressions):
+    for expression in expressions:
+        if _kind(expression) == "UnresolvedFunction":
+            yield _items(expression.nameParts())[-1].lower()
+        yield from _function_names(_items(expression.children()))
+
+
 def _kind(node) -> str:
     return node.getClass().getSimpleName()
 
@@ -64,6 +75,9 @@ def _parsed(spark: SparkSession, sql: str):
     for node in _nodes(plan):
         if _kind(node) not in QUERY_NODES:
             raise ReadOnlyError(f"{_kind(node)} is not allowed")
+        for name in _function_names(_items(node.expressions())):
+            if name in OUTSIDE_FUNCTIONS:
+                raise ReadOnlyError(f"{name} is not allowed")
     return plan
 
 
@@ -73,8 +87,11 @@ def check_read_only(spark: SparkSession, sql: str) -> str:
     return sql.strip()
 
 
-def _table_names(plan) -> set[str]:
-    """Names a statement takes from outside itself."""
+def _table_names(plan) -> tuple[set[str], set[str]]:
+    """Names of the relations in a statement, and those that it defines itself.
+
+    A name may be both: a definition hides a table in what follows it, not in its own body.
+    """
     nodes = list(_nodes(plan))
     own = {
         cte.alias().lower()
@@ -86,7 +103,7 @@ def _table_names(plan) -> set[str]:
     named = {
         ".".join(_items(node.multipartIdentifier())).lower() for node in nodes if _kind(node) == "UnresolvedRelation"
     }
-    return named - own
+    return named, own
 
 
 def resolve_tables(catalog: DataFrame) -> DataFrame:
@@ -123,11 +140,21 @@ def run_query(
         for table, df in tables.items():
             if len(owners[table.lower()]) == 1:
                 visible[table.lower()] = df
-    for name in sorted(_table_names(plan)):
+    named, own = _table_names(plan)
+    for name in sorted(named - own):
         if len(owners.get(name, [])) > 1:
             raise ScopeError(f"{name} is ambiguous: {', '.join(sorted(owners[name]))}")
         if name not in visible:
             raise ScopeError(f"{name} is not in the scope")
-        visible[name].createOrReplaceTempView(name)
-    result = spark.sql(sql.strip().rstrip(";"))
+    for name in sorted((named & own) - set(visible)):
+        if spark.catalog.tableExists(name):  # where the definition does not hide it, it must not lead out of the scope
+            raise ScopeError(f"{name} is not in the scope")
+    views = sorted(named & set(visible))
+    try:
+        for name in views:
+            visible[name].createOrReplaceTempView(name)
+        result = spark.sql(sql.strip().rstrip(";"))  # resolved here: the views are not needed afterwards
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
     return result if limit is None else page(result, limit, offset, order_by)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +71,7 @@ def read_header(spark: SparkSession, path: str, separator: str, encoding: str =
 
 def read_for_mapping(
     spark: SparkSession, path: str, mapping: list[ColumnSpec], separator: str | None = None, encoding: str | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """A file read for an existing mapping: its text columns under the mapping's table names, in the mapping's order.
 
@@ -121,19 +123,31 @@ def _csv(spark: SparkSession, separator: str, encoding: str):
     )
 
 
+def has_quoted_breaks(spark: SparkSession, path: str, separator: str) -> bool:
+    """Whether some line ends inside a quoted value.
+
+    Whole quoted values are taken out of each line; what is left then holds an opening quote, at the start of a value, or
+    none.  Stray quotes inside values do not count.
+    """
+    start = rf"(?:^|{re.escape(separator)})"
+    inside = '"(?:[^"]++|"")*+'
+    lines = spark.read.text(path).select(F.regexp_replace("value", rf'({start}){inside}"(?={re.escape(separator)}|\s*$)', "$1").alias("rest"))
+    return not lines.where(F.col("rest").rlike(rf"{start}{inside}$")).isEmpty()
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
     separator: str | None = None,
     encoding: str | None = None,
     headers: list[str] | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """A delimited file (or a folder of them with the same header) as a DataFrame of text columns.
 
     Short rows end in NULLs, blank lines are skipped, a stray quote stays in its value.  Column names are the
-    normalised headers; the header itself is kept as metadata.  Files are split among tasks unless ``multiline`` says
-    that quoted values may hold line breaks.
+    normalised headers; the header itself is kept as metadata.  Files are split among tasks unless quoted values hold line
+    breaks: ``multiline`` says so, and unless it is given one pass over the lines finds out.
     """
     if separator is None or encoding is None:
         found_encoding, found_separator = detect_hints(spark, path)
@@ -145,6 +159,8 @@ def read_delimited(
             for name, header in zip(normalize_headers(headers), headers)
         ]
     )
+    if multiline is None:
+        multiline = has_quoted_breaks(spark, path, separator)
     return (
         _csv(spark, separator, encoding)
         .option("header", True)

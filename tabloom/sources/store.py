@@ -202,6 +202,10 @@ class TableStore:
             raise ValueError(f"repeated keys in {key!r}")
         newest = self._state(table).newest
         target = self._open(newest)
+        have, comes = ({f.name: f.dataType for f in df.schema.fields if f.name != ROW_HASH} for df in (target, incoming))
+        if have != comes:
+            odd = sorted(name for name in have.keys() | comes.keys() if have.get(name) != comes.get(name))
+            raise load.SchemaMismatch(f"{table}: columns differ from the table's: {', '.join(odd)}")
         located = target.withColumn("file_name", F.col("_metadata.file_name"))
         rows, kept = self._split(newest, keep_by_key(located, incoming, [key], present=True))
         new = incoming if rows is None else load.upsert(rows, incoming, key)

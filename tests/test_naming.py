@@ -43,3 +43,7 @@ def test_repeated_and_blank_headers():
 )
 def test_identifier_headers(header, marked):
     assert header_marks_identifier(header) is marked
+
+
+def test_normalised_headers_are_unique():
+    assert normalize_headers(["nome", "nome_2", "nome"]) == ["nome", "nome_2", "nome_3"]

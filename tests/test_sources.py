@@ -208,3 +208,40 @@ def test_series(spark):
     df = benchmark_rows(spark, 1000)
     assert df.agg(F.count_distinct("categoria"), F.count_distinct("data_ref")).first()[:] == (5, 730)
     assert df.where("id = 1").first().valor == Decimal("79.19")
+
+
+def test_quoted_line_breaks_are_found(spark, folder):
+    def read(name, text):
+        path = f"{folder}/{name}.csv"
+        with open(path, "w", encoding="utf-8") as file:
+            file.write(text)
+        return path, [tuple(r) for r in delimited.read_delimited(spark, path).collect()]
+
+    path, rows = read("breaks", 'id,nota\n1,"uma\nlinha, ""dita"""\n2,b\n')
+    assert rows == [("1", 'uma\nlinha, "dita"'), ("2", "b")] and delimited.has_quoted_breaks(spark, path, ",")
+    path, rows = read("stray", 'id,nota\n1,PAPEL 2"\n2,"a, ""b"""\n3,"x"\n')
+    assert [r[0] for r in rows] == ["1", "2", "3"] and not delimited.has_quoted_breaks(spark, path, ",")
+
+
+def test_a_scope_cannot_be_left(spark):
+    own, secret = spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(7,)], "a int")
+    assert run_query(spark, "SELECT a FROM hidden_rows", {"x": {"hidden_rows": secret}}).count() == 1
+    with pytest.raises(Exception, match="hidden_rows"):
+        run_query(spark, "WITH hidden_rows AS (SELECT * FROM hidden_rows) SELECT * FROM hidden_rows", {"x": {"t": own}}).collect()
+    nested = "SELECT * FROM hidden_rows WHERE a IN (WITH hidden_rows AS (SELECT 1 AS a) SELECT a FROM hidden_rows)"
+    with pytest.raises(Exception, match="hidden_rows"):
+        run_query(spark, nested, {"x": {"t": own}}).collect()
+    same = run_query(spark, "WITH t AS (SELECT a + 1 AS a FROM t) SELECT a FROM t", {"x": {"t": own}})
+    assert [r["a"] for r in same.collect()] == [2] and not spark.catalog.tableExists("t")
+    with pytest.raises(ReadOnlyError, match="reflect"):
+        check_read_only(spark, "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') AS d FROM t")
+    assert check_read_only(spark, "SELECT 'reflect(x)' AS d FROM t")
+
+
+def test_upserts_need_the_columns_of_the_table(spark, folder):
+    store = TableStore(spark, folder)
+    store.publish("t", spark.createDataFrame([(1, "a", "b")], "id int, a string, b string"), "replace", "first")
+    for rows, schema in (([(2, "a")], "id int, a string"), ([(2, "a", 3)], "id int, a string, b int")):
+        with pytest.raises(ValueError, match="columns differ"):
+            store.upsert("t", spark.createDataFrame(rows, schema), "id", "second")
+    assert store.read("t").count() == 1
