@@ -203,8 +203,12 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
     answers = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("to_id")).agg(
         F.first("page_id").alias("refers_to"), F.first("bytes").alias("to_bytes"), F.first("payload_digest").alias("to_digest")
     )
-    joined = found.join(answers, F.col("target") == F.col("to_id"), "left")
     revisit = F.col("record_type") == "revisit"
+    nothing = [F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in answers.columns]
+    # responses refer to nothing and are not shuffled for it
+    joined = found.where(~revisit).select("*", *nothing).unionByName(
+        found.where(revisit).join(answers, F.col("target") == F.col("to_id"), "left")
+    )
     digest = F.when(revisit, F.col("to_digest")).otherwise(F.col("payload_digest"))
     checked = F.when(digest.eqNullSafe(F.col("stated")), digest).otherwise(
         F.raise_error(F.concat(F.lit("payload and digest differ: "), F.col("record_id")))
