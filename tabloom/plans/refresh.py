@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.reconcile import table_counts
-from tabloom.session import materialize
+from tabloom.session import materialized
 from tabloom.sources.external import extract, newer_than, next_watermark
 from tabloom.sources.store import TableStore
 
@@ -45,13 +45,16 @@ def refresh(store: TableStore, source: Source, load_id: str, watermark=None) ->
     """Pull a source and publish it: replaced as a whole, or upserted when it has a key and the table exists."""
     pulled = pull(source, watermark)
     incremental = source.kind == "table" and source.key and source.delta_column
-    if source.key and store.exists(source.table):
-        pulled = materialize(pulled, "pulled")  # read from the source once, for check, join and mark
-        rows = store.upsert(source.table, pulled, source.key, load_id)
-    else:
-        rows = pulled = store.publish(source.table, pulled, "replace", load_id)
-    mark = next_watermark(pulled, source.delta_column, watermark).first().watermark if incremental else None
-    return Refreshed(rows, mark)
+
+    def mark(seen: DataFrame):
+        return next_watermark(seen, source.delta_column, watermark).first().watermark if incremental else None
+
+    if not (source.key and store.exists(source.table)):
+        rows = store.publish(source.table, pulled, "replace", load_id)
+        return Refreshed(rows, mark(rows))
+    with materialized(pulled, "pulled") as copy:  # read from the source once, for check, join and mark
+        rows = store.upsert(source.table, copy, source.key, load_id)
+        return Refreshed(rows, mark(copy))
 
 
 def group_id(*parts: str) -> str:

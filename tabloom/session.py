@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +42,19 @@ def materialize(df, label: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def materialized(df, label: str):
+    """A written copy as long as a block runs; it is deleted on leaving, so nothing lazy may still read it then."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 # Settings that suit these operators.  Conversions of wide tables make long generated methods; beyond 8000 bytecodes the
 # JVM would interpret them, so Spark is told to split the work of such a stage into shorter ones instead.
 RECOMMENDED_CONF = {

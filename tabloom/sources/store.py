@@ -10,6 +10,7 @@ import json
 from typing import NamedTuple
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +18,11 @@ from pyspark.sql import types as T
 from tabloom.operators import load
 from tabloom.operators.mapping import apply_mapping
 from tabloom.operators.skew import keep_by_key
-from tabloom.session import materialize
+from tabloom.session import materialized
 from tabloom.types import ROW_HASH, ColumnSpec
 
+ATTEMPTS = 5  # of a load that others overtake
+
 VERSIONS = T.StructType(
     [
         T.StructField("table_name", T.StringType()),
@@ -47,6 +50,10 @@ class IntegrityError(RuntimeError):
     """A written table does not hold the rows that were sent to it."""
 
 
+class OvertakenError(RuntimeError):
+    """Another load published a version since this one read the table."""
+
+
 class TableStore:
     """Versioned tables below one folder that all executors share.
 
@@ -92,14 +99,16 @@ class TableStore:
         load_id: str,
         inserted: int | None = None,
         kept: Kept = Kept([], 0),
+        state=None,
     ) -> DataFrame:
         """Write a folder, compare what was sent with what its files hold, and make it and ``kept`` the next version.
 
         A load id that is recorded already is not written again; leftovers of an unrecorded attempt are overwritten.
         ``inserted`` of the written rows come from the load's file (all, when not given); rows of the version before
-        that are in the next one neither way count as updated.
+        that are in the next one neither way count as updated.  ``state`` is what the rows were made from, when they
+        were made from the table; the next version follows that one or is refused.
         """
-        state = self._state(table, load_id)
+        state = self._state(table, load_id) if state is None else state
         if state.done:
             return self._open(state.newest)
         path = f"{self.root}/{table}/{load_id}"
@@ -117,9 +126,11 @@ class TableStore:
     ) -> DataFrame:
         """Make a list of files the current version."""
         before = state.newest
+        version = 1 if before is None else before.version + 1
+        self._claim(table, version, load_id)
         entry = (
             table,
-            1 if before is None else before.version + 1,
+            version,
             load_id,
             paths,
             mode,
@@ -132,6 +143,27 @@ class TableStore:
         self.spark.createDataFrame([entry], VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
         return self._read(paths, schema)
 
+    def _claim(self, table: str, version: int, load_id: str) -> None:
+        """Take a version's number by creating a file that must not exist: of two loads from one version one is refused.
+
+        A load that died between this and its record keeps the number, and its retry, which has its id, goes on.
+        """
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/{table}/{version}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = files.create(path, False)
+        except Py4JJavaError as error:
+            if not error.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
+                raise
+            held = files.open(path)
+            owner = bytes(held.readAllBytes()).decode("utf-8")
+            held.close()
+            if owner != load_id:
+                raise OvertakenError(f"{table}: version {version} is that of load {owner!r}") from None
+        else:
+            out.write(bytearray(load_id.encode("utf-8")))
+            out.close()
+
     def _read(self, paths: list[str], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
 
@@ -158,49 +190,68 @@ class TableStore:
     ) -> DataFrame:
         """Load a text DataFrame in one of the modes ``replace``, ``append`` and ``upsert``.
 
-        A replace of a table that has row hashes and the same columns becomes a delta replace.
+        A replace of a table that has row hashes and the same columns becomes a delta replace.  A load that another one
+        overtakes starts again from the new version.
         """
+        for _ in range(ATTEMPTS - 1):
+            try:
+                return self._load(table, raw, mapping, mode, load_id, key)
+            except OvertakenError:
+                continue
+        return self._load(table, raw, mapping, mode, load_id, key)
+
+    def _load(
+        self, table: str, raw: DataFrame, mapping: list[ColumnSpec], mode: str, load_id: str, key: str | None
+    ) -> DataFrame:
         state = self._state(table, load_id)
         if state.done:
             return self._open(state.newest)
         incoming = apply_mapping(raw, mapping, with_hash=True)
         newest = state.newest
         if newest is None:
-            return self.publish(table, incoming, "replace", load_id)
+            return self.publish(table, incoming, "replace", load_id, state=state)
         target = self._open(newest)
         mismatches = load.schema_mismatches(target, mapping)
         if mode == "replace":
             if mismatches or ROW_HASH not in target.columns:
-                return self.publish(table, incoming, "replace", load_id)
-            incoming = materialize(incoming, "incoming")  # parsed and hashed once, read by both joins
-            changes = materialize(load.delta_changes(target, incoming), "changes")
-            inserted = load.delta_counts(target, changes).first().inserted
-            located = target.withColumn("file_name", F.col("_metadata.file_name"))
-            unhashed = located.where(F.col(ROW_HASH).isNull())
-            gone = changes.where("target_rows > 0")
-            leaving = keep_by_key(located, gone, [ROW_HASH], present=True, unique=True).unionByName(unhashed)
-            rows, kept = self._split(newest, leaving)
-            if rows is None and inserted == 0:  # the same file again
-                return self._record(state, table, load_id, "delta-replace", kept.paths, kept.rows, 0, target.schema)
-            added = load.new_rows(incoming, changes)
-            if rows is not None:
-                added = load.rows_kept(rows, changes).unionByName(added)
-            return self.publish(table, added, "delta-replace", load_id, inserted, kept)
+                return self.publish(table, incoming, "replace", load_id, state=state)
+            with materialized(incoming, "incoming") as file:  # parsed and hashed once, read by both joins
+                with materialized(load.delta_changes(target, file), "changes") as changes:
+                    return self._delta(state, table, file, changes, load_id)
         if mismatches:
             raise ValueError("incompatible schema: " + "; ".join(mismatches))
         if mode == "append":
-            return self.publish(table, incoming, "append", load_id, kept=Kept(newest.paths, newest.row_count))
+            kept = Kept(newest.paths, newest.row_count)
+            return self.publish(table, incoming, "append", load_id, kept=kept, state=state)
         if mode != "upsert":
             raise ValueError(f"unknown load mode {mode!r}")
         if key is None or key not in [c.sql_name for c in mapping]:
             raise ValueError("upsert needs a key column of the file")
-        return self.upsert(table, materialize(incoming, "incoming"), key, load_id)
+        with materialized(incoming, "incoming") as file:
+            return self.upsert(table, file, key, load_id)
+
+    def _delta(self, state, table: str, incoming: DataFrame, changes: DataFrame, load_id: str) -> DataFrame:
+        """Publish what a change set says: its new rows, and the files it takes rows out of without these."""
+        target = self._open(state.newest)
+        inserted = load.delta_counts(target, changes).first().inserted
+        located = target.withColumn("file_name", F.col("_metadata.file_name"))
+        unhashed = located.where(F.col(ROW_HASH).isNull())
+        gone = changes.where("target_rows > 0")
+        leaving = keep_by_key(located, gone, [ROW_HASH], present=True, unique=True).unionByName(unhashed)
+        rows, kept = self._split(state.newest, leaving)
+        if rows is None and inserted == 0:  # the same file again
+            return self._record(state, table, load_id, "delta-replace", kept.paths, kept.rows, 0, target.schema)
+        added = load.new_rows(incoming, changes)
+        if rows is not None:
+            added = load.rows_kept(rows, changes).unionByName(added)
+        return self.publish(table, added, "delta-replace", load_id, inserted, kept, state)
 
     def upsert(self, table: str, incoming: DataFrame, key: str, load_id: str) -> DataFrame:
         """Publish ``incoming`` over the rows that share its keys.  Repeated keys are refused."""
         if not load.duplicate_keys(incoming, key).isEmpty():
             raise ValueError(f"repeated keys in {key!r}")
-        newest = self._state(table).newest
+        state = self._state(table, load_id)
+        newest = state.newest
         target = self._open(newest)
         have, comes = ({f.name: f.dataType for f in df.schema.fields if f.name != ROW_HASH} for df in (target, incoming))
         if have != comes:
@@ -209,7 +260,7 @@ class TableStore:
         located = target.withColumn("file_name", F.col("_metadata.file_name"))
         rows, kept = self._split(newest, keep_by_key(located, incoming, [key], present=True))
         new = incoming if rows is None else load.upsert(rows, incoming, key)
-        return self.publish(table, new, "upsert", load_id, incoming.count(), kept)
+        return self.publish(table, new, "upsert", load_id, incoming.count(), kept, state)
 
     def without(self, tables: list[str]) -> DataFrame:
         """The versions that remain when some tables are dropped; their files are left to the file system's policy."""

@@ -7,7 +7,7 @@ from tabloom import types as hub
 from tabloom.operators import load
 from tabloom.operators.mapping import apply_mapping
 from tabloom.operators.skew import keep_by_key
-from tabloom.sources.store import IntegrityError, TableStore
+from tabloom.sources.store import IntegrityError, OvertakenError, TableStore
 from tabloom.types import ColumnSpec
 
 MAPPING = [
@@ -117,6 +117,36 @@ def test_guard_keeps_the_old_version(store, file_of, monkeypatch):
     assert store.read("t").count() == 3
 
 
+def test_of_two_writers_from_one_version_none_is_lost(store, file_of, monkeypatch):
+    store.load("t", file_of(range(3)), MAPPING, "replace", "a")
+    seen, rows = store._state("t"), store.read("t")
+    store.load("t", file_of([10]), MAPPING, "append", "b")
+    with pytest.raises(OvertakenError):
+        store.publish("t", rows, "replace", "c", state=seen)
+    assert ids(store.read("t")) == [0, 1, 2, 10]
+
+    late, now = [seen], store._state
+    monkeypatch.setattr(store, "_state", lambda *args: late.pop() if late else now(*args))
+    assert ids(store.load("t", file_of([20]), MAPPING, "append", "d")) == [0, 1, 2, 10, 20]
+    assert sorted(r.version for r in store.versions().collect()) == [1, 2, 3]
+
+
+def test_a_claim_is_taken_up_by_the_retry(store, file_of):
+    store.load("t", file_of(range(3)), MAPPING, "replace", "a")
+    store._claim("t", 2, "b")
+    assert ids(store.load("t", file_of([10]), MAPPING, "append", "b")) == [0, 1, 2, 10]
+
+
+def test_loads_leave_no_copies(spark, store, file_of, monkeypatch, tmp_path):
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr("tabloom.session.shared_dir", lambda spark: str(shared))
+    store.load("t", file_of(range(9)), MAPPING, "replace", "a")
+    assert ids(store.load("t", file_of(range(4, 12)), MAPPING, "replace", "b")) == list(range(4, 12))
+    assert ids(store.load("t", file_of([5, 40]), MAPPING, "upsert", "c", key="id")) == [*range(4, 12), 40]
+    assert list(shared.iterdir()) == []
+
+
 def test_delta_set_and_multiset(text_rows, broadcast_limit):
     def hashed(rows):
         return apply_mapping(text_rows(["id", "nome", "valor"], rows), MAPPING, with_hash=True)
