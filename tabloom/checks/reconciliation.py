@@ -25,7 +25,8 @@ def _line_sql(table: str) -> str:
         "dec": "CAST(CAST({0} AS DECIMAL(18,4)) AS VARCHAR)",
         "day": "CASE WHEN year({0}) BETWEEN 1753 AND 9999 THEN strftime({0}, '%Y-%m-%d %H:%M:%S') END",
     }
-    fields = [f"coalesce({spelled[kind].format(c)}, '')" for c, kind in frames.columns_of(table)]
+    texts = [spelled[kind].format(c) for c, kind in frames.columns_of(table)]
+    fields = [f"coalesce(strlen({text}) || ':' || {text}, '-')" for text in texts]
     return f"SELECT md5(concat_ws('|', {', '.join(fields)})) AS h FROM {table}"
 
 

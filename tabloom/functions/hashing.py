@@ -28,5 +28,5 @@ def row_hash(columns: list[Column]) -> Column:
 
 def digest_sum(digest: Column, start: int) -> Column:
     """Aggregate: the sum of fifteen hex digits of each digest, as text.  Order and partitioning do not matter."""
-    number = F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)")
+    number = F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(28,0)")
     return F.coalesce(F.sum(number), F.lit(0)).cast("string")

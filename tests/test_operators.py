@@ -88,6 +88,16 @@ def test_leaf_digits():
     assert [reconcile.leaf_digits(n) for n in (0, 65_536, 65_537, 2**20, 2**21, 10**12)] == [1, 1, 1, 1, 2, 6]
 
 
+def test_compare_tells_bars_empty_texts_and_null_apart(spark):
+    def of(*row):
+        return spark.createDataFrame([row], "a string, b string")
+
+    same = {"bar": (of("a|b", "c"), of("a", "b|c")), "empty": (of("", "c"), of(None, "c")), "null": (of(None, "c"), of(None, "c"))}
+    assert {r.table_name: r.equal for r in reconcile.compare_tables(same).collect()} == {"bar": False, "empty": False, "null": True}
+    nothing = of("a", "b").limit(0)
+    assert reconcile.fingerprint_sums(nothing).first() == (0, "0", "0")
+
+
 def test_compare_counts_repeats(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "id int")
     b = spark.createDataFrame([(1,), (2,), (2,)], "id int")
