@@ -128,7 +128,7 @@ def stale_runs(spark, folder):
 @registry.query(
     "orphan_jobs",
     f"""{_with(frames.JOBS_SQL)} SELECT c_custkey AS derived_id, c_name AS derived_name FROM customer WHERE c_acctbal < 5000 AND NOT EXISTS
- (SELECT 1 FROM jobs j WHERE j.status IN ('QUEUED', 'RUNNING') AND json_extract_string(j.payload, '$.k') = CAST(c_custkey AS VARCHAR))""",
+ (SELECT 1 FROM jobs j WHERE j.type = 'purchase' AND j.status IN ('QUEUED', 'RUNNING') AND json_extract_string(j.payload, '$.k') = CAST(c_custkey AS VARCHAR))""",
 )
 def orphan_jobs(spark, folder):
     derived = frames.table(spark, folder, "customer").select(
@@ -136,7 +136,7 @@ def orphan_jobs(spark, folder):
         F.col("c_name").alias("derived_name"),
         F.when(F.col("c_acctbal") < 5000, "running").otherwise("completed").alias("last_status"),
     )
-    orphans = g.without_active_job(derived, frames.jobs(spark, folder), "derived_id", "k")
+    orphans = g.without_active_job(derived, frames.jobs(spark, folder), "derived_id", "k", "purchase")
     return orphans.select("derived_id", "derived_name")
 
 
@@ -203,12 +203,11 @@ def job_kpis(spark, folder):
 
 @registry.query(
     "avg_load_seconds",
-    f"""{_with(frames.JOBS_SQL)} SELECT round(avg(floor((epoch_us(updated_at) - epoch_us(locked_at)) / 1000000.0)), 6) AS avg_seconds
- FROM jobs WHERE status = 'COMPLETED' AND locked_at IS NOT NULL AND updated_at >= {LAST} - INTERVAL 7 DAY""",
+    f"""{_with(frames.JOBS_SQL)} SELECT CAST(round(avg(epoch_us(updated_at) - epoch_us(locked_at)) / 1000000.0) AS BIGINT) AS avg_seconds
+ FROM jobs WHERE status = 'COMPLETED' AND type = 'purchase' AND locked_at IS NOT NULL AND updated_at >= {LAST} - INTERVAL 7 DAY""",
 )
 def avg_load_seconds(spark, folder):
-    average = g.average_load_seconds(frames.jobs(spark, folder), frames.last_moment(spark, folder))
-    return average.select(F.round("avg_seconds", 6).alias("avg_seconds"))
+    return g.average_load_seconds(frames.jobs(spark, folder), frames.last_moment(spark, folder), "purchase")
 
 
 @registry.query(

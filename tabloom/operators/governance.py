@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.moments import unix_micros
 from tabloom.operators.ranking import keep_newest
-from tabloom.operators.skew import keep_by_key
+from tabloom.operators.skew import keep_by_key, look_up
 
 # States, permission order, ages and batch sizes.
 PERMISSION_RANK = {"READ": 1, "WRITE": 2, "ADMIN": 3}
@@ -193,9 +193,14 @@ def json_key(payload: Column, key: str) -> Column:
     return F.get_json_object(payload, f"$.{key}")
 
 
-def without_active_job(parents: DataFrame, jobs: DataFrame, parent_key: str, payload_key: str) -> DataFrame:
-    """Parents marked as running that no queued or running job refers to in its payload."""
-    active = jobs.where(F.col("status").isin(*ACTIVE_JOBS)).select(
+def without_active_job(
+    parents: DataFrame, jobs: DataFrame, parent_key: str, payload_key: str, job_type: str
+) -> DataFrame:
+    """Parents marked as running that no queued or running job of their type refers to in its payload.
+
+    Payloads of other types may hold an equal key that means something else.
+    """
+    active = jobs.where(F.col("status").isin(*ACTIVE_JOBS) & (F.col("type") == job_type)).select(
         json_key(F.col("payload"), payload_key).alias("parent_text")
     )
     running = parents.where("last_status = 'running'").withColumn("parent_text", F.col(parent_key).cast("string"))
@@ -225,19 +230,20 @@ def job_kpis(jobs: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def average_load_seconds(jobs: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """Mean whole-second duration of the completed jobs of the last days."""
+def average_load_seconds(jobs: DataFrame, now: Column, job_type: str, days: int = 7) -> DataFrame:
+    """Mean duration, in whole seconds, of the completed jobs of a type in the last days."""
     recent = jobs.where(
-        (F.col("status") == "COMPLETED") & F.col("locked_at").isNotNull()
+        (F.col("status") == "COMPLETED") & (F.col("type") == job_type) & F.col("locked_at").isNotNull()
         & within(F.col("updated_at"), now, days * 86_400)
     )
-    return recent.agg(F.avg(seconds_between(F.col("locked_at"), F.col("updated_at"))).alias("avg_seconds"))
+    micros = unix_micros(F.col("updated_at")) - unix_micros(F.col("locked_at"))
+    return recent.agg(F.round(F.avg(micros) / 1_000_000).cast("bigint").alias("avg_seconds"))
 
 
 def enrich_jobs(jobs: DataFrame, sources: DataFrame, payload_key: str) -> DataFrame:
-    """Jobs with the name of the source their payload refers to."""
+    """Jobs with the name of the source their payload refers to; many jobs may refer to one source, or to none."""
     named = sources.select(F.col("source_id").cast("string").alias("source_ref"), "source_name")
-    return jobs.withColumn("source_ref", json_key(F.col("payload"), payload_key)).join(named, "source_ref", "left")
+    return look_up(jobs.withColumn("source_ref", json_key(F.col("payload"), payload_key)), named, ["source_ref"])
 
 
 def status_funnel(uploads: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tabloom import types as hub
 from tabloom.operators import load
 from tabloom.operators.mapping import apply_mapping
-from tabloom.operators.skew import keep_by_key
+from tabloom.operators.skew import keep_by_key, look_up
 from tabloom.sources.store import IntegrityError, OvertakenError, TableStore
 from tabloom.types import ColumnSpec
 
@@ -219,6 +219,16 @@ def test_keep_by_key_spreads_a_hot_key(spark):
         per_task = kept.groupBy(F.spark_partition_id()).count().collect()
         assert sum(r["count"] for r in per_task) == 2667
         assert len(per_task) > 1
+        # nor does it matter that the rows come out of a shuffle by the key: another one before it spreads them
+        crowd = spark.range(20_000).selectExpr("if(id % 10 = 0, id, -1) as k", "id as v").repartition(8, "k")
+        for present in (True, False):
+            kept = keep_by_key(crowd, spark.range(500).selectExpr("id - 1 as k"), ["k"], present)
+            assert kept.count() == (18_050 if present else 1950)
+            shuffles = [p for p in kept._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(k" in p]
+            assert shuffles  # of the rows that are not hot
+        facts = spark.range(2).selectExpr("id - 1 as k", "'x' as name")
+        named = look_up(crowd.unionByName(spark.createDataFrame([(None, 1)], "k bigint, v bigint")), facts, ["k"])
+        assert (named.count(), named.where("name = 'x'").count()) == (20_001, 18_001)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
