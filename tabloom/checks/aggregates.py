@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.checks import Registry, frames
 from tabloom.functions.display import feed_value
-from tabloom.operators import load, ranking, reconcile
+from tabloom.operators import load, profile, ranking, reconcile
 from tabloom.plans.scoped_sql import run_query
 
 registry = Registry()
@@ -191,7 +191,7 @@ def page_truncated(spark, folder):
 )
 def preview_rows(spark, folder):
     documents = frames.table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
-    return documents.orderBy(F.desc("n_chars"), "doc_id").limit(20)
+    return profile.preview(documents, [F.desc("n_chars"), "doc_id"])
 
 
 @registry.query(

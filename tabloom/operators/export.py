@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.display import feed_value, time_cell
+from tabloom.session import materialized
 from tabloom.types import ColumnSpec
 
 BOM = "﻿"
@@ -67,9 +68,14 @@ def write_lines(lines: DataFrame, path: str, header: str | None = None, trailer:
 
 
 def write_ndjson(df: DataFrame, path: str) -> None:
-    """Header object with the columns, one object per row, and a trailer with the row count."""
+    """Header object with the columns, one object per row, and a trailer with the row count.
+
+    The rows are computed once, into a working copy that is counted and exported: a source that changes meanwhile cannot
+    make the trailer disagree with them.
+    """
     spark = df.sparkSession
     names = [F.lit(c) for c in df.columns]
     header = spark.range(1, numPartitions=1).select(F.to_json(F.struct(F.array(*names).alias("columns"))).alias("line"))
-    trailer = df.agg(F.to_json(F.struct(F.count(F.lit(1)).alias("rowCount"))).alias("line"))
-    header.unionByName(export_ndjson(df)).unionByName(trailer).write.text(path)
+    with materialized(export_ndjson(df), "ndjson") as lines:
+        trailer = lines.agg(F.to_json(F.struct(F.count(F.lit(1)).alias("rowCount"))).alias("line"))
+        header.unionByName(lines).unionByName(trailer).write.text(path)

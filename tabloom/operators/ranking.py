@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import datetime
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.display import feed_value
@@ -15,6 +17,9 @@ MAX_PAGE = 10_000
 FEED_PAGE = 5_000
 PREVIEW_ROWS = 100
 CURSOR_PAGE = 100
+NEAR_ROWS = 100_000  # an offset up to this is skipped in the sorted head of the result
+RANGES = 256  # into which a result is counted to get near a larger offset
+SAMPLES_PER_RANGE = 20
 
 
 def keep_newest(df: DataFrame, group: str, order: list[str], keep: int = 10) -> DataFrame:
@@ -78,18 +83,81 @@ def _checked_page(limit: int, offset: int) -> None:
         raise ValueError("offset must not be negative")
 
 
+def _key(df: DataFrame, order_by: list[str], values) -> Column:
+    """A row's place in the order, to be compared with ``F.struct(*order_by)``; NULL comes first in both."""
+    plain = [str(v) if isinstance(v, (datetime.datetime, datetime.date)) else v for v in values]
+    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order_by, plain)])
+
+
+def _near(df: DataFrame, order_by: list[str], offset: int, rows: int) -> tuple[DataFrame, int]:
+    """A range of the order that holds the ``rows`` rows from ``offset`` on, and the offset within it.
+
+    A large offset is approached by counting: a bounded sample cuts the order into ranges, one aggregate counts the rows
+    of each, and only the ranges of the page are looked at further.  So no task holds the rows before a page.  The sample
+    decides how even the ranges are, never which rows are found.  Rows that tie in the order stay in one range.
+    """
+    key = F.struct(*order_by)
+    while offset > NEAR_ROWS:
+        total = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+        if offset >= total:
+            return df.where(F.lit(False)), 0
+        share = min(1.0, RANGES * SAMPLES_PER_RANGE / total)
+        drawn = df.select(*order_by).sample(fraction=share, seed=1).distinct().orderBy(*order_by).collect()
+        cuts = [_key(df, order_by, values) for values in drawn[:: max(1, len(drawn) // RANGES)]]
+        if not cuts:
+            break
+        place = F.size(F.filter(F.array(*cuts), lambda cut: cut <= key))
+        counts = {r["place"]: r["n"] for r in df.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        before, first = 0, 0
+        while before + counts.get(first, 0) <= offset:
+            before += counts.get(first, 0)
+            first += 1
+        upto, last = before, first
+        while upto < min(total, offset + rows):
+            upto += counts.get(last, 0)
+            last += 1
+        if first:
+            df = df.where(key >= cuts[first - 1])
+        if last <= len(cuts):
+            df = df.where(key < cuts[last - 1])
+        offset -= before
+        if upto - before == total:  # one range holds all: its rows tie
+            break
+    return df, offset
+
+
 def page(df: DataFrame, limit: int, offset: int = 0, order_by: list[str] | None = None) -> DataFrame:
-    """One page of a result.  A page beyond the first needs an order, else pages would overlap."""
+    """One page of a result.  A page beyond the first needs an order, else pages would overlap.
+
+    An offset beyond NEAR_ROWS runs counts first.  A reader that walks a result continues with ``page_after`` instead.
+    """
     _checked_page(limit, offset)
     if offset and not order_by:
         raise ValueError("order_by is required with an offset")
+    if order_by:
+        df, offset = _near(df, order_by, offset, limit)
     ordered = df.orderBy(*order_by) if order_by else df
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
+def page_after(df: DataFrame, limit: int, order_by: list[str], after: tuple | None = None) -> DataFrame:
+    """The page behind a place in the order: a filter that reaches the scan.  The order has to be unique."""
+    _checked_page(limit, 0)
+    if after is not None:
+        df = df.where(F.struct(*order_by) > _key(df, order_by, after))
+    return df.orderBy(*order_by).limit(limit)
+
+
+def continuation(rows: DataFrame, limit: int, order_by: list[str]) -> tuple | None:
+    """Where the page behind ``rows`` starts, or None when ``rows`` is not a full page.  An action on one page."""
+    end = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*order_by)).alias("last")).first()
+    return tuple(end["last"]) if end["n"] == limit else None
+
+
 def page_with_flag(df: DataFrame, limit: int, order_by: list[str], offset: int = 0) -> DataFrame:
     """One page and, on every row of it, whether more rows follow: one row beyond the page is fetched to know."""
     _checked_page(limit, offset)
+    df, offset = _near(df, order_by, offset, limit + 1)
     ordered = df.orderBy(*order_by)
     fetched = (ordered.offset(offset) if offset else ordered).limit(limit + 1)
     whole = Window.partitionBy(F.lit(0))  # a page: MAX_PAGE + 1 rows at most
@@ -102,13 +170,21 @@ def page_with_flag(df: DataFrame, limit: int, order_by: list[str], offset: int =
 
 
 def feed_page(
-    df: DataFrame, order_by: list[str], top: int = FEED_PAGE, skip: int = 0, select: list[str] | None = None
+    df: DataFrame,
+    order_by: list[str],
+    top: int = FEED_PAGE,
+    skip: int = 0,
+    select: list[str] | None = None,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """A feed page: known columns of the request in table order, feed spelling of values, and a running row number."""
+    """A feed page: known columns of the request in table order, feed spelling of values, and a running row number.
+
+    ``after`` is the continuation of the page before; ``skip`` then only numbers the rows.
+    """
     columns = [c for c in df.columns if select is None or c in select]
     if not columns:
         raise ValueError("no known column selected")
-    rows = page(df, top, skip, order_by)
+    rows = page(df, top, skip, order_by) if after is None else page_after(df, top, order_by, after)
     numbered = rows.withColumn(
         "_row_number", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order_by)) + skip  # one page
     )

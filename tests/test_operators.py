@@ -1,7 +1,9 @@
 """Ranking, governance, reconciliation, export and streaming against brute force and by invariants."""
 
 import datetime
+import glob
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +51,55 @@ def test_pages(spark):
     assert [r.id for r in ranking.iterate_rows(df)] == list(range(10))
 
 
+@pytest.mark.parametrize("rows", [3000, 40])
+def test_far_pages(spark, monkeypatch, rows):
+    """Pages far into a result, with NULL and ties in the order, against a sorted list."""
+    monkeypatch.setattr(ranking, "NEAR_ROWS", 20)
+    monkeypatch.setattr(ranking, "RANGES", 6)
+    df = spark.range(rows).selectExpr("if(id % 3 = 0, null, id % 17) as g", "id", "timestamp_ntz '2024-01-01' + make_interval(0,0,0,0,0,0,id % 5) as at")
+    df = df.repartition(5)
+    for order in (["g", "id"], ["at", "id"], ["g"]):
+        every = sorted(df.collect(), key=lambda r: [(r[c] is not None, r[c]) for c in order])
+        for offset in (0, 19, 21, rows // 2, rows - 4, rows + 5):
+            found = ranking.page(df, 10, offset, order).collect()
+            assert [[r[c] for c in order] for r in found] == [[r[c] for c in order] for r in every[offset : offset + 10]]
+    flagged = ranking.page_with_flag(df, 10, ["g", "id"], rows - 10).collect()
+    assert len(flagged) == 10 and not any(r.truncated for r in flagged)
+
+
+def test_far_pages_leave_rows_before_them_alone(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "NEAR_ROWS", 1000)
+    plan = ranking.page(spark.range(50_000), 10, 40_000, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert max(int(n) for n in re.findall(r"limit=(\d+)", plan)) <= 1010
+
+
+def test_continued_pages(spark):
+    df = spark.range(25).selectExpr("if(id < 4, null, id div 2) as g", "id").repartition(3)
+    seen, after = [], None
+    while True:
+        rows = ranking.page_after(df, 5, ["g", "id"], after)
+        seen += [r.id for r in rows.collect()]
+        after = ranking.continuation(rows, 5, ["g", "id"])
+        if after is None:
+            break
+    assert seen == list(range(25))
+    feed = ranking.feed_page(df, ["g", "id"], 5, 5, after=(2, 4)).collect()
+    assert [(r["id"], r["_row_number"]) for r in feed] == [("5", 6), ("6", 7), ("7", 8), ("8", 9), ("9", 10)]
+
+
+def test_orphans_and_durations_by_type(spark):
+    jobs = spark.createDataFrame(
+        [("REFRESH", "RUNNING", '{"k": 1}', 0, 0), ("OTHER", "RUNNING", '{"k": 2}', 0, 0), ("REFRESH", "COMPLETED", "{}", 0, 3),
+         ("REFRESH", "COMPLETED", "{}", 0, 4), ("OTHER", "COMPLETED", "{}", 0, 90)],
+        "type string, status string, payload string, a int, b int",
+    ).selectExpr("type", "status", "payload", *[f"timestamp_ntz '2024-01-01' + make_interval(0,0,0,0,0,0,{c}) as {n}"
+                                                for c, n in (("a", "locked_at"), ("b", "updated_at"))])
+    parents = spark.createDataFrame([(1, "running"), (2, "running"), (3, "completed")], "id int, last_status string")
+    assert [r.id for r in governance.without_active_job(parents, jobs, "id", "k", "REFRESH").collect()] == [2]
+    now = F.lit("2024-01-02").cast("timestamp_ntz")
+    assert governance.average_load_seconds(jobs, now, "REFRESH").first().avg_seconds == 4
+
+
 def test_access(spark):
     grants = spark.createDataFrame(
         [(1, "GLOBAL", None, "READ"), (1, "DATASET", 5, "ADMIN"), (2, "PROJECT", 1, "WRITE"), (3, "DATASET", 6, "READ")],
@@ -108,16 +159,12 @@ def test_compare_counts_repeats(spark):
 def test_export_file(spark, folder, text_rows):
     df = text_rows(["a", "b"], [("1", 'x;"y"'), ("2", None), ("3", "1970-01-01T08:30:00.000Z")])
     export.write_lines(export.export_csv(df), f"{folder}/out", header="a;b")
-    import glob
-
     whole = b"".join(open(p, "rb").read() for p in sorted(glob.glob(f"{folder}/out/part-*")))
     assert whole.decode("utf-8") == '﻿a;b\r\n1;"x;""y"""\r\n2;\r\n3;08:30:00\r\n'
 
 
 def test_ndjson_file(spark, folder, text_rows):
     export.write_ndjson(text_rows(["a"], [("1",), ("2",)]), f"{folder}/out")
-    import glob
-
     lines = [line for p in sorted(glob.glob(f"{folder}/out/part-*")) for line in open(p).read().splitlines()]
     assert lines[0] == '{"columns":["a"]}' and lines[-1] == '{"rowCount":2}' and sorted(lines[1:-1]) == ['{"a":"1"}', '{"a":"2"}']
 
@@ -137,14 +184,23 @@ def test_stream_upsert_survives_a_rerun(spark, folder, table):
     half[1].write.mode("append").parquet(f"{folder}/in")
     run()
     run()  # nothing new
-    streamed = ingest.upserted(spark, [f"{folder}/out"], events.schema, "user_id", order)
-    whole = load.latest_per_key(events, "user_id", order)
-    assert sorted(streamed.collect()) == sorted(whole.collect())
-    base = f"{folder}/base"
-    ingest.compact(spark, [f"{folder}/out"], events.schema, "user_id", order, base)
-    for paths in ([base], [base, f"{folder}/out"]):
-        again = ingest.upserted(spark, paths, events.schema, "user_id", order)
-        assert sorted(again.collect()) == sorted(whole.collect())
+    out = f"{folder}/out"
+
+    def current():
+        return sorted(ingest.upserted(spark, out, events.schema, "user_id", order).collect())
+
+    whole = sorted(load.latest_per_key(events, "user_id", order).collect())
+    assert current() == whole
+    ingest.compact(spark, out, events.schema, "user_id", order)
+    assert current() == whole
+    later = events.where("event_id < 9").withColumn("ts", F.lit("2090-01-01").cast("timestamp_ntz"))
+    later.write.mode("append").parquet(f"{folder}/in")
+    run()
+    whole = sorted(load.latest_per_key(events.unionByName(later), "user_id", order).collect())
+    assert current() == whole
+    ingest.compact(spark, out, events.schema, "user_id", order, drop=True)  # the second base reads the first
+    assert current() == whole
+    assert [int(p.split("=")[1]) for p in glob.glob(f"{out}/_bases/upto=*")] and len(glob.glob(f"{out}/batch_id=*")) == 1
 
 
 def test_stream_append(spark, folder, table):
