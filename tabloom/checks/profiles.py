@@ -131,7 +131,8 @@ _CANONICAL = {"int": "BIGINT", "str": "NVARCHAR(MAX)", "dec": "DECIMAL(18,4)", "
     ),
 )
 def list_columns(spark, folder):
-    return profile.list_columns({t: frames.table(spark, folder, t) for t in frames.TABLES})
+    tables = {t: frames.table(spark, folder, t) for t in frames.TABLES}
+    return profile.list_columns(tables).join(table_counts(tables, "row_count"), "table_name")
 
 
 @registry.query(

@@ -33,6 +33,17 @@ def read_delimited_quoted(spark, folder):
     )
 
 
+@registry.query(
+    "read_delimited_detected", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, text FROM documents"
+)
+def read_delimited_detected(spark, folder):
+    """The same texts with nothing said about the files: separator, encoding and line breaks are found out."""
+    documents = frames.table(spark, folder, "documents").select(F.col("doc_id").cast("string"), "lang", "source", "text")
+    path = fresh_path(spark, "file")
+    documents.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return delimited.read_delimited(spark, path)
+
+
 @registry.query(
     "detect_separator",
     """SELECT doc_id, CASE WHEN a >= b AND a >= c THEN ';' WHEN b >= c THEN ',' ELSE chr(9) END AS separator FROM (SELECT doc_id, length(head)

@@ -11,7 +11,7 @@ from tabloom import types as hub
 from tabloom.functions import convert, dates
 from tabloom.functions.text import BLANKS, left_trimmed
 from tabloom.naming import header_marks_identifier, normalize_headers
-from tabloom.types import ColumnSpec
+from tabloom.types import ColumnSpec, header_of
 
 # One bit per property of a value.
 _INT, _DECIMAL, _DATE, _CLOCK = 1, 2, 4, 8  # must hold for all values of a column
@@ -105,12 +105,13 @@ def _full_stats(df: DataFrame) -> DataFrame:
 
 def infer_schema(df: DataFrame) -> DataFrame:
     """Ordinal, header, table column name and canonical type of every column of a text DataFrame."""
-    return _typed(column_stats(df), df.columns)
+    return _typed(column_stats(df), df)
 
 
-def _typed(stats: DataFrame, headers: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
-    names = F.array(*[F.lit(n) for n in normalize_headers(headers)])
-    marked = F.array(*[F.lit(header_marks_identifier(h)) for h in headers])
+def _typed(stats: DataFrame, df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    headers = F.array(*[F.lit(header_of(f)) for f in df.schema.fields])
+    names = F.array(*[F.lit(n) for n in normalize_headers(df.columns)])
+    marked = F.array(*[F.lit(header_marks_identifier(header_of(f))) for f in df.schema.fields])
     position = F.col("ordinal")
     sql_type = (
         F.when(F.col("sample_count") == 0, hub.TEXT)
@@ -124,7 +125,7 @@ def _typed(stats: DataFrame, headers: list[str], extra: tuple[str, ...] = ()) ->
     )
     return stats.select(
         "ordinal",
-        F.col("column_name").alias("original_name"),
+        F.element_at(headers, position).alias("original_name"),
         F.element_at(names, position).alias("sql_name"),
         sql_type.alias("sql_type"),
         *extra,
@@ -143,15 +144,15 @@ def native_mapping(df: DataFrame) -> list[ColumnSpec]:
     """Mapping from the types a reader already gave the columns; identifier headers are text all the same."""
     return [
         ColumnSpec(
-            field.name,
+            header_of(field),
             name,
-            hub.TEXT if header_marks_identifier(field.name) else hub.canonical_from_spark(field.dataType),
+            hub.TEXT if header_marks_identifier(header_of(field)) else hub.canonical_from_spark(field.dataType),
         )
         for field, name in zip(df.schema.fields, normalize_headers(df.columns))
     ]
 
 
-def preview(df: DataFrame, order_by: list[str], rows: int = 20) -> DataFrame:
+def preview(df: DataFrame, order_by: list[str | Column], rows: int = 20) -> DataFrame:
     """The first rows, as a person sees them before a load."""
     return df.orderBy(*order_by).limit(rows)
 
@@ -168,7 +169,7 @@ def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
 
     def one(name: str, df: DataFrame) -> DataFrame:
         stats = _full_stats(df)
-        typed = _typed(stats, df.columns, extra=("row_count", "text_bytes"))
+        typed = _typed(stats, df, extra=("row_count", "text_bytes"))
         return (
             typed.groupBy("sql_type")
             .agg(F.count(F.lit(1)).alias("n"), F.max("row_count").alias("rows"), F.sum("text_bytes").alias("bytes"))
@@ -201,21 +202,11 @@ def largest(profile: DataFrame, by: str, count: int = 5) -> DataFrame:
 
 
 def list_columns(tables: dict[str, DataFrame]) -> DataFrame:
-    """Column listing of a source: table, position, column, canonical type, and the rows of the table."""
-
-    def one(name: str, df: DataFrame) -> DataFrame:
-        columns = F.array(
-            *[
-                F.struct(
-                    F.lit(i).cast("bigint").alias("ordinal"),
-                    F.lit(f.name).alias("column_name"),
-                    F.lit(hub.canonical_from_spark(f.dataType)).alias("sql_type"),
-                )
-                for i, f in enumerate(df.schema.fields, start=1)
-            ]
-        )
-        return df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count", F.inline(columns)
-        )
-
-    return reduce(DataFrame.unionByName, [one(name, df) for name, df in tables.items()])
+    """Column listing of a source: table, position, column and canonical type, from analysis alone."""
+    listed = [
+        (name, i, f.name, hub.canonical_from_spark(f.dataType))
+        for name, df in tables.items()
+        for i, f in enumerate(df.schema.fields, start=1)
+    ]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(listed, "table_name string, ordinal bigint, column_name string, sql_type string")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, replace
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +50,80 @@ def detect_hints(spark: SparkSession, path: str) -> tuple[str, str]:
     return (UTF8 if foreign.isEmpty() else WINDOWS), separator
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Files of a folder that are read alike."""
+
+    paths: list[str]
+    separator: str
+    encoding: str
+    multiline: bool
+    headers: list[str]
+
+
+def _opens_quote(line: Column, separator: str) -> Column:
+    """Whether a line ends inside a quoted value: whole quoted values taken out, what is left opens one."""
+    start, end = rf"(?:^|{re.escape(separator)})", rf"(?={re.escape(separator)}|\s*$)"
+    inside = '"(?:[^"]++|"")*+'
+    return F.contains(line, F.lit('"')) & F.regexp_replace(line, f'({start}){inside}"{end}', "$1").rlike(f"{start}{inside}$")
+
+
+def file_hints(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file of a folder: file, encoding, separator, first_line, breaks (line breaks in quoted values).
+
+    One aggregate over all lines, combined below the shuffle, says what is true of whole files; the first lines of each
+    file tell the separator.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+    opened = F.array(*[_opens_quote(F.col("value"), s) for s in SEPARATORS])
+    flags = lines.select("file", (~F.is_valid_utf8("value")).alias("foreign"), opened.alias("opened")).groupBy("file").agg(
+        F.bool_or("foreign").alias("foreign"), *[F.bool_or(F.col("opened")[i]).alias(f"opened_{i}") for i in range(len(SEPARATORS))]
+    )
+    order = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    heads = lines.where("block = 0").withColumn("at", F.monotonically_increasing_id()).withColumn("rn", order)
+    heads = heads.where(F.col("rn") <= SEPARATOR_LINES).groupBy("file").agg(
+        F.sort_array(F.collect_list(F.struct("rn", "value")))["value"].alias("head")
+    )
+    separator = separator_of(F.array_join("head", "\n"))
+    breaks = reduce(lambda found, i: F.when(separator == SEPARATORS[i], F.col(f"opened_{i}")).otherwise(found),
+                    range(len(SEPARATORS)), F.lit(False))
+    return flags.join(heads, "file").select(
+        "file", F.when(F.col("foreign"), WINDOWS).otherwise(UTF8).alias("encoding"), separator.alias("separator"),
+        F.col("head")[0].alias("first_line"), breaks.alias("breaks"),
+    )
+
+
+def layouts(
+    spark: SparkSession,
+    path: str,
+    separator: str | None = None,
+    encoding: str | None = None,
+    multiline: bool | None = None,
+) -> list[Layout]:
+    """The files at a path, put together by how they have to be read; what is not given is found out for each file.
+
+    The driver sees one entry per kind of file and the names of the files.
+    """
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
+    if len(files) == 1:
+        if separator is None or encoding is None:
+            found_encoding, found_separator = detect_hints(spark, path)
+            separator, encoding = separator or found_separator, encoding or found_encoding
+        breaks = has_quoted_breaks(spark, path, separator) if multiline is None else multiline
+        return [Layout([path], separator, encoding, breaks, read_header(spark, path, separator, encoding))]
+    given = {"separator": separator, "encoding": encoding, "breaks": multiline}
+    hints = file_hints(spark, path).withColumns({c: F.lit(v) for c, v in given.items() if v is not None})
+    kinds = hints.groupBy("separator", "encoding", "breaks", "first_line").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    out = []
+    for kind in sorted(kinds.collect(), key=lambda k: k["files"][0]):
+        paths = [unquote(f) for f in kind["files"]]
+        headers = read_header(spark, paths[0], kind["separator"], kind["encoding"])
+        out.append(Layout(paths, kind["separator"], kind["encoding"], kind["breaks"], headers))
+    return out
+
+
 def bind_header(headers: list[str], columns: list[tuple[str, str]]) -> list[int]:
     """Position in the file of each (header, name) column.
 
@@ -77,19 +154,19 @@ def read_for_mapping(
 
     The file's headers may stand in any order; columns the file does not reach are NULL.
     """
-    if separator is None or encoding is None:
-        found_encoding, found_separator = detect_hints(spark, path)
-        separator, encoding = separator or found_separator, encoding or found_encoding
-    headers = read_header(spark, path, separator, encoding)
-    df = read_delimited(spark, path, separator, encoding, headers, multiline)
-    places = bind_header(headers, [(c.original_name, c.sql_name) for c in mapping])
     missing = F.lit(None).cast("string")
-    return df.select(
-        *[
-            (df[df.columns[place]] if place < len(headers) else missing).alias(c.sql_name)
-            for c, place in zip(mapping, places)
-        ]
-    )
+
+    def bound(layout: Layout) -> DataFrame:
+        df = _read(spark, layout)
+        places = bind_header(layout.headers, [(c.original_name, c.sql_name) for c in mapping])
+        return df.select(
+            *[
+                (df[df.columns[place]] if place < len(df.columns) else missing).alias(c.sql_name)
+                for c, place in zip(mapping, places)
+            ]
+        )
+
+    return reduce(DataFrame.unionByName, [bound(x) for x in layouts(spark, path, separator, encoding, multiline)])
 
 
 def profile_files(spark: SparkSession, path: str) -> DataFrame:
@@ -129,10 +206,25 @@ def has_quoted_breaks(spark: SparkSession, path: str, separator: str) -> bool:
     Whole quoted values are taken out of each line; what is left then holds an opening quote, at the start of a value, or
     none.  Stray quotes inside values do not count.
     """
-    start = rf"(?:^|{re.escape(separator)})"
-    inside = '"(?:[^"]++|"")*+'
-    lines = spark.read.text(path).select(F.regexp_replace("value", rf'({start}){inside}"(?={re.escape(separator)}|\s*$)', "$1").alias("rest"))
-    return not lines.where(F.col("rest").rlike(rf"{start}{inside}$")).isEmpty()
+    return not spark.read.text(path).where(_opens_quote(F.col("value"), separator)).isEmpty()
+
+
+def _read(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Files of one layout as text columns."""
+    schema = T.StructType(
+        [
+            T.StructField(name, T.StringType(), True, {"original_name": header})
+            for name, header in zip(normalize_headers(layout.headers), layout.headers)
+        ]
+    )
+    return (
+        _csv(spark, layout.separator, layout.encoding)
+        .option("header", True)
+        .option("enforceSchema", True)
+        .option("multiLine", layout.multiline)
+        .schema(schema)
+        .csv(layout.paths)
+    )
 
 
 def read_delimited(
@@ -143,29 +235,16 @@ def read_delimited(
     headers: list[str] | None = None,
     multiline: bool | None = None,
 ) -> DataFrame:
-    """A delimited file (or a folder of them with the same header) as a DataFrame of text columns.
+    """A delimited file, or a folder of them, as a DataFrame of text columns.
 
     Short rows end in NULLs, blank lines are skipped, a stray quote stays in its value.  Column names are the
     normalised headers; the header itself is kept as metadata.  Files are split among tasks unless quoted values hold line
-    breaks: ``multiline`` says so, and unless it is given one pass over the lines finds out.
+    breaks: ``multiline`` says so, and unless it is given one pass over the lines finds out.  The files of a folder may
+    differ in encoding, separator, and order and number of columns: columns go by name, those of the first file first, and
+    a file that lacks one has NULL there.  ``headers`` says that all files have these columns, in this order.
     """
-    if separator is None or encoding is None:
-        found_encoding, found_separator = detect_hints(spark, path)
-        separator, encoding = separator or found_separator, encoding or found_encoding
-    headers = read_header(spark, path, separator, encoding) if headers is None else headers
-    schema = T.StructType(
-        [
-            T.StructField(name, T.StringType(), True, {"original_name": header})
-            for name, header in zip(normalize_headers(headers), headers)
-        ]
-    )
-    if multiline is None:
-        multiline = has_quoted_breaks(spark, path, separator)
-    return (
-        _csv(spark, separator, encoding)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("multiLine", multiline)
-        .schema(schema)
-        .csv(path)
-    )
+    if headers is not None and None not in (separator, encoding, multiline):
+        return _read(spark, Layout([path], separator, encoding, multiline, headers))
+    found = layouts(spark, path, separator, encoding, multiline)
+    parts = [_read(spark, x if headers is None else replace(x, headers=headers)) for x in found]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -46,7 +46,7 @@ def jdbc_table(spark: SparkSession, connection: Connection, table: str, split: S
 
 def jdbc_query(spark: SparkSession, connection: Connection, query: str, prepare: str | None = None) -> DataFrame:
     """The result of one SELECT run by the database; ``prepare`` is a WITH clause that has to stand before it."""
-    check_read_only(spark, query)
+    check_read_only(spark, f"{prepare} {query}" if prepare else query)
     reader = spark.read.format("jdbc").options(**connection.options).option("url", connection.url)
     reader = reader.option("query", query)
     return (reader.option("prepareQuery", prepare) if prepare else reader).load()

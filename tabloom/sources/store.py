@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
 from typing import NamedTuple
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,7 @@ from tabloom.operators.skew import keep_by_key
 from tabloom.session import materialized
 from tabloom.types import ROW_HASH, ColumnSpec
 
+WHOLE_MODES = ("replace", "copy", "derived", "compact")  # that carry no row over as updated
 ATTEMPTS = 5  # of a load that others overtake
 
 VERSIONS = T.StructType(
@@ -39,6 +41,33 @@ VERSIONS = T.StructType(
 )
 
 
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+# One row per file load, one per refresh of a source, one per loaded file.
+EVENTS = _schema(table_name=T.StringType(), load_id=T.StringType(), detail=T.StringType(), logged_at=T.TimestampNTZType())
+SOURCES = _schema(
+    table_name=T.StringType(), load_id=T.StringType(), status=T.StringType(), watermark=T.StringType(), row_count=T.LongType(),
+    error=T.StringType(), logged_at=T.TimestampNTZType(),
+)
+FILES = _schema(
+    file=T.StringType(), size_bytes=T.LongType(), line_count=T.LongType(), sum_high=T.StringType(), sum_low=T.StringType(),
+    load_id=T.StringType(),
+)
+DROPPED = "drop"
+FILE_BYTES = 128 << 20
+
+
+class State(NamedTuple):
+    """Number of the last version of a table (0 before the first), that version unless it is a drop, and whether a load
+    id is recorded for the table."""
+
+    version: int
+    newest: Row | None
+    done: bool
+
+
 class Kept(NamedTuple):
     """Files of the version before that stay as they are, and the rows they hold."""
 
@@ -54,6 +83,10 @@ class OvertakenError(RuntimeError):
     """Another load published a version since this one read the table."""
 
 
+def _now() -> datetime.datetime:
+    return datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+
+
 class TableStore:
     """Versioned tables below one folder that all executors share.
 
@@ -64,19 +97,69 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        spark.createDataFrame([], VERSIONS).write.mode("ignore").parquet(f"{self.root}/_versions")
+        for log in ("_versions", "_events", "_sources", "_files"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{log}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+    def _append(self, log: str, entry: tuple, schema: T.StructType) -> None:
+        """Add an entry to a log.  A log has a folder per table, so that a look at one table reads that folder alone, and in
+        it one per entry, so that loads which end at the same time do not share a working folder."""
+        folder = f"{self.root}/{log}/table_name={quote(entry[0], safe='')}/entry={uuid.uuid4().hex}"
+        self.spark.createDataFrame([entry], schema).drop("table_name").coalesce(1).write.parquet(folder)
+
+    def _log(self, log: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{log}").select(*schema.names)
 
     def versions(self) -> DataFrame:
         """One row per published version of every table."""
-        return self.spark.read.schema(VERSIONS).parquet(f"{self.root}/_versions")
+        return self._log("_versions", VERSIONS)
+
+    def events(self) -> DataFrame:
+        """One row per file load: rows and milliseconds of its phases as JSON ``detail``."""
+        return self._log("_events", EVENTS)
+
+    def sources(self) -> DataFrame:
+        """One row per refresh of a source: status, high-water mark, rows of the table, error."""
+        return self._log("_sources", SOURCES)
+
+    def files(self) -> DataFrame:
+        """Size and content sums of every file that was loaded."""
+        return self._log("_files", FILES)
+
+    def log_event(self, table: str, load_id: str, detail: dict) -> None:
+        self._append("_events", (table, load_id, json.dumps(detail), _now()), EVENTS)
+
+    def log_refresh(self, table: str, load_id: str, status: str, watermark=None, row_count=None, error=None) -> None:
+        mark = None if watermark is None else str(watermark)
+        self._append("_sources", (table, load_id, status, mark, row_count, error, _now()), SOURCES)
 
-    def _state(self, table: str, load_id: str | None = None):
+    def log_files(self, files: DataFrame, load_id: str) -> None:
+        """Remember files, as ``delimited.profile_files`` describes them."""
+        rows = files.withColumn("load_id", F.lit(load_id)).select(*[F.col(f.name).cast(f.dataType) for f in FILES.fields])
+        rows.write.parquet(f"{self.root}/_files/entry={uuid.uuid4().hex}")
+
+    def new_files(self, files: DataFrame) -> DataFrame:
+        """Of described files, one of each content that no load has brought yet."""
+        same = ["size_bytes", "line_count", "sum_high", "sum_low"]
+        texts = files.select("file", *[F.col(FILES[c].name).cast(FILES[c].dataType) for c in same])
+        firsts = texts.groupBy(*same).agg(F.min("file").alias("file"))
+        return keep_by_key(firsts, self.files(), same, present=False).select("file", *same)
+
+    def watermark(self, table: str) -> str | None:
+        """The mark that the last successful refresh of a source stored."""
+        done = self.sources().where((F.col("table_name") == table) & (F.col("status") == "completed"))
+        return done.agg(F.max_by("watermark", "logged_at").alias("mark")).first()["mark"]
+
+    def _state(self, table: str, load_id: str | None = None) -> State:
         """The newest version of a table, and whether a load id is recorded for it, in one look at the record."""
         own = self.versions().where(F.col("table_name") == table)
-        return own.agg(
-            F.max_by(F.struct("version", "paths", "row_count", "schema_json"), "version").alias("newest"),
+        found = own.agg(
+            F.max_by(F.struct("version", "paths", "mode", "row_count", "schema_json"), "version").alias("newest"),
             F.coalesce(F.max(F.col("load_id") == F.lit(load_id)), F.lit(False)).alias("done"),
         ).first()
+        newest = found.newest
+        gone = newest is None or newest["mode"] == DROPPED
+        return State(0 if newest is None else newest["version"], None if gone else newest, found.done and not gone)
 
     def _open(self, newest) -> DataFrame:
         return self._read(newest.paths, T.StructType.fromJson(json.loads(newest.schema_json)))
@@ -126,7 +209,7 @@ class TableStore:
     ) -> DataFrame:
         """Make a list of files the current version."""
         before = state.newest
-        version = 1 if before is None else before.version + 1
+        version = state.version + 1
         self._claim(table, version, load_id)
         entry = (
             table,
@@ -136,11 +219,11 @@ class TableStore:
             mode,
             row_count,
             fresh,
-            0 if before is None or mode in ("replace", "copy", "derived") else before.row_count - (row_count - fresh),
+            0 if before is None or mode in WHOLE_MODES else before.row_count - (row_count - fresh),
             schema.json(),
-            datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None),
+            _now(),
         )
-        self.spark.createDataFrame([entry], VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
+        self._append("_versions", entry, VERSIONS)
         return self._read(paths, schema)
 
     def _claim(self, table: str, version: int, load_id: str) -> None:
@@ -262,6 +345,37 @@ class TableStore:
         new = incoming if rows is None else load.upsert(rows, incoming, key)
         return self.publish(table, new, "upsert", load_id, incoming.count(), kept, state)
 
-    def without(self, tables: list[str]) -> DataFrame:
-        """The versions that remain when some tables are dropped; their files are left to the file system's policy."""
-        return self.versions().where(~F.col("table_name").isin(tables))
+    def compact(self, table: str, load_id: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+        """Publish the same rows in files of about one size: appends and deltas add a folder each."""
+        state = self._state(table, load_id)
+        rows = self._open(state.newest)
+        files = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).distinct()
+        size = files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+        return self.publish(table, rows.repartition(max(1, -(-size // file_bytes))), "compact", load_id, 0, state=state)
+
+    def drop(self, tables: list[str], load_id: str) -> None:
+        """Record that tables are gone.  ``vacuum`` then deletes their files; a later load starts them anew."""
+        for table in tables:
+            state = self._state(table)
+            if state.newest is not None:
+                self._claim(table, state.version + 1, load_id)
+                entry = (table, state.version + 1, load_id, [], DROPPED, 0, 0, 0, state.newest["schema_json"], _now())
+                self._append("_versions", entry, VERSIONS)
+
+    def vacuum(self, table: str, keep: int = 1) -> list[str]:
+        """Delete the folders that recorded loads wrote and none of the last ``keep`` versions lists; returns them.
+
+        Folders of loads that are not recorded yet are left alone: they may be at work.
+        """
+        own = self.versions().where(F.col("table_name") == table)
+        listed = own.orderBy(F.desc("version")).limit(keep).select(F.explode("paths").alias("path"))
+        folder = F.concat(F.lit(f"{self.root}/{table}/"), F.col("load_id"))
+        # a path is a folder, or a file of one that was kept when its neighbours were rewritten
+        used = listed.select(F.substring_index(F.regexp_replace("path", "/part-[^/]*$", ""), "/", -1).alias("load_id"))
+        gone = own.select("load_id").distinct().join(used.distinct(), "load_id", "left_anti").select(folder.alias("folder"))
+        deleted = []
+        for row in gone.collect():
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(row["folder"])
+            if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True):
+                deleted.append(row["folder"])
+        return deleted

@@ -48,6 +48,11 @@ class ColumnSpec:
     nullable: bool = True
 
 
+def header_of(field: T.StructField) -> str:
+    """The header a column had in its file; its own name if it did not come from one."""
+    return field.metadata.get("original_name", field.name)
+
+
 def canonical_from_name(type_name: str) -> str:
     """Canonical type of a database type name such as ``int4`` or ``numeric(10,2)``."""
     return _BY_NAME.get(type_name.lower().split("(")[0].strip(), TEXT)

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom import types as hub
+from tabloom.operators import export, governance, profile
 from tabloom.plans import derived, refresh
-from tabloom.plans.file_load import load_file, with_serial_dates
+from tabloom.plans.file_load import load_file, load_new_files, with_serial_dates
 from tabloom.plans.refresh import Source
 from tabloom.plans.scoped_sql import ReadOnlyError, ScopeError, check_read_only, run_query
 from tabloom.sources import delimited, external
@@ -245,3 +246,91 @@ def test_upserts_need_the_columns_of_the_table(spark, folder):
         with pytest.raises(ValueError, match="columns differ"):
             store.upsert("t", spark.createDataFrame(rows, schema), "id", "second")
     assert store.read("t").count() == 1
+
+
+def test_files_of_a_folder_may_differ(spark, folder):
+    import os
+
+    os.mkdir(f"{folder}/in")
+    write(folder, "in/a.csv", "id;nome\n1;João\n")
+    write(folder, "in/b.csv", "nome;id\nFrançoise;2\n".encode("cp1252"))
+    write(folder, "in/c.csv", 'id,nome,nota\n3,"a;b","uma\nlinha"\n')
+    df = delimited.read_delimited(spark, f"{folder}/in")
+    assert df.columns == ["id", "nome", "nota"]
+    assert sorted(rows(df)) == [("1", "João", None), ("2", "Françoise", None), ("3", "a;b", "uma\nlinha")]
+    mapping = [ColumnSpec("nome", "quem", hub.TEXT), ColumnSpec("id", "id", hub.BIGINT)]
+    bound = delimited.read_for_mapping(spark, f"{folder}/in", mapping)
+    assert sorted(rows(bound)) == [("Françoise", "2"), ("João", "1"), ("a;b", "3")]
+    hints = {r.file.rsplit("/", 1)[1]: (r.encoding, r.separator, r.breaks) for r in delimited.file_hints(spark, f"{folder}/in").collect()}
+    assert hints == {"a.csv": ("UTF-8", ";", False), "b.csv": ("windows-1252", ";", False), "c.csv": ("UTF-8", ",", True)}
+
+
+def test_headers_survive_a_load(spark, folder):
+    """The table keeps the headers as they stood in the file, and they decide what is an identifier."""
+    store = TableStore(spark, f"{folder}/store")
+    path = write(folder, "a.csv", "Valor Total,Descrição,Nº do CPF,Valor Total\n1,x,123,2\n")
+    out = load_file(store, "t", path, "replace", "one")
+    raw = delimited.read_delimited(spark, path)
+    mapping = profile.infer_mapping(raw)
+    lines = [r.line for r in export.column_dictionary(mapping, spark).orderBy("ordinal").collect()]
+    assert lines == [
+        "valor_total;Valor Total;BIGINT;Sim", "descricao;Descrição;NVARCHAR(MAX);Sim", "n_do_cpf;Nº do CPF;NVARCHAR(MAX);Sim",
+        "valor_total_2;Valor Total;BIGINT;Sim",
+    ]
+    assert rows(out.drop("row_hash")) == [(1, "x", "123", 2)]
+    assert [hub.header_of(f) for f in store.read("t").drop("row_hash").schema.fields] == [c.original_name for c in mapping]
+    events = governance.load_perf(store.events()).collect()
+    assert [(e.table_name, e.rows) for e in events] == [("t", 1)] and events[0].total_seconds >= events[0].insert_seconds > 0
+
+
+def test_refresh_keeps_state(spark, folder):
+    store = TableStore(spark, folder)
+    data = {"rows": [(1, 10), (2, 20)], "names": "Id bigint, `Alterado Em` bigint"}
+    source = Source("t", lambda: spark.createDataFrame(data["rows"], data["names"]), key="Id", delta_column="Alterado Em")
+    assert refresh.refresh(store, source, "one").watermark == 20 and store.watermark("t") == "20"
+    data["rows"] = [(1, 15), (3, 30)]  # the first is older than the stored mark
+    assert sorted(rows(refresh.refresh(store, source, "two").rows)) == [(1, 10), (2, 20), (3, 30)]
+    data.update(rows=[(1,)], names="Id bigint")
+    with pytest.raises(Exception, match="Alterado Em"):
+        refresh.refresh(store, source, "three")
+    log = [(r.load_id, r.status, r.watermark, r.row_count) for r in store.sources().orderBy("logged_at").collect()]
+    assert log == [("one", "completed", "20", 2), ("two", "completed", "30", 3), ("three", "failed", None, None)]
+    assert store.watermark("t") == "30" and store.read("t").columns == ["id", "alterado_em"]
+
+
+def test_known_files_are_not_loaded_again(spark, folder):
+    import os
+
+    store = TableStore(spark, f"{folder}/store")
+    os.mkdir(f"{folder}/in")
+    write(folder, "in/a.csv", "n;v\n1;a\n")
+    write(folder, "in/b.csv", "n;v\n1;a\n")
+    write(folder, "in/c.csv", "n;v\n2;b\n")
+    assert [f.rsplit("/", 1)[1] for f in load_new_files(store, "t", f"{folder}/in", "one")] == ["a.csv", "c.csv"]
+    write(folder, "in/d.csv", "n;v\n3;c\n")
+    assert [f.rsplit("/", 1)[1] for f in load_new_files(store, "t", f"{folder}/in", "two")] == ["d.csv"]
+    assert load_new_files(store, "t", f"{folder}/in", "three") == []
+    assert sorted(rows(store.read("t").select("n", "v"))) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_compaction_vacuum_and_drop(spark, folder):
+    import os
+
+    store = TableStore(spark, f"{folder}/t")  # a root that is named like the table
+    for i in range(3):
+        load_file(store, "t", write(folder, f"{i}.csv", f"n;v\n{i};a\n"), "append" if i else "replace", f"load-{i}")
+    assert store.vacuum("t") == []
+    assert store.compact("t", "whole").count() == 3
+    newest = store.versions().orderBy(F.desc("version")).first()
+    assert (newest.row_count, newest.inserted, newest.updated, len(newest.paths)) == (3, 0, 0, 1)
+    os.makedirs(f"{folder}/t/t/at-work")
+    assert len(store.vacuum("t")) == 3 and sorted(os.listdir(f"{folder}/t/t")) == ["at-work", "whole"]
+    assert sorted(rows(store.read("t").select("n"))) == [(0,), (1,), (2,)]
+    store.drop(["t"], "gone")
+    assert not store.exists("t")
+    with pytest.raises(KeyError):
+        store.read("t")
+    assert [f.rsplit("/", 1)[1] for f in store.vacuum("t")] == ["whole"]
+    load_file(store, "t", write(folder, "b.csv", "n;v\n7;z\n"), "replace", "again")
+    assert rows(store.read("t").select("n", "v")) == [(7, "z")]
+    assert store.versions().agg(F.max("version")).first()[0] == 6
