@@ -13,9 +13,11 @@ order is built without holding it:
    buckets by a hash of 200 bytes, again sorted one bucket at a time; ties are repeats.  Of long ties only the first block
    deals out the suffixes: all others have the same ones, and every chain of such firsts ends at a block that deals.
 
-Texts are packed into blocks of about 2 MB, stored once in a bucketed table.  A block sends each of its distinct keys to a
+Texts are packed into blocks of about 2 MB, stored once in a bucketed table.  A longer text is cut into pieces that share 199
+bytes: each place where 200 bytes start is whole in one piece, and what is removed near a cut is put together in the end by
+streaming the pieces in order.  A block sends each of its distinct keys to a
 bucket once, so a passage that a third of all documents share costs one key per block, and gets one bit per key back.  What
-moves is keys and bits; texts are never shuffled.  Buckets are as many as keep one within a task's memory.
+moves is keys and bits; but for the pieces of long ones, texts are never shuffled.  Buckets are as many as keep one within a task's memory.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ MODULUS = 133
 COVER = (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110)
 SAMPLE = LEAST - MODULUS + 1
 LONG = LEAST + MODULUS - 1
+OVERLAP = LEAST - 1
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 SAMPLE_KEY_BYTES, KEY_BYTES = 5, 8
@@ -45,29 +48,38 @@ BLOCKS_AT_ONCE = 4
 
 
 def packed_blocks(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block_id, ids, sizes, data): whole texts one after the other; a text beyond the block size has its own block."""
+    """(block_id, ids, sizes, data, long_id, piece): whole texts one after the other, with -1 as ``long_id``; a text beyond
+    the block size in pieces, each a block, with the number of the first one as ``long_id``."""
 
     def of_partition(batches):
         part, made = TaskContext.get().partitionId(), 0
         ids, texts, size = [], [], 0
 
-        def block():
-            return pd.DataFrame({"block_id": [(part << 32) + made], "ids": [ids], "sizes": [[len(t) for t in texts]], "data": [b"".join(texts)]})
+        def block(ids, texts, long_id=-1, piece=-1):
+            return pd.DataFrame({"block_id": [(part << 32) + made], "ids": [ids], "sizes": [[len(t) for t in texts]],
+                                 "data": [b"".join(texts)], "long_id": [long_id], "piece": [piece]})
 
         for batch in batches:
             for key, text in zip(batch["doc_id"], batch["text"]):
                 data = (text or "").encode("utf-8")
+                if len(data) > block_bytes:
+                    long_id = (part << 32) + made
+                    for piece in range(max(1, math.ceil((len(data) - OVERLAP) / block_bytes))):
+                        at = piece * block_bytes
+                        yield block([key], [data[at : at + block_bytes + OVERLAP]], long_id, piece)
+                        made += 1
+                    continue
                 if texts and size + len(data) > block_bytes:
-                    yield block()
+                    yield block(ids, texts)
                     made, ids, texts, size = made + 1, [], [], 0
                 ids.append(key)
                 texts.append(data)
                 size += len(data)
         if texts:
-            yield block()
+            yield block(ids, texts)
 
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return rows.mapInPandas(of_partition, "block_id long, ids array<string>, sizes array<int>, data binary")
+    return rows.mapInPandas(of_partition, "block_id long, ids array<string>, sizes array<int>, data binary, long_id long, piece int")
 
 
 class Block:
@@ -219,11 +231,12 @@ def _bits(n_keys: float, width: int) -> int:
     return min(24, max(3, math.ceil(math.log2(max(1.0, n_keys * (width + 8) / BUCKET_BYTES)))))
 
 
-def deduplicated(documents: DataFrame, keep_bytes: bool = False) -> DataFrame:
+def deduplicated(documents: DataFrame, keep_bytes: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_bytes`` the kept bytes.
 
     Strings are compared as UTF-8 bytes within documents; NULL and short texts lose nothing.  Repeated rows are each
-    other's copies, so both lose what has 200 bytes.  What is removed is judged on the input, so that of a repeated passage
+    other's copies, so both lose what has 200 bytes.  ``block_bytes`` bounds what a task holds of a text at a time; only its
+    size in memory depends on it.  What is removed is judged on the input, so that of a repeated passage
     no copy stays.  An empty table gives no rows.
     """
     spark = documents.sparkSession
@@ -233,6 +246,7 @@ def deduplicated(documents: DataFrame, keep_bytes: bool = False) -> DataFrame:
     # long ties and open starts are fewer than an eighth of all bytes where most text is not repeated; if not, buckets grow
     bits = _bits(n_bytes * len(COVER) / MODULUS, SAMPLE_KEY_BYTES), _bits(n_bytes / 8, KEY_BYTES)
     schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
+    result = [column.split()[0] for column in schema.split(", ")]
 
     def sends(step: str, *answers: str):
         def of_partition(batches):
@@ -249,7 +263,25 @@ def deduplicated(documents: DataFrame, keep_bytes: bool = False) -> DataFrame:
             for row in batch.to_dict("records"):
                 search = Search(row["data"], row["sizes"], bits)
                 answers = [row[a] if row[a] is not None else [] for a in ("sample_answer", "long_answer", "suffix_answer")]
-                yield _removed(search.block, row["ids"], search.repeated(*answers), keep_bytes)
+                repeated = search.repeated(*answers)
+                if row["long_id"] < 0:
+                    yield _removed(search.block, row["ids"], repeated, keep_bytes).assign(long_id=-1, piece=-1, data=None, gone=None)
+                else:
+                    gone = np.packbits(search.block.covered(repeated, repeated + LEAST)).tobytes()
+                    piece = {"doc_id": row["ids"], "long_id": row["long_id"], "piece": row["piece"], "data": row["data"], "gone": gone}
+                    yield pd.DataFrame(piece).assign(n_bytes=0, n_removed=0, n_spans=0, kept_sha256=None, kept=None)
+
+    def joined(batches):
+        text = None
+        for batch in batches:
+            done = []
+            for row in batch.to_dict("records"):
+                if text is None or text.long_id != row["long_id"]:
+                    done += [] if text is None else [text.result()]
+                    text = LongText(row["long_id"], row["doc_id"], block_bytes, keep_bytes)
+                text.add(row["data"], row["gone"])
+            yield pd.DataFrame(done, columns=result)
+        yield pd.DataFrame([] if text is None else [text.result()], columns=result)
 
     def answered(blocks: DataFrame, step: str, *answers: str) -> DataFrame:
         """The blocks with the answers to the keys that ``step`` sends."""
@@ -262,18 +294,58 @@ def deduplicated(documents: DataFrame, keep_bytes: bool = False) -> DataFrame:
         try:
             with small_batches(spark):
                 n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-                blocks = packed_blocks(documents).write.bucketBy(n, "block_id").option("compression", "zstd")
+                blocks = packed_blocks(documents, block_bytes).write.bucketBy(n, "block_id").option("compression", "zstd")
                 blocks.saveAsTable(name)
             with small_batches(spark, BLOCKS_AT_ONCE):
                 blocks = answered(spark.table(name), "sample_keys")
                 blocks = answered(blocks, "long_keys", "sample_answer")
                 blocks = answered(blocks, "suffix_keys", "sample_answer", "long_answer")
-                out = scratch.write(blocks.drop("block_id").mapInPandas(cut, schema), keep=True)
+                pieces = blocks.drop("block_id").mapInPandas(cut, f"{schema}, long_id long, piece int, data binary, gone binary")
+                pieces = scratch.write(pieces, keep=True)
+                # texts in pieces meet in the order of these
+                ordered = pieces.where("long_id >= 0").repartition("long_id").sortWithinPartitions("long_id", "piece")
+                long = ordered.select("long_id", "doc_id", "data", "gone").mapInPandas(joined, schema)
+                out = pieces.where("long_id < 0").select(*result).unionByName(scratch.write(long, keep=True))
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
+class LongText:
+    """Result of a text whose pieces come by in order: what a piece removes of the bytes it shares with the next is carried."""
+
+    def __init__(self, long_id: int, doc_id, step: int, keep_bytes: bool) -> None:
+        self.long_id, self.doc_id, self.step = long_id, doc_id, step
+        self.digest, self.kept = hashlib.sha256(), [] if keep_bytes else None
+        self.n_bytes = self.n_removed = self.n_spans = 0
+        self.inside = False
+        self.data, self.gone = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=bool)
+
+    def add(self, data: bytes, gone: bytes) -> None:
+        carried = self.gone[self.step :]
+        self._pass(self.data[: self.step], self.gone[: self.step])
+        self.data = np.frombuffer(data, dtype=np.uint8)
+        self.gone = np.unpackbits(np.frombuffer(gone, dtype=np.uint8), count=len(self.data)).astype(bool)
+        self.gone[: len(carried)] |= carried
+
+    def _pass(self, data: np.ndarray, gone: np.ndarray) -> None:
+        if not len(data):
+            return
+        kept = data[~gone].tobytes()
+        self.digest.update(kept)
+        if self.kept is not None:
+            self.kept.append(kept)
+        self.n_bytes += len(data)
+        self.n_removed += int(gone.sum())
+        self.n_spans += int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0] and not self.inside)
+        self.inside = bool(gone[-1])
+
+    def result(self) -> tuple:
+        self._pass(self.data, self.gone)
+        out = self.doc_id, self.n_bytes, self.n_removed, self.n_spans, self.digest.hexdigest()
+        return out if self.kept is None else (*out, b"".join(self.kept))
+
+
 def _removed(block: Block, ids, repeated: np.ndarray, keep_bytes: bool) -> pd.DataFrame:
     """Result rows of a block whose repeated strings start at ``repeated``."""
     gone = block.covered(repeated, repeated + LEAST)
