@@ -54,12 +54,10 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 def chunked(rows: DataFrame, chars: int = CHUNK_CHARS) -> DataFrame:
     """The chunk table: the columns of ``records`` but the payload, with write_id, chunk_no from 0, n_chunks and chunk.
 
-    A revisit has one empty chunk.  ``write_id`` tells repeated pages apart.
+    A revisit has one empty chunk.  ``write_id`` tells repeated pages apart.  A payload is cut in one pass over it.
     """
-    sized = lambda piece: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.length(piece) / chars).cast("int") - 1, F.lit(0))),
-        lambda k: F.substring(piece, k * chars + 1, F.lit(chars)),
-    )
+    run = F.lit(f"(?s).{{1,{chars}}}+")
+    sized = lambda piece: F.when(piece == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(piece, run, F.lit(0)))
     cut = F.flatten(F.transform(F.split("payload", "(?<=WARC/)(?=1\\.1)"), sized))
     whole = (F.length("payload") <= chars) & ~F.contains(F.col("payload"), F.lit(VERSION))
     chunks = F.when(F.col("first_id").isNotNull(), F.array(F.lit(""))).when(whole, F.array("payload")).otherwise(cut)
