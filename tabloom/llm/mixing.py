@@ -19,6 +19,7 @@ MOST_COPIES = 3
 STEPS = 60
 CLOSE = 1e-10
 UNIT_ROWS = 1000
+RUN_SIZES = 1000
 
 
 def identity(documents: DataFrame) -> list[Column]:
@@ -101,10 +102,18 @@ def rounded(classes: DataFrame) -> DataFrame:
         size = -x["order"]
         due = seen["due"] + x["n"] * x["part"] * size
         extra = F.when(size > 0, F.greatest(F.lit(0), F.least(x["n"], F.round(due / size).cast("long")))).otherwise(F.lit(0)).cast("long")
-        return F.struct((due - extra * size).alias("due"), F.concat(seen["extra"], F.array(extra)).alias("extra"))
-
-    zero = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<bigint>").alias("extra"))
-    parts = parts.withColumn("extra", F.aggregate("parts", zero, step)["extra"])
+        return F.struct((due - extra * size).alias("due"), F.concat(seen["extra"], F.array(extra)).alias("extra"), seen["runs"].alias("runs"))
+
+    def run(seen, at):
+        """A thousand sizes; finished runs are put aside, for an array grows by being copied."""
+        begin = F.struct(seen["due"].alias("due"), none.alias("extra"), F.concat(seen["runs"], F.array(seen["extra"])).alias("runs"))
+        return F.aggregate(F.slice("parts", at * RUN_SIZES + 1, F.lit(RUN_SIZES)), begin, step)
+
+    none = F.array().cast("array<bigint>")
+    zero = F.struct(F.lit(0.0).alias("due"), none.alias("extra"), F.array().cast("array<array<bigint>>").alias("runs"))
+    runs = F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / RUN_SIZES).cast("int"))
+    parts = parts.withColumn("done", F.aggregate(runs, zero, run))
+    parts = parts.withColumn("extra", F.concat(F.flatten("done.runs"), "done.extra")).drop("done")
     parts = parts.select("sid", F.explode(F.arrays_zip(F.col("parts"), F.col("extra"))).alias("x"))
     extras = parts.select("sid", (-F.col("x.parts.order")).alias("size"), F.col("x.extra").alias("extra"))
     return classes.join(extras, ["sid", "size"]).select("sid", "size", "n", F.floor("rate").alias("copies"), "extra")
