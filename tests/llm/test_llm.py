@@ -228,8 +228,52 @@ def test_repeated_substrings(spark):
         spans = int(np.sum(gone & ~np.concatenate([[False], gone[:-1]])))
         kept = bytes(np.frombuffer(d, dtype=np.uint8)[~gone])
         expected.append((i, len(d), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    found = [tuple(r) for r in suffix_dedup.deduplicated(docs).collect()]
-    assert sorted(found, key=str) == sorted(expected, key=str)
+    for block_bytes in (suffix_dedup.BLOCK_BYTES, 450):  # in the second case most texts are cut into pieces
+        found = [tuple(r) for r in suffix_dedup.deduplicated(docs, block_bytes=block_bytes).collect()]
+        assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+def test_long_texts_are_put_together():
+    random = np.random.default_rng(3)
+    for _ in range(50):
+        n, step = int(random.integers(600, 4000)), int(random.integers(250, 600))
+        data, starts = random.integers(0, 256, n, dtype=np.uint8), random.random(n - 199) < 0.003
+        whole = np.zeros(n, dtype=bool)
+        text = suffix_dedup.LongText(1, "7", step, True)
+        for a in np.flatnonzero(starts):
+            whole[a : a + 200] = True
+        for low in range(0, n - 199, step):
+            part, gone = data[low : low + step + 199], np.zeros(min(step + 199, n - low), dtype=bool)
+            for a in np.flatnonzero(starts[low : low + step]):
+                gone[a : a + 200] = True
+            text.add(part.tobytes(), np.packbits(gone).tobytes())
+        kept = data[~whole].tobytes()
+        spans = int(np.sum(whole & ~np.concatenate([[False], whole[:-1]])))
+        assert text.result() == ("7", n, int(whole.sum()), spans, hashlib.sha256(kept).hexdigest(), kept)
+
+
+def test_payloads_are_cut_by_characters(spark):
+    rows = [("",), ("é🙂a" * 50,), ("\n" * 129,), ("ab",)]
+    pages = spark.createDataFrame(rows, "html string").selectExpr("1L as page_id", "'u' as url", "html")
+    chunks = warc_chunks.chunked(warc_chunks.records(pages), 64).collect()
+    texts = collections.defaultdict(dict)
+    for r in chunks:
+        texts[r["write_id"]][r["chunk_no"]] = r["chunk"]
+    assert sorted("".join(t[k] for k in sorted(t)) for t in texts.values()) == sorted(h for h, in rows)
+    assert max(len(r["chunk"]) for r in chunks) == 64
+
+
+def test_rounding_is_the_same_in_runs(spark, monkeypatch):
+    random = np.random.default_rng(5)
+    rows = [(s, size, int(random.integers(1, 9)), float(random.random() * 2)) for s in (0, 1) for size in range(0, 60)]
+    classes = spark.createDataFrame(rows, "sid int, size long, n long, rate double")
+    whole = sorted(mixing.rounded(classes).collect())
+    monkeypatch.setattr(mixing, "RUN_SIZES", 7)
+    assert sorted(mixing.rounded(classes).collect()) == whole
+    due = collections.Counter()
+    for sid, size, n, rate in rows:
+        due[sid] += n * (rate % 1) * size
+    assert all(abs(sum(r["extra"] * r["size"] for r in whole if r["sid"] == s) - due[s]) <= 1 for s in (0, 1))
 
 
 def test_mix_meets_targets_and_repeats(spark):
