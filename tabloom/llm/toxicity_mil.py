@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning: documents are labelled, sentences are scored.
 
 A sentence's logistic score depends on its words and word beginnings; a document is toxic unless none of its sentences is
-(noisy-or).  These terms are chosen by how much more often toxic documents have them, weights are fitted to the document labels by Fisher scoring, with
-sums over all labelled documents on the executors.  The fitted sentence scores then say which sentences offend.
+(noisy-or).  The terms are all those that toxic documents have significantly more often, however many these are.  Weights are
+fitted to the document labels by Fisher scoring with the diagonal of the information, corrected by the curvature of the last
+steps (L-BFGS), so that memory grows with the number of terms and not with its square.  All sums run over all labelled documents
+on the executors.  The fitted sentence scores then say which sentences offend.
 """
 
 from __future__ import annotations
@@ -18,12 +20,11 @@ from tabloom.llm.common import Scratch, bounded, held_out, small_batches, summed
 
 THRESHOLD = 0.5
 LEAST_DOCUMENTS = 5
-CANDIDATES = 50_000
-VOCABULARY = 256
 LEAST_RATIO = 20.0
 PREFIXES = (4, 5, 6)
 WORD_END = "$"
-STEPS = 25
+STEPS = 200
+MEMORY = 10
 RIDGE = 0.05
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -48,18 +49,17 @@ def _terms(text: Column) -> Column:
 
 
 def vocabulary(rows: DataFrame, scratch: Scratch) -> list[str]:
-    """At most 256 terms that toxic documents have significantly more often; ``rows`` has text and toxic.
+    """All terms that toxic documents have significantly more often, by likelihood ratio; ``rows`` has text and toxic.
 
-    Document frequencies cover all training rows; terms are ranked by their likelihood ratio.  Terms of toxic documents are
-    counted first, so that of the others only those are counted.
+    Document frequencies cover all training rows, and every term of five toxic documents is tested.  Terms of toxic documents
+    are counted first, so that of the others only those are counted.  The driver sees the terms that pass.
     """
     totals = rows.agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("n")).first()
     if not totals["p"] or not totals["n"]:
         return []
     term = F.explode(_terms(F.col("text"))).alias("term")
     toxic = rows.where("toxic = 1").select(term).groupBy("term").agg(F.count(F.lit(1)).alias("p"))
-    toxic = toxic.where(F.col("p") >= LEAST_DOCUMENTS).orderBy(F.desc("p"), "term").limit(CANDIDATES)
-    toxic = bounded(scratch.write(toxic))
+    toxic = bounded(scratch.write(toxic.where(F.col("p") >= LEAST_DOCUMENTS)))
     other = rows.where("toxic = 0").select(term).join(toxic.select("term"), "term", "left_semi")
     other = other.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     both = toxic.join(other, "term", "left").select("term", "p", F.coalesce("n", F.lit(0)).alias("n"))
@@ -69,7 +69,7 @@ def vocabulary(rows: DataFrame, scratch: Scratch) -> list[str]:
         F.col("n") > 0, F.col("n") * F.log(F.col("n") / (F.col("p") + F.col("n") - due))
     ).otherwise(0.0)
     best = both.withColumn("ratio", ratio).where((F.col("p") > due) & (F.col("ratio") >= LEAST_RATIO / 2))
-    return [r["term"] for r in best.orderBy(F.desc("ratio"), "term").limit(VOCABULARY).select("term").collect()]
+    return [r["term"] for r in best.orderBy(F.desc("ratio"), "term").select("term").collect()]
 
 
 def hits_of(word: str, known: dict[str, int]) -> list[int]:
@@ -120,39 +120,90 @@ class Model:
 
 
 def _bag(text: str | None, known: dict[str, int]) -> bytes:
-    """Sentences of a training document in numbers: their count, then length and words of each with known words."""
+    """Sentences of a training document in numbers: their count, that of those with known terms, lengths and terms of these."""
     n, found = sentences(text, known)
-    out = [n]
+    out = [n, len(found), *[len(hits) for _, _, hits in found]]
     for _, _, hits in found:
-        out += [len(hits), *hits]
+        out += hits
     return np.array(out, dtype=np.int32).tobytes()
 
 
-def _gradient(bag: bytes, toxic: int, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
-    """Loss, touched coordinates, gradient and Fisher factor of one document under noisy-or."""
-    numbers = np.frombuffer(bag, dtype=np.int32)
-    plain, at, pieces = int(numbers[0]), 1, []
-    while at < len(numbers):
-        pieces.append(numbers[at + 1 : at + 1 + numbers[at]])
-        at += 1 + numbers[at]
-    plain -= len(pieces)
-    slope = {0: plain * _sigmoid(weights[0])}
-    total = plain * _softplus(weights[0])
-    for hits in pieces:
-        z = weights[0] + weights[hits].sum()
-        total += _softplus(z)
-        s = _sigmoid(z)
-        slope[0] += s
-        for h in hits.tolist():
-            slope[h] = slope.get(h, 0.0) + s
-    p = max(-np.expm1(-total), 1e-12)
-    where, g = np.fromiter(slope, dtype=np.int64), np.fromiter(slope.values(), dtype=np.float64)
+def _sums(bags, toxic: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Number, loss, gradient and diagonal of the Fisher information of documents under noisy-or, in one vector."""
+    width, n = len(weights), len(bags)
+    parts = [np.frombuffer(b, dtype=np.int32) for b in bags]
+    found = np.array([a[1] for a in parts])
+    plain = np.array([a[0] for a in parts]) - found
+    lengths = np.concatenate([a[2 : 2 + a[1]] for a in parts])
+    hits = np.concatenate([a[2 + a[1] :] for a in parts])
+    document = np.repeat(np.arange(n), found)
+    sentence = np.repeat(np.arange(len(lengths)), lengths)
+    z = weights[0] + np.bincount(sentence, weights[hits], len(lengths))
+    s = _sigmoid(z)
+    total = plain * _softplus(weights[0]) + np.bincount(document, _softplus(z), n)
+    p = np.maximum(-np.expm1(-total), 1e-12)
     odds = np.exp(-total) / p
-    return (-np.log(p), where, -odds * g, odds) if toxic else (total, where, g, odds)
+    pull = np.where(toxic == 1, -odds, 1.0)
+    # slopes of a document's hazard; the Fisher information of a Bernoulli is their square times the odds against
+    bias = plain * _sigmoid(weights[0]) + np.bincount(document, s, n)
+    pairs, at = np.unique(document[sentence] * width + hits, return_inverse=True)
+    slope = np.bincount(at, s[sentence], len(pairs))
+    of, term = pairs // width, pairs % width
+    gradient = np.bincount(term, pull[of] * slope, width)
+    fisher = np.bincount(term, odds[of] * slope**2, width)
+    gradient[0], fisher[0] = pull @ bias, odds @ bias**2
+    return np.concatenate([[n, np.where(toxic == 1, -np.log(p), total).sum()], gradient, fisher])
+
+
+def _sigmoid(x):
+    return 0.5 * (1 + np.tanh(x / 2))
 
 
-def _sigmoid(x: float) -> float:
-    return 0.5 * (1 + np.tanh(x / 2))
+def _direction(slope: np.ndarray, diagonal: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Step of the diagonal Fisher information, corrected by ``past`` pairs of steps and changes of the gradient (L-BFGS)."""
+    out, shares = -slope, []
+    for step, change in reversed(past):
+        shares.append(step @ out / (step @ change))
+        out = out - shares[-1] * change
+    out = out / diagonal
+    if past:
+        step, change = past[-1]
+        out = out * (step @ change / (change @ (change / diagonal)))
+    for (step, change), share in zip(past, reversed(shares)):
+        out = out + (share - change @ out / (step @ change)) * step
+    return out
+
+
+def minimum(evaluate, weights: np.ndarray) -> np.ndarray:
+    """Weights of least penalised loss; ``evaluate`` gives the vector of ``_sums`` over all documents."""
+    width = len(weights)
+    sums = evaluate(weights)
+    if sums[0] == 0:
+        return weights
+    penalised = lambda sums, w: (sums[1] + RIDGE * w @ w / 2, sums[2 : 2 + width] + RIDGE * w, sums[2 + width :] + RIDGE)
+    loss, slope, diagonal = penalised(sums, weights)
+    past, step, quiet = [], None, 0
+    for _ in range(STEPS):
+        if step is None:
+            step = _direction(slope, diagonal, past)
+            if step @ slope >= 0:
+                past, step = [], -slope / diagonal
+            step = step * min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
+        new = penalised(evaluate(weights + step), weights + step)
+        if new[0] > loss + 1e-4 * (step @ slope):
+            if np.abs(step).max() < 1e-4:
+                break
+            step = step / 2
+            continue
+        change = new[1] - slope
+        if step @ change > 1e-10 * np.linalg.norm(step) * np.linalg.norm(change):
+            past = [*past[1 - MEMORY :], (step, change)]
+        quiet = quiet + 1 if loss - new[0] < 1e-6 * abs(new[0]) else 0
+        weights, step = weights + step, None
+        loss, slope, diagonal = new
+        if quiet == 2:
+            break
+    return weights
 
 
 def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
@@ -161,48 +212,16 @@ def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     rows = documents.join(known_labels, documents["doc_id"] == known_labels["of_id"]).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     words = vocabulary(rows, scratch)
     model = Model(words, np.zeros(len(words) + 1))
-    width = len(words) + 1
 
     @F.pandas_udf("binary")
     def bag(texts: pd.Series) -> pd.Series:
         return pd.Series([_bag(t, model.known) for t in texts])
 
     bags = scratch.write(rows.select("toxic", bag("text").alias("bag")))
-    size = 2 + width + width * width
-
-    def partial(batch, weights):
-        out = np.zeros(size)
-        for numbers, toxic in zip(batch["bag"], batch["toxic"]):
-            loss, where, g, odds = _gradient(numbers, toxic, weights)
-            out[0] += 1
-            out[1] += loss
-            out[2 + where] += g
-            # Fisher information of a Bernoulli of probability p: slope of the hazard, squared, times the odds against
-            hazard = g if not toxic else -g / max(odds, 1e-300)
-            out[2 + width + (where[:, None] * width + where[None, :]).ravel()] += (odds * np.outer(hazard, hazard)).ravel()
-        return out
-
-    weights = np.concatenate([[-4.0], np.full(width - 1, 2.0)])
-    best = None
-    for _ in range(STEPS):
-        sums = summed(bags, lambda batch, w=weights: partial(batch, w), size)
-        if sums[0] == 0:
-            break
-        loss = sums[1] + RIDGE * weights @ weights / 2
-        if best is not None and loss > best[0] * (1 + 1e-9):
-            weights = (weights + best[1]) / 2
-            if np.abs(weights - best[1]).max() < 1e-3:
-                break
-            continue
-        done = best is not None and best[0] - loss < 1e-5 * abs(loss)
-        best = (loss, weights)
-        if done:
-            break
-        slope = sums[2 : 2 + width] + RIDGE * weights
-        fisher = sums[2 + width :].reshape(width, width) + (RIDGE + 1e-6) * np.eye(width)
-        step = np.linalg.solve(fisher, slope)
-        weights = weights - step * min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
-    model.weights = best[1] if best else weights
+    evaluate = lambda weights: summed(
+        bags, lambda batch: _sums(batch["bag"], batch["toxic"].to_numpy(), weights), 2 + 2 * len(weights)
+    )
+    model.weights = minimum(evaluate, np.concatenate([[-4.0], np.full(len(words), 2.0)]))
     return model
 
 

@@ -143,6 +143,42 @@ def test_prior_is_found():
     assert abs(quality_pu.estimated_prior(bins(high[:20_000]), bins(np.concatenate([high, low]))) - 0.6) < 0.05
 
 
+def test_rare_offending_words_are_tested(spark, tmp_path):
+    letters = "abcdefghij"
+    rude = [a + b + c for a in letters for b in letters for c in "xyz"]
+    common = " ".join("q" + a + b + c + d for a in letters for b in letters for c in letters for d in letters + "klmnopqrstuvwxyz"
+                      + "àáâãäåæçèéêëìíîïðñòóôõöøùúûüý")
+    assert len(set(common.split())) > 50_000
+    rows = [(common if i % 100 < 6 else "fine", 0) for i in range(100)] + [(common if i < 6 else " ".join(rude), 1) for i in range(11)]
+    with toxicity_mil.Scratch(spark, "terms") as scratch:
+        found = toxicity_mil.vocabulary(spark.createDataFrame(rows, "text string, toxic int"), scratch)
+    assert sorted(found) == sorted(w + "$" for w in rude)
+
+
+def test_every_significant_word_has_a_weight(spark):
+    letters = "abcdefghijklmnopqrst"
+    rude = [a + b + "x" for a in letters for b in letters[:15]]
+    texts = [f"A fine day. You {rude[i % 300]}! Bye." for i in range(6000)] + ["A fine day. You said so! Bye."] * 18_000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 6000 as int) as toxic")
+    found = toxicity_mil.report(docs, labels).selectExpr("doc_id < 6000 as toxic", "predicted = 1 as predicted")
+    assert {tuple(r) for r in found.distinct().collect()} == {(True, True), (False, False)}
+
+
+def test_sums_of_documents_are_slopes():
+    random = np.random.default_rng(2)
+    model = toxicity_mil.Model(["bad$", "scum$", "foul$"], random.normal(size=4))
+    bags = [toxicity_mil._bag(t, model.known) for t in ("Bad day. You scum bad! Bye.", "foul", "All well.", "", "foul scum. foul")]
+    toxic = np.array([1, 0, 0, 0, 1])
+    losses = lambda w: toxicity_mil._sums(bags, toxic, w)
+    sums = losses(model.weights)
+    for i in range(4):
+        nudge = np.eye(4)[i] * 1e-6
+        slope = (losses(model.weights + nudge)[1] - losses(model.weights - nudge)[1]) / 2e-6
+        assert abs(slope - sums[2 + i]) < 1e-5
+    assert sums[0] == 5 and (sums[6:] > 0).all()
+
+
 def test_offending_sentences_are_located():
     model = toxicity_mil.Model(["scum$"], np.array([-6.0, 12.0]))
     score, bad = model.document("All is well. You scum! Bye.")
