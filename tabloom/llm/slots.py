@@ -2,7 +2,8 @@
 
 Every record hashes into one of some thousands of slots, for good.  Bytes are summed by slot, and a small table says which
 shard holds which slot.  Rebalancing edits that table: whole slots move from the fullest shards to the emptiest, all other
-rows stay where they are, and each edit is stored as a new version.
+rows stay where they are, and each edit is stored as a new version.  Given the folder of a map, a run goes on from its newest
+version, also with more data or another number of shards.
 """
 
 from __future__ import annotations
@@ -48,17 +49,18 @@ def first_map(slots: int, shards: int) -> dict[int, int]:
 def rebalanced(held: dict[int, int], weights: dict[int, int], shards: int) -> dict[int, int]:
     """The map after moving slots until no move or swap between the fullest and another shard narrows their gap.
 
-    Over-full shards give up slots, the largest of these go first to the emptiest shard; then single slots move or swap
-    with the fullest shard.  It works on the slot totals alone, some thousands of numbers whatever the data.
+    Over-full shards give up slots, those beyond ``shards`` give up all, the largest of these go first to the emptiest shard;
+    then single slots move or swap with the fullest shard.  It works on the slot totals alone, some thousands of numbers whatever the data.
     """
-    out = dict(held)
+    out = {slot: shard if shard < shards or slot in weights else slot % shards for slot, shard in held.items()}
     load = [0] * shards
     members: list[set[int]] = [set() for _ in range(shards)]
+    pool = [slot for slot in weights if out[slot] >= shards]
     for slot, weight in weights.items():
-        load[out[slot]] += weight
-        members[out[slot]].add(slot)
-    mean = sum(load) / shards
-    pool = []
+        if out[slot] < shards:
+            load[out[slot]] += weight
+            members[out[slot]].add(slot)
+    mean = sum(weights.values()) / shards
     for shard in range(shards):
         for slot in sorted(members[shard], key=lambda s: (-weights[s], s)):
             if load[shard] - weights[slot] >= mean:
@@ -105,31 +107,50 @@ def read_map(spark, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version:06d}")
 
 
+def versions(spark, path: str) -> dict[int, bool]:
+    """The versions of the map at ``path``, and whether each was written to its end."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return {}
+    folders = [f.getPath() for f in files.listStatus(root) if f.getPath().getName().startswith("version=")]
+    return {int(p.getName().split("=")[1]): files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) for p in folders}
+
+
 def plan(rows: DataFrame, path: str, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
-    """Store the map before and after balancing ``rows`` (from ``measured``) at ``path``, and return the second one.
+    """Balance ``rows`` (from ``measured``) from the newest map at ``path``, store the result as its next version and return it.
 
-    The driver sees one row per slot, ``slots`` at most.
+    Without a map, version 1 is stored first.  The driver sees one row per slot, ``slots`` at most.
     """
     spark = rows.sparkSession
     totals = {r["virtual_slot"]: (r["bytes"], r["n_rows"]) for r in slot_totals(rows).collect()}
-    held = first_map(slots, shards)
-    store_map(spark, path, 1, held, totals)
+    stored = versions(spark, path)
+    whole = [version for version, done in stored.items() if done]
+    if whole:
+        held = {r["virtual_slot"]: r["shard"] for r in read_map(spark, path, max(whole)).collect()}
+        if len(held) != slots:
+            raise ValueError(f"the map at {path} has {len(held)} slots, not {slots}: slots are fixed for good")
+        number = max(stored) + 1
+    else:
+        held, number = first_map(slots, shards), max(stored, default=0) + 2
+        store_map(spark, path, number - 1, held, totals)
     weights = {slot: totals[slot][0] for slot in totals}
-    store_map(spark, path, 2, rebalanced(held, weights, shards), totals)
-    return read_map(spark, path, 2)
+    store_map(spark, path, number, rebalanced(held, weights, shards), totals)
+    return read_map(spark, path, number)
 
 
-def shard_rows(documents: DataFrame, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
+def shard_rows(documents: DataFrame, slots: int = SLOTS, shards: int = SHARDS, map_path: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ``bytes``, shard, slot, grown_shard, virtual_slot.
 
     ``slot`` is the row's place in its shard, from 0 without gaps.  Virtual slots follow each other within a shard, so a
     place is the rows of the slots before it plus the place in its own slot; only the latter needs an order of rows.
-    Repeated rows each get a place; an empty table gives no rows; a NULL text has 8 bytes, the crc32 of nothing.
+    The map of slots is carried on at ``map_path``; without it, one is made for this run.  Repeated rows each get a place; an empty table gives no rows; a NULL text has 8 bytes, the crc32 of nothing.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "shards")
     rows = scratch.write(measured(documents, slots))
-    layout = plan(rows, scratch.path(), slots, shards)
+    layout = plan(rows, map_path or scratch.path(), slots, shards)
     before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
     layout = layout.select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("before"))
     place = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))

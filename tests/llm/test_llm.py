@@ -355,6 +355,23 @@ def test_shards_are_even_gapless_and_edited(spark, tmp_path):
     assert sum(edited[s] == held[s] for s in held) > 32
 
 
+def test_the_map_of_shards_is_carried_on(spark, tmp_path):
+    docs, path = documents(spark), str(tmp_path / "map")
+    place = lambda rows, shards: {(r["doc_id"], r["text_crc32"]): r["shard"] for r in slots.shard_rows(rows, 64, shards, path).collect()}
+    first = place(docs, 4)
+    assert place(docs, 4) == first and slots.versions(spark, path) == {1: True, 2: True, 3: True}
+    (tmp_path / "map" / "version=000004").mkdir()  # of a run that was stopped
+    grown = place(docs, 5)
+    moved = [key for key in first if grown[key] != first[key]]
+    assert set(grown.values()) == set(range(5)) and len(moved) < len(first) / 2
+    fewer = place(docs, 3)
+    assert set(fewer.values()) == set(range(3)) and max(slots.versions(spark, path)) == 6
+    held = {r["virtual_slot"]: r["shard"] for r in slots.read_map(spark, path, 6).collect()}
+    assert len(held) == 64 and max(held.values()) == 2
+    with pytest.raises(ValueError):
+        slots.shard_rows(docs, 32, 3, path)
+
+
 def test_pipeline(spark):
     docs = documents(spark)
     good = quality_pu.keep_good(docs, spark.read.parquet(f"{SF}/labels.parquet"))
