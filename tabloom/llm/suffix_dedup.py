@@ -17,7 +17,8 @@ Texts are packed into blocks of about 2 MB, stored once in a bucketed table.  A
 bytes: each place where 200 bytes start is whole in one piece, and what is removed near a cut is put together in the end by
 streaming the pieces in order.  A block sends each of its distinct keys to a
 bucket once, so a passage that a third of all documents share costs one key per block, and gets one bit per key back.  What
-moves is keys and bits; but for the pieces of long ones, texts are never shuffled.  Buckets are as many as keep one within a task's memory.
+moves is keys and bits; but for the pieces of long ones, texts are never shuffled.  Order and ties are those of window hashes, not
+of bytes: equal keys are taken as equal bytes, wrong with a probability below n^2 / 2^65 for n distinct windows.  Buckets are as many as keep one within a task's memory.
 """
 
 from __future__ import annotations
