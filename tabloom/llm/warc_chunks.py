@@ -2,7 +2,8 @@
 
 Each chunk carries the SHA-256 of the payload up to its end, computed as the chunks stream by, and becomes a WARC record:
 the first of a payload is the ``response``, the others are its ``continuation`` segments.  Readers group chunks by record,
-sort them and stream them through a digest; no task holds more than a batch of chunks of a payload.  Archives are written
+sort them and stream them through a digest; no reading task holds more than a batch of chunks of a payload.  On the writing side
+the whole payload is hashed and cut in its row.  Archives are written
 and read by Spark's own text source, so they can be in any store, and a lost task is simply run again.
 
 The line separator of the reader is the end of a record with the start of the next.  A payload that holds the version mark of
