@@ -46,7 +46,7 @@ STAGES = [
     ("source mixing", source_weights),
     ("sharding", shards),
 ]
-# Trained weights, fingerprints by bit votes and iterated tilts are beyond SQL; a brute-force version tests them.
+# Trained weights, fingerprints by bit votes and iterated tilts are beyond SQL; the stages called by hand test run().
 ORACLE_SQL = None
 
 

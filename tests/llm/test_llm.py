@@ -210,6 +210,21 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in simhash_vptree.keep_one(docs).collect()) == sorted(set(least.values()))
 
 
+def test_large_data_paths_find_the_same(spark, monkeypatch):
+    docs = documents(spark)
+    near = lambda: sorted(tuple(r) for r in simhash_vptree.near_duplicates(docs).collect())
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    leaks = lambda: sorted(tuple(r) for r in decontaminate.report(docs, benchmark).collect())
+    one_leaf, one_pass = near(), leaks()
+    depths, forest = [], simhash_vptree.forest
+    monkeypatch.setattr(simhash_vptree, "forest", lambda nodes, n: depths.append(forest(nodes, n)) or depths[-1])
+    monkeypatch.setattr(simhash_vptree, "LEAF_ROWS", 20)
+    monkeypatch.setattr(simhash_vptree, "SPLIT_ROWS", 10)
+    monkeypatch.setattr(decontaminate, "PASS_WINDOWS", 40)
+    assert near() == one_leaf and all(t.depth > 0 for t in depths[0])
+    assert leaks() == one_pass and any(r[-1] for r in one_pass)
+
+
 def test_trees_meet_every_close_pair():
     random = np.random.default_rng(7)
     points = random.integers(0, 2**64, 3000, dtype=np.uint64)
