@@ -218,10 +218,19 @@ def test_large_data_paths_find_the_same(spark, monkeypatch):
     one_leaf, one_pass = near(), leaks()
     depths, forest = [], simhash_vptree.forest
     monkeypatch.setattr(simhash_vptree, "forest", lambda nodes, n: depths.append(forest(nodes, n)) or depths[-1])
+    largest, dealt = [], simhash_vptree.dealt
+
+    def seen(nodes, trees):
+        rows = dealt(nodes, trees)
+        largest.append(max(r["count"] for r in rows.groupBy("tree", "leaf").count().collect()))
+        return rows
+
+    monkeypatch.setattr(simhash_vptree, "dealt", seen)
     monkeypatch.setattr(simhash_vptree, "LEAF_ROWS", 20)
     monkeypatch.setattr(simhash_vptree, "SPLIT_ROWS", 10)
     monkeypatch.setattr(decontaminate, "PASS_WINDOWS", 40)
-    assert near() == one_leaf and all(t.depth > 0 for t in depths[0])
+    assert near() == one_leaf and all(t.depth > 0 for t in depths[0]) and largest[0] > simhash_vptree.SPLIT_ROWS
+    assert decontaminate.item_windows(benchmark).count() > decontaminate.PASS_WINDOWS
     assert leaks() == one_pass and any(r[-1] for r in one_pass)
 
 
