@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 from tabloom.checks import Registry
-from tabloom.llm import decontaminate, line_dedup, mixing, quality_pu, quality_rules, simhash_vptree, slots, suffix_dedup, toxicity_mil, warc_chunks
+from tabloom.llm import (
+    decontaminate,
+    exact_sort,
+    line_dedup,
+    mixing,
+    quality_pu,
+    quality_rules,
+    simhash_vptree,
+    slots,
+    suffix_dedup,
+    toxicity_mil,
+    warc_chunks,
+)
 from tabloom.llm.common import table
 
 registry = Registry()
@@ -95,3 +107,10 @@ def op9_site_lines(spark, folder):
 @registry.query("op10_slots")
 def op10_slots(spark, folder):
     return slots.shard_rows(table(spark, folder, "documents"))
+
+
+@registry.query("op12_exact", r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t
+ FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+ row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d""")
+def op12_exact(spark, folder):
+    return exact_sort.report(table(spark, folder, "documents"))
