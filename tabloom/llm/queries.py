@@ -8,6 +8,7 @@ from tabloom.llm import (
     exact_sort,
     line_dedup,
     mixing,
+    phrase_automata,
     quality_pu,
     quality_rules,
     simhash_vptree,
@@ -114,3 +115,23 @@ def op10_slots(spark, folder):
  row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d""")
 def op12_exact(spark, folder):
     return exact_sort.report(table(spark, folder, "documents"))
+
+
+@registry.query("op13_phrases", r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(
+ coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+ q AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+ g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS x FROM q, range(1, 4) t(k)
+ WHERE len(w) >= k), f AS (SELECT lang, x, count(*) AS f FROM g GROUP BY lang, x),
+ n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len(x) = 1 GROUP BY lang),
+ c AS (SELECT lang, x, f AS a FROM f WHERE len(x) > 1 AND f >= 10),
+ k AS (SELECT lang, x, a, unnest(range(1, len(x))) AS k FROM c),
+ s AS (SELECT k.lang, k.x, a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score FROM k
+ JOIN f l ON l.lang = k.lang AND l.x = k.x[:k] JOIN f r ON r.lang = k.lang AND r.x = k.x[k + 1:]),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1),
+ longer AS (SELECT lang, y, max(a) AS m FROM (SELECT lang, a, unnest([x[1:2], x[2:3]]) AS y FROM c WHERE len(x) = 3) GROUP BY lang, y),
+ o AS (SELECT b.*, array_to_string(x, ' ') AS phrase FROM b LEFT JOIN longer ON longer.lang = b.lang AND y = x
+ WHERE m IS NULL OR 100 * m < 50 * a)
+ SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+ CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000""")
+def op13_phrases(spark, folder):
+    return phrase_automata.collocations(table(spark, folder, "documents"))
