@@ -24,12 +24,12 @@ from tabloom.operators.skew import look_up
 
 LEAST = 10
 TOP = 2000
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 RANGE_BYTES = 16 << 20
 MAX_RANGES = 20_000
 SAMPLE_TEXTS = 2000
 SAMPLE_PAIRS = 32
-UNION_ROWS = 2_000_000
+UNION_ROWS = 1_000_000
 FILTER_BITS = (16, 28)
 NO_LANG = "und"
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)  # a byte that UTF-8 never has
@@ -343,11 +343,9 @@ def pieces(documents: DataFrame, borders: list[tuple[bytes, bytes, bytes]], shar
             else:
                 columns, counts, keys = triples(lang, ids, len(words), known.admits(langs, words))
             ends = [0, *np.searchsorted(keys, cuts(langs, words, borders)).tolist(), len(keys)]
-            out = [
-                (i, serialised(langs, words, [c[a:b] for c in columns], counts[a:b]))
-                for i, (a, b) in enumerate(zip(ends, ends[1:])) if a < b
-            ]
-            yield pd.DataFrame(out, columns=["range", "automaton"])
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                if a < b:
+                    yield pd.DataFrame({"range": [i], "automaton": [serialised(langs, words, [c[a:b] for c in columns], counts[a:b])]})
 
     return documents.select("lang", "text").mapInPandas(of_batches, "range int, automaton binary")
 
@@ -387,6 +385,7 @@ class Union:
             keys, third = pairs[whole // len(words)], whole % len(words)
         total = np.zeros(len(keys), dtype=np.int64)
         np.add.at(total, back, counts)
+        del back, counts
         n = len(words)
         columns = [keys // (n + 1) // n, keys // (n + 1) % n, keys % (n + 1) - 1] + ([] if third is None else [third])
         self.held = [(langs, words, columns, total)]
@@ -442,7 +441,7 @@ def phrase_counts(documents: DataFrame, scratch: Scratch, least: int = LEAST, sh
     return short.unionByName(long)
 
 
-def scored(counts: DataFrame) -> DataFrame:
+def scored(counts: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidates with their lowest-scoring cut: lang, phrase, words, a, l, r, score; ``counts`` as by ``phrase_counts``."""
     word = F.split("phrase", " ")
     part = lambda a, n: F.array_join(F.slice(word, a, n), " ")
@@ -452,7 +451,7 @@ def scored(counts: DataFrame) -> DataFrame:
     rows = rows.select("lang", "phrase", "words", "a", "cut.*")
     parts = counts.where("words between 1 and 2")
     for name, count in (("first", "l"), ("rest", "r")):
-        rows = look_up(rows, parts.select("lang", F.col("phrase").alias(name), F.col("f").alias(count)), ["lang", name])
+        rows = look_up(scratch.write(rows), parts.select("lang", F.col("phrase").alias(name), F.col("f").alias(count)), ["lang", name])
     exact = "cast(1000000 as decimal(8,0)) * (cast(a as decimal(15,0)) * cast(a as decimal(15,0)))"
     rows = rows.withColumn("score", F.expr(f"({exact}) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"))
     best = rows.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
@@ -468,7 +467,7 @@ def collocations(documents: DataFrame, top: int = TOP, least: int = LEAST, **siz
     spark = documents.sparkSession
     with Scratch(spark, "phrases") as scratch, small_batches(spark):
         counts = phrase_counts(documents, scratch, least, **sizes)
-        found = scratch.write(scored(counts))
+        found = scratch.write(scored(counts, scratch))
         word = F.split("phrase", " ")
         pair = lambda a: F.array_join(F.slice(word, a, 2), " ")
         longer = found.where("words = 3").select("lang", F.col("a").alias("longer"), F.explode(F.array(pair(1), pair(2))).alias("phrase"))
