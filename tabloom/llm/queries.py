@@ -13,6 +13,7 @@ from tabloom.llm import (
     quality_rules,
     simhash_vptree,
     slots,
+    spelling_grams,
     suffix_dedup,
     toxicity_mil,
     warc_chunks,
@@ -135,3 +136,29 @@ def op12_exact(spark, folder):
  CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000""")
 def op13_phrases(spark, folder):
     return phrase_automata.collocations(table(spark, folder, "documents"))
+
+
+@registry.query("op11_spelling", r"""WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(
+ list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{5,}')) AS run FROM documents),
+ d AS (SELECT id, run, count(*) AS m, hex(encode(id || ':' || run)) AS x FROM o GROUP BY ALL),
+ b AS (SELECT id, run, m, list_transform(range(1, length(x) // 2 + 1), lambda i: 16 * (instr('0123456789ABCDEF', x[2 * i - 1]) - 1)
+ + instr('0123456789ABCDEF', x[2 * i]) - 1) AS bytes FROM d),
+ h AS (SELECT run, m, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, e: xor(c >> 8, t[CAST((xor(c, e) & 255) + 1 AS
+ BIGINT)])), 4294967295) AS h FROM b, t),
+ c AS (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, m FROM h),
+ w AS MATERIALIZED (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+ v AS MATERIALIZED (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+ p AS (SELECT a.word, b.word AS near, b.n FROM v a JOIN v b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+ AND length(a.word) = length(b.word) UNION SELECT a.word, b.word, b.n FROM v a JOIN w b ON a.cut = b.word UNION
+ SELECT b.word, a.word, a.n FROM v a JOIN w b ON a.cut = b.word),
+ r AS (SELECT word, near, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, near)
+ AS place FROM p),
+ f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 2 * w.n THEN near END AS form,
+ CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n FROM w LEFT JOIN r ON r.word = w.word AND place = 1),
+ up(word, root, further) AS (SELECT word, coalesce(form, word), form IS NOT NULL FROM f UNION ALL
+ SELECT up.word, coalesce(f.form, f.word), f.form IS NOT NULL FROM up JOIN f ON f.word = up.root WHERE further)
+ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN up ON up.word = f.word AND NOT further""")
+def op11_spelling(spark, folder):
+    return spelling_grams.variants(table(spark, folder, "documents"))
