@@ -24,6 +24,7 @@ from tabloom.operators.skew import look_up
 
 LEAST = 10
 TOP = 2000
+TOP_BUCKETS = 32
 SHARD_WORDS = 1_000_000
 RANGE_BYTES = 16 << 20
 MAX_RANGES = 20_000
@@ -323,7 +324,8 @@ def splitters(documents: DataFrame, ranges: int, n: int) -> list[tuple[bytes, by
                 for i in random.integers(0, max(1, len(words) - 1), SAMPLE_PAIRS).tolist() if len(words) > 1 else []:
                     if _MARK not in (words[i], words[i + 1]):
                         out.append((NO_LANG if lang is None else lang, words[i].decode(), words[i + 1].decode()))
-            yield pd.DataFrame(out, columns=["lang", "first", "second"])
+            if out:
+                yield pd.DataFrame(out, columns=["lang", "first", "second"])
 
     drawn = documents.sample(min(1.0, max(SAMPLE_TEXTS, ranges) / max(1, n)), 1).mapInPandas(pairs, "lang string, first string, second string")
     drawn = sorted((r[0].encode(), r[1].encode(), r[2].encode()) for r in drawn.collect())
@@ -408,21 +410,17 @@ class Union:
 
 
 def united(found: DataFrame, ranges: int, least: int) -> DataFrame:
-    """(lang, phrase, words, f) of the frequent phrases of all shards; a range is read by one task, piece by piece."""
+    """(lang, phrase, words, f) of the frequent phrases of all shards; each range is a task that reads it piece by piece."""
 
     def of_partition(batches):
-        now, union = None, Union()
+        union = Union()
         for batch in batches:
-            for of, data in zip(batch["range"], batch["automaton"]):
-                if now is not None and of != now:
-                    yield union.frequent(least)
-                    union = Union()
-                now = of
+            for data in batch["automaton"]:
                 union.add(data)
-        if now is not None:
-            yield union.frequent(least)
+        if union.held and len(rows := union.frequent(least)):
+            yield rows
 
-    return found.repartition(ranges, "range").sortWithinPartitions("range").mapInPandas(of_partition, _ROWS)
+    return found.repartitionById(ranges, "range").mapInPandas(of_partition, _ROWS)
 
 
 # --- operators --------------------------------------------------------------------------------------------------------
@@ -475,8 +473,10 @@ def collocations(documents: DataFrame, top: int = TOP, least: int = LEAST, **siz
         rows = found.join(longer, ["lang", "phrase"], "left").where(
             (F.col("words") == 3) | F.col("longer").isNull() | (100 * F.col("longer") < 50 * F.col("a"))
         )
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-        rows = rows.withColumn("rank", place.cast("long")).where(F.col("rank") <= top)
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(TOP_BUCKETS)))
+        for keys in (["lang", "bucket"], ["lang"]):  # so that the last task of a language reads some 2 000 rows a bucket
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+            rows = rows.withColumn("rank", place.cast("long")).where(F.col("rank") <= top)
         totals = counts.where("words = 0").groupBy(F.col("lang").alias("of_lang")).agg(F.sum("f").alias("n"))
         rows = rows.join(totals, F.col("lang") == F.col("of_lang"))
         return scratch.write(rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), keep=True)
