@@ -26,11 +26,12 @@ RATIO = 2
 SHORTEST, LONGEST = 2, 5
 LEAST_LIST = 20
 HEAVY_GRAMS = 4000
-CHUNK_ROWS = 50_000
-LONG_LIST = 256
+CHUNK_ROWS = 100_000
+LONG_LIST = 48
 WIDTH = 48
 ROUNDS = 64
 _OPEN, _SHUT = "^", "$"
+_BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 # --- words ------------------------------------------------------------------------------------------------------------
@@ -181,118 +182,148 @@ def _common(a: bytes, b: bytes) -> int:
     return int(differ[0]) if len(differ) else n
 
 
+def _equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bytes rows of 64-bit lanes share from the first on."""
+    out = np.full(len(x), 8 * x.shape[1], dtype=np.int64)
+    for lane in reversed(range(x.shape[1])):
+        differ = x[:, lane] ^ y[:, lane]
+        lowest = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
+        out = np.where(differ == 0, out, 8 * lane + lowest)
+    return out
+
+
+def _steps(key: np.ndarray):
+    """Pairs of places with equal keys in a sorted array, a distance at a time."""
+    left, step = np.arange(len(key)), 1
+    while len(left):
+        left = left[left + step < len(key)]
+        left = left[key[left] == key[left + step]]
+        if len(left):
+            yield left, left + step
+        step += 1
+
+
 class Chunk:
     """Whole lists of the index: rows sorted by key."""
 
     def __init__(self, rows: pd.DataFrame) -> None:
         self.key = rows["key"].to_numpy()
-        self.words = [(_OPEN + w + _SHUT).encode("latin-1") for w in rows["word"]]
-        distinct = sorted(set(self.words))
-        number = {w: i for i, w in enumerate(distinct)}
-        self.distinct, self.id = distinct, np.array([number[w] for w in self.words], dtype=np.int64)
+        code, names = pd.factorize(rows["word"], sort=True)
+        self.id, self.distinct = code.astype(np.int64), [(_OPEN + w + _SHUT).encode("latin-1") for w in names]
         self.n, self.at, self.side = (rows[c].to_numpy().astype(np.int64) for c in ("n", "at", "side"))
-        self.length = np.array([len(w) for w in self.words], dtype=np.int64)
-        short = [w if len(w) <= WIDTH else b"" for w in distinct]
-        self.ahead = np.frombuffer(b"".join(w.ljust(WIDTH, b"\0") for w in short), np.uint8).reshape(-1, WIDTH)
-        self.back = np.frombuffer(b"".join(w[::-1].ljust(WIDTH, b"\0") for w in short), np.uint8).reshape(-1, WIDTH)
-        spans = [np.frombuffer(s, "<u4").astype(np.int64) for s in rows["spans"]]
-        self.start = np.full((len(spans), max(len(s) for s in spans) // 2), -1, dtype=np.int64)
+        self.length = np.array([len(w) for w in self.distinct], dtype=np.int64)[self.id]
+        short = [w if len(w) <= WIDTH else b"" for w in self.distinct]
+        self.letters = np.frombuffer(b"".join(w.ljust(WIDTH, b"\0") for w in short), np.uint8).reshape(-1, WIDTH)
+        back = np.frombuffer(b"".join(w[::-1].ljust(WIDTH, b"\0") for w in short), "<u8").reshape(-1, WIDTH // 8)
+        self.lanes = self.letters.view("<u8"), back
+        sizes = np.array([len(x) for x in rows["spans"]], dtype=np.int64) // 8
+        flat = np.frombuffer(b"".join(rows["spans"]), "<u4").astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.start = np.full((len(sizes), int(sizes.max())), -1, dtype=np.int64)
         self.end = self.start.copy()
-        for i, s in enumerate(spans):
-            self.start[i, : len(s) // 2], self.end[i, : len(s) // 2] = s[::2], s[1::2]
+        self.start[row, place], self.end[row, place] = flat[::2], flat[1::2]
 
     def shared(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Letters that the words of rows ``a`` and ``b`` share from the start and from the end."""
-        least = np.minimum(self.length[a], self.length[b])
+        longest, least = np.maximum(self.length[a], self.length[b]), np.minimum(self.length[a], self.length[b])
         out = []
-        for letters, step in ((self.ahead, 1), (self.back, -1)):
-            differ = letters[self.id[a]] != letters[self.id[b]]
-            some = differ.any(axis=1)
-            shared = np.where(some, differ.argmax(axis=1), WIDTH)
-            for i in np.flatnonzero(np.maximum(self.length[a], self.length[b]) > WIDTH).tolist():
-                shared[i] = _common(self.words[a[i]][::step], self.words[b[i]][::step])
-            out.append(np.minimum(shared, least))
+        for lanes, step in zip(self.lanes, (1, -1)):
+            found = np.empty(len(a), dtype=np.int64)
+            for part, width in ((longest <= 16, 2), ((longest > 16) & (longest <= WIDTH), WIDTH // 8)):
+                found[part] = _equal_bytes(lanes[:, :width][self.id[a[part]]], lanes[:, :width][self.id[b[part]]])
+            for i in np.flatnonzero(longest > WIDTH).tolist():
+                found[i] = _common(self.distinct[self.id[a[i]]][::step], self.distinct[self.id[b[i]]][::step])
+            out.append(np.minimum(found, least))
         return out[0], out[1]
 
-    def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of rows of one list those at distance one that meet here first."""
+    def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of rows of one list those at distance one that meet here first, and the letters they share at the start."""
         close = (np.abs(self.length[a] - self.length[b]) <= 1) & (self.id[a] != self.id[b])
         a, b = a[close], b[close]
-        swap = self.id[a] > self.id[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        a, b = np.where(self.id[a] > self.id[b], b, a), np.where(self.id[a] > self.id[b], a, b)
         head, tail = self.shared(a, b)
         near = head + tail >= np.maximum(self.length[a], self.length[b]) - 1
         a, b, head, tail = a[near], b[near], head[near], tail[near]
-        if not len(a):
-            return a, b
         shift = (self.length[b] - self.length[a])[:, None]
         start, end = self.start[a], self.end[a]
         left, right = np.zeros(start.shape, dtype=bool), np.zeros(start.shape, dtype=bool)
         for j in range(start.shape[1]):
-            s, e = self.start[b][:, j, None], self.end[b][:, j, None]
+            s, e = self.start[b, j][:, None], self.end[b, j][:, None]
             left |= (start == s) & (end == e)
             right |= (start + shift == s) & (end + shift == e)
         there = start >= 0
         left &= there & (end <= head[:, None])
         right &= there & (self.length[a][:, None] - start <= tail[:, None])
         first = (left | right).argmax(axis=1)
-        row = np.arange(len(a))
-        here = (self.at[a] == first) & (self.side[a] == np.where(left[row, first], 0, 1))
-        return a[here], b[here]
+        here = (self.at[a] == first) & (self.side[a] == np.where(left[np.arange(len(a)), first], 0, 1))
+        return a[here], b[here], head[here]
 
     def pairs(self):
-        """Pairs of rows that stand in one list, a step at a time; of long lists only those that share half of what is left."""
+        """Pairs of rows at distance one, each where it meets first.  Rows of a long list meet only if they share a half of what
+        stands beside the gram, words beyond ``WIDTH`` letters each other one of their list."""
         bounds = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1], [True]]))
         size = np.repeat(np.diff(bounds), np.diff(bounds))
-        yield from self._steps(np.flatnonzero(size <= LONG_LIST), self.key)
-        for low, high in zip(bounds, bounds[1:]):
-            if high - low > LONG_LIST:
-                yield from self._halves(np.arange(low, high))
-
-    def _steps(self, rows: np.ndarray, key: np.ndarray):
-        key, step = key[rows], 1
-        left = np.arange(len(rows))
-        while len(left):
-            left = left[left + step < len(rows)]
-            left = left[key[left] == key[left + step]]
-            if len(left):
-                yield rows[left], rows[left + step]
-            step += 1
+        small = np.flatnonzero((size <= LONG_LIST) & (self.length <= WIDTH))
+        for a, b in _steps(self.key[small]):
+            yield self.near(small[a], small[b])[:2]
+        wide = np.flatnonzero(self.length >= WIDTH)
+        for a, b in _steps(self.key[wide]):
+            some = np.maximum(self.length[wide[a]], self.length[wide[b]]) > WIDTH
+            yield self.near(wide[a[some]], wide[b[some]])[:2]
+        yield from self._halves(np.flatnonzero((size > LONG_LIST) & (self.length <= WIDTH)))
 
     def _halves(self, rows: np.ndarray):
         """An edit in the text beside the gram leaves one half of it alone, the halves being those of the shorter word."""
+        if not len(rows):
+            return
+        sums = np.zeros((len(self.distinct), WIDTH + 1), dtype=np.uint64)  # hashes of the beginnings; hits are verified
+        for k in range(WIDTH):
+            sums[:, k + 1] = sums[:, k] * _BASE + self.letters[:, k] + np.uint64(1)
+        powers = _BASE ** np.arange(WIDTH + 1, dtype=np.uint64)
         at, side = self.at[rows], self.side[rows]
-        start, end, length = self.start[rows, at], self.end[rows, at], self.length[rows]
-        groups = {}
-        for row, a, b, s, n in zip(rows.tolist(), start.tolist(), end.tolist(), side.tolist(), length.tolist()):
-            rest = self.words[row][b:] if s == 0 else self.words[row][:a]
-            for shorter in (len(rest), len(rest) - 1):
-                half = shorter // 2
-                groups.setdefault((shorter, 0, rest[:half]), []).append(row)
-                groups.setdefault((shorter, 1, rest[len(rest) - (shorter - half) :]), []).append(row)
-        beside = {row: (self.words[row][b:] if s == 0 else self.words[row][:a])
-                  for row, a, b, s in zip(rows.tolist(), start.tolist(), end.tolist(), side.tolist())}
-        for (shorter, which, _), members in groups.items():
-            if len(members) < 2:
+        low = np.where(side == 0, self.end[rows, at], 0)  # the text beside the gram
+        rest = np.where(side == 0, self.length[rows], self.start[rows, at]) - low
+        which = self.id[rows]
+        keys, members, first, wanted = [], [], [], []
+        for less in (0, 1):
+            shorter = rest - less
+            half = np.maximum(shorter, 0) // 2
+            for second in (0, 1):
+                a = np.where(second, low + rest - (shorter - half), low)
+                b = np.where(second, low + rest, low + half)
+                hashed = sums[which, b] - sums[which, a] * powers[b - a]
+                key = self.key[rows].view(np.uint64) ^ (hashed * _MIX) ^ ((shorter.astype(np.uint64) * np.uint64(2) + np.uint64(second)) * _BASE)
+                good = shorter >= 0
+                keys.append(key[good])
+                members.append(rows[good])
+                first.append(np.where(second, half, -1)[good])
+                wanted.append(shorter[good])
+        keys, members, first, wanted = (np.concatenate(x) for x in (keys, members, first, wanted))
+        order = np.argsort(keys, kind="stable")
+        keys, members, first, wanted = keys[order], members[order], first[order], wanted[order]
+        beside = np.zeros(len(self.id), dtype=np.int64)
+        beside[rows] = rest
+        begins = np.zeros(len(self.id), dtype=np.int64)
+        begins[rows] = low
+        for i, j in _steps(keys):
+            a, b = members[i], members[j]
+            some = (self.key[a] == self.key[b]) & (np.minimum(beside[a], beside[b]) == wanted[i]) & (wanted[i] == wanted[j]) & (first[i] == first[j])
+            a, b, half = a[some], b[some], first[i][some]
+            if not len(a):
                 continue
-            members = np.array(members)
-            for a, b in self._steps(members, np.zeros(int(members.max()) + 1, dtype=np.int64)):
-                x, y = [beside[i] for i in a.tolist()], [beside[i] for i in b.tolist()]
-                half = shorter // 2
-                keep = np.array([
-                    min(len(u), len(v)) == shorter and (which == 0 or u[:half] != v[:half]) for u, v in zip(x, y)
-                ], dtype=bool)
-                yield a[keep], b[keep]
+            # a pair that shares the first half stands in that list already
+            head = self.shared(a, b)[0]
+            some = (half < 0) | (head < begins[a] + half)
+            yield self.near(a[some], b[some])[:2]
 
     def found(self) -> pd.DataFrame:
         """(word, near, best_n, best): how many near words a word has here, and the most frequent of them."""
-        first, second = [], []
+        first, second = [np.array([], dtype=np.int64)], [np.array([], dtype=np.int64)]
         for a, b in self.pairs():
-            a, b = self.near(a, b)
             first.append(a)
             second.append(b)
-        none = [np.array([], dtype=np.int64)]
-        a, b = np.concatenate(none + first + second), np.concatenate(none + second + first)
+        a, b = np.concatenate(first + second), np.concatenate(second + first)
         of, other, n = self.id[a], self.id[b], self.n[b]
         order = np.lexsort((other, -n, of))
         of, other, n = of[order], other[order], n[order]
