@@ -29,7 +29,7 @@ def read_delimited_quoted(spark, folder):
     path = fresh_path(spark, "file")
     documents.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     return delimited.read_delimited(
-        spark, path, separator=",", encoding="UTF-8", headers=["doc_id", "text", "lang"], multiline=True
+        spark, path, separator=",", encoding="UTF-8", headers=["doc_id", "text", "lang"], multiline=True, split=True
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, replace
 from functools import reduce
 from urllib.parse import unquote
@@ -13,12 +12,13 @@ from pyspark.sql import types as T
 
 from tabloom.functions.hashing import digest_sum
 from tabloom.naming import normalize_headers
+from tabloom.sources.quoted import UTF8, WINDOWS, opens_quote, records, windows_text
 from tabloom.types import ColumnSpec
 
 # Separators in the order that decides a tie, and the lines that are counted for them.
 SEPARATORS = (";", ",", "\t")
 SEPARATOR_LINES = 10
-UTF8, WINDOWS = "UTF-8", "windows-1252"
+_PARSER = {"escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1", "maxColumns": "100000"}
 
 
 def separator_of(text: Column) -> Column:
@@ -59,13 +59,7 @@ class Layout:
     encoding: str
     multiline: bool
     headers: list[str]
-
-
-def _opens_quote(line: Column, separator: str) -> Column:
-    """Whether a line ends inside a quoted value: whole quoted values taken out, what is left opens one."""
-    start, end = rf"(?:^|{re.escape(separator)})", rf"(?={re.escape(separator)}|\s*$)"
-    inside = '"(?:[^"]++|"")*+'
-    return F.contains(line, F.lit('"')) & F.regexp_replace(line, f'({start}){inside}"{end}', "$1").rlike(f"{start}{inside}$")
+    split: bool | None = None  # read by blocks; None: where a file has more than one
 
 
 def file_hints(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +71,7 @@ def file_hints(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
-    opened = F.array(*[_opens_quote(F.col("value"), s) for s in SEPARATORS])
+    opened = F.array(*[opens_quote(F.col("value"), s) for s in SEPARATORS])
     flags = lines.select("file", (~F.is_valid_utf8("value")).alias("foreign"), opened.alias("opened")).groupBy("file").agg(
         F.bool_or("foreign").alias("foreign"), *[F.bool_or(F.col("opened")[i]).alias(f"opened_{i}") for i in range(len(SEPARATORS))]
     )
@@ -141,9 +135,12 @@ def bind_header(headers: list[str], columns: list[tuple[str, str]]) -> list[int]
 
 
 def read_header(spark: SparkSession, path: str, separator: str, encoding: str = UTF8) -> list[str]:
-    """The header cells of a file."""
-    row = _csv(spark, separator, encoding).option("header", False).csv(path).first()
-    return [(cell or "").removeprefix("﻿") for cell in row]
+    """The header cells of a file; a quoted one may hold line breaks."""
+    lines = spark.read.text(path).limit(1).select(opens_quote(F.col("value"), separator).alias("open")).first()
+    breaks = lines is not None and lines["open"]
+    known = "ISO-8859-1" if encoding == WINDOWS else encoding
+    row = _csv(spark, separator, known).option("header", False).option("multiLine", breaks).csv(path).first()
+    return [windows_text(cell or "") if encoding == WINDOWS else (cell or "").removeprefix("﻿") for cell in row]
 
 
 def read_for_mapping(
@@ -187,17 +184,7 @@ def profile_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _csv(spark: SparkSession, separator: str, encoding: str):
-    if encoding != UTF8:
-        # Spark accepts only Unicode encodings for text unless it is told to use all that Java knows.
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return (
-        spark.read.option("sep", separator)
-        .option("encoding", encoding)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("maxCharsPerColumn", -1)
-        .option("maxColumns", 100_000)
-    )
+    return spark.read.option("sep", separator).option("encoding", encoding).options(**_PARSER)
 
 
 def has_quoted_breaks(spark: SparkSession, path: str, separator: str) -> bool:
@@ -206,7 +193,13 @@ def has_quoted_breaks(spark: SparkSession, path: str, separator: str) -> bool:
     Whole quoted values are taken out of each line; what is left then holds an opening quote, at the start of a value, or
     none.  Stray quotes inside values do not count.
     """
-    return not spark.read.text(path).where(_opens_quote(F.col("value"), separator)).isEmpty()
+    return not spark.read.text(path).where(opens_quote(F.col("value"), separator)).isEmpty()
+
+
+def _has_blocks(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether some file is longer than what Spark gives one task; a shorter one is read in order by one task anyway."""
+    longest = spark.read.format("binaryFile").load(paths).agg(F.max("length").alias("n")).first()["n"] or 0
+    return longest > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
 
 
 def _read(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -217,14 +210,17 @@ def _read(spark: SparkSession, layout: Layout) -> DataFrame:
             for name, header in zip(normalize_headers(layout.headers), layout.headers)
         ]
     )
-    return (
-        _csv(spark, layout.separator, layout.encoding)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("multiLine", layout.multiline)
-        .schema(schema)
-        .csv(layout.paths)
-    )
+    by_blocks = layout.multiline and layout.encoding in (UTF8, WINDOWS) and (_has_blocks(spark, layout.paths) if layout.split is None else layout.split)
+    if by_blocks or layout.encoding == WINDOWS:
+        rows = records(spark, layout.paths, layout.separator, layout.encoding).where("not first")
+        options = {"sep": layout.separator, **_PARSER}
+        parsed = F.from_csv("record", ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema), options)
+        return rows.select(parsed.alias("row")).select(
+            *[F.col("row").getField(f.name).alias(f.name, metadata=f.metadata) for f in schema]
+        )
+    return _csv(spark, layout.separator, layout.encoding).option("header", True).option("enforceSchema", True).option(
+        "multiLine", layout.multiline
+    ).schema(schema).csv(layout.paths)
 
 
 def read_delimited(
@@ -234,17 +230,19 @@ def read_delimited(
     encoding: str | None = None,
     headers: list[str] | None = None,
     multiline: bool | None = None,
+    split: bool | None = None,
 ) -> DataFrame:
     """A delimited file, or a folder of them, as a DataFrame of text columns.
 
     Short rows end in NULLs, blank lines are skipped, a stray quote stays in its value.  Column names are the
-    normalised headers; the header itself is kept as metadata.  Files are split among tasks unless quoted values hold line
-    breaks: ``multiline`` says so, and unless it is given one pass over the lines finds out.  The files of a folder may
+    normalised headers; the header itself is kept as metadata.  Files are split among tasks, also where quoted values hold line
+    breaks (see ``quoted``): ``multiline`` says so, and unless it is given one pass over the lines finds out.  The files of a folder may
     differ in encoding, separator, and order and number of columns: columns go by name, those of the first file first, and
-    a file that lacks one has NULL there.  ``headers`` says that all files have these columns, in this order.
+    a file that lacks one has NULL there.  ``headers`` says that all files have these columns, in this order.  ``split``
+    says whether files with breaks are read by blocks; else those are that Spark would give more than one task.
     """
     if headers is not None and None not in (separator, encoding, multiline):
-        return _read(spark, Layout([path], separator, encoding, multiline, headers))
+        return _read(spark, Layout([path], separator, encoding, multiline, headers, split))
     found = layouts(spark, path, separator, encoding, multiline)
-    parts = [_read(spark, x if headers is None else replace(x, headers=headers)) for x in found]
+    parts = [_read(spark, replace(x, headers=x.headers if headers is None else headers, split=split)) for x in found]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
