@@ -46,17 +46,25 @@ def _nodes(plan) -> Iterator:
         yield from _nodes(part)
 
 
-# Functions that call code outside the engine.
+# Built-in functions that call code outside the engine.
 OUTSIDE_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
 
 
 def _function_names(expressions):
     for expression in expressions:
         if _kind(expression) == "UnresolvedFunction":
-            yield _items(expression.nameParts())[-1].lower()
+            yield [part.lower() for part in _items(expression.nameParts())]
         yield from _function_names(_items(expression.children()))
 
 
+def _check_function(spark: SparkSession, parts: list[str], registry: str) -> None:
+    """Only functions of Spark itself: one that a user registered may read files."""
+    analysis = spark._jvm.org.apache.spark.sql.catalyst
+    known = getattr(analysis.analysis, registry).builtin()
+    if len(parts) > 1 or parts[0] in OUTSIDE_FUNCTIONS or not known.functionExists(analysis.FunctionIdentifier(parts[0])):
+        raise ReadOnlyError(f"{'.'.join(parts)} is not allowed")
+
+
 def _kind(node) -> str:
     return node.getClass().getSimpleName()
 
@@ -75,9 +83,10 @@ def _parsed(spark: SparkSession, sql: str):
     for node in _nodes(plan):
         if _kind(node) not in QUERY_NODES:
             raise ReadOnlyError(f"{_kind(node)} is not allowed")
-        for name in _function_names(_items(node.expressions())):
-            if name in OUTSIDE_FUNCTIONS:
-                raise ReadOnlyError(f"{name} is not allowed")
+        for parts in _function_names(_items(node.expressions())):
+            _check_function(spark, parts, "FunctionRegistry")
+        if _kind(node) == "UnresolvedTableValuedFunction":
+            _check_function(spark, [part.lower() for part in _items(node.name())], "TableFunctionRegistry")
     return plan
 
 
@@ -149,12 +158,18 @@ def run_query(
     for name in sorted((named & own) - set(visible)):
         if spark.catalog.tableExists(name):  # where the definition does not hide it, it must not lead out of the scope
             raise ScopeError(f"{name} is not in the scope")
-    views = sorted(named & set(visible))
-    try:
-        for name in views:
-            visible[name].createOrReplaceTempView(name)
-        result = spark.sql(sql.strip().rstrip(";"))  # resolved here: the views are not needed afterwards
-    finally:
-        for name in views:
-            spark.catalog.dropTempView(name)
+    result = _analysed(spark, sql.strip().rstrip(";"), {name: visible[name] for name in named & set(visible)})
     return result if limit is None else page(result, limit, offset, order_by)
+
+
+def _analysed(spark: SparkSession, sql: str, views: Mapping[str, DataFrame]) -> DataFrame:
+    """A statement resolved in a session of its own, which has the same settings and no other names than ``views``.
+
+    The caller's views and functions are neither seen nor touched, and statements of several threads do not meet.  The resolved
+    plan comes back to the caller's session and runs there.
+    """
+    dataset, own, private = spark._jvm.org.apache.spark.sql.classic.Dataset, spark._jsparkSession, spark._jsparkSession.newSession()
+    private.sessionState().conf().settings().putAll(own.sessionState().conf().settings())
+    for name, df in views.items():
+        dataset.ofRows(private, df._jdf.queryExecution().analyzed()).createOrReplaceTempView(name)
+    return DataFrame(dataset.ofRows(own, private.sql(sql).queryExecution().analyzed()), spark)
