@@ -26,6 +26,7 @@ WORD_END = "$"
 STEPS = 200
 MEMORY = 10
 RIDGE = 0.05
+BAG_BATCH = 8192
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _NOT_LETTERS = "[^\\p{L}]+"
@@ -149,12 +150,25 @@ def _sums(bags, toxic: np.ndarray, weights: np.ndarray) -> np.ndarray:
     pairs, at = np.unique(document[sentence] * width + hits, return_inverse=True)
     slope = np.bincount(at, s[sentence], len(pairs))
     of, term = pairs // width, pairs % width
-    gradient = np.bincount(term, pull[of] * slope, width)
-    fisher = np.bincount(term, odds[of] * slope**2, width)
+    gradient = np.bincount(term, pull[of] * slope, width).astype(np.float64)  # whole numbers where there is no term
+    fisher = np.bincount(term, odds[of] * slope**2, width).astype(np.float64)
     gradient[0], fisher[0] = pull @ bias, odds @ bias**2
     return np.concatenate([[n, np.where(toxic == 1, -np.log(p), total).sum()], gradient, fisher])
 
 
+def _plain_sums(counted: pd.DataFrame, weights: np.ndarray) -> np.ndarray:
+    """``_sums`` of the documents without known terms, which differ by their number of sentences and label alone."""
+    out, width = np.zeros(2 + 2 * len(weights)), len(weights)
+    sentences = np.array([np.frombuffer(b, dtype=np.int32)[0] for b in counted["bag"]], dtype=np.float64)
+    toxic, n = counted["toxic"].to_numpy(), counted["n"].to_numpy()
+    total, bias = sentences * _softplus(weights[0]), sentences * _sigmoid(weights[0])
+    p = np.maximum(-np.expm1(-total), 1e-12)
+    odds = np.exp(-total) / p
+    out[0], out[1] = n.sum(), (n * np.where(toxic == 1, -np.log(p), total)).sum()
+    out[2], out[2 + width] = (n * np.where(toxic == 1, -odds, 1.0)) @ bias, (n * odds) @ bias**2
+    return out
+
+
 def _sigmoid(x):
     return 0.5 * (1 + np.tanh(x / 2))
 
@@ -207,9 +221,14 @@ def minimum(evaluate, weights: np.ndarray) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
-    """Vocabulary and weights.  Without toxic or without clean training documents the vocabulary is empty."""
+    """Vocabulary and weights.  Without toxic or without clean training documents the vocabulary is empty.
+
+    Documents without known terms, most of all, are counted once by their number of sentences (the driver sees one row for each
+    such number); a pass reads the others.
+    """
     known_labels = bounded(scratch.write(training(labels)))
-    rows = documents.join(known_labels, documents["doc_id"] == known_labels["of_id"]).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(known_labels, texts["doc_id"] == known_labels["of_id"]).select("text", "toxic")
     words = vocabulary(rows, scratch)
     model = Model(words, np.zeros(len(words) + 1))
 
@@ -217,10 +236,16 @@ def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     def bag(texts: pd.Series) -> pd.Series:
         return pd.Series([_bag(t, model.known) for t in texts])
 
+    # a bag begins with the number of sentences and that of those with known terms; without any it is these two alone
     bags = scratch.write(rows.select("toxic", bag("text").alias("bag")))
-    evaluate = lambda weights: summed(
-        bags, lambda batch: _sums(batch["bag"], batch["toxic"].to_numpy(), weights), 2 + 2 * len(weights)
-    )
+    plain = bags.where(F.octet_length("bag") == 8).groupBy("bag", "toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    telling = scratch.write(bags.where(F.octet_length("bag") > 8))
+
+    def evaluate(weights: np.ndarray) -> np.ndarray:
+        with small_batches(rows.sparkSession, BAG_BATCH):
+            found = summed(telling, lambda batch: _sums(batch["bag"], batch["toxic"].to_numpy(), weights), 2 + 2 * len(weights))
+        return found + _plain_sums(plain, weights)
+
     model.weights = minimum(evaluate, np.concatenate([[-4.0], np.full(len(words), 2.0)]))
     return model
 

@@ -44,9 +44,10 @@ ODD = [
 @pytest.fixture(scope="module")
 def odd(spark):
     """Odd rows, with columns named like those that the operators use inside."""
-    rows = [(i, t, s, k, "x", 1.5, True, [1], "y") for i, t, s, k in ODD]
+    rows = [(i, t, s, k, "x", 1.5, True, [1], "y", 1, 0, "p", 3, "host") for i, t, s, k in ODD]
     return spark.createDataFrame(
-        rows, "doc_id long, text string, source string, digest int, row string, score double, kept boolean, words array<int>, h string"
+        rows, "doc_id long, text string, source string, digest int, row string, score double, kept boolean, words array<int>, h string, "
+        "toxic int, label int, positive string, size int, host string"
     )
 
 
@@ -132,8 +133,9 @@ def test_classifiers_learn(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     quality = quality_pu.scored(docs, labels).join(labels, "doc_id").where("held_out")
     assert quality.where("predicted = quality").count() >= 0.95 * quality.count()
-    toxic = toxicity_mil.report(docs, labels).join(labels, "doc_id").where("held_out and toxic = 0")
-    assert toxic.where("predicted = 1").count() <= 0.02 * toxic.count()
+    toxic = toxicity_mil.report(docs, labels).join(labels, "doc_id").where("held_out")
+    assert toxic.where("toxic = 0 and predicted = 1").count() <= 0.02 * toxic.where("toxic = 0").count()
+    assert toxic.where("toxic = 1 and predicted = 1").count() >= 0.4 * toxic.where("toxic = 1").count()
 
 
 def test_prior_is_found():
@@ -179,6 +181,16 @@ def test_sums_of_documents_are_slopes():
     assert sums[0] == 5 and (sums[6:] > 0).all()
 
 
+def test_documents_without_terms_add_up():
+    import pandas as pd
+
+    weights = np.array([-1.5, 2.0])
+    bags = [toxicity_mil._bag(t, {"bad$": 1}) for t in ("One. Two. Three!", "One. Two. Three!", "Fine.", "", "a. b")]
+    toxic = np.array([0, 0, 1, 0, 1])
+    counted = pd.DataFrame({"bag": bags, "toxic": toxic}).groupby(["bag", "toxic"]).size().reset_index(name="n")
+    assert np.allclose(toxicity_mil._plain_sums(counted, weights), toxicity_mil._sums(bags, toxic, weights))
+
+
 def test_offending_sentences_are_located():
     model = toxicity_mil.Model(["scum$"], np.array([-6.0, 12.0]))
     score, bad = model.document("All is well. You scum! Bye.")
