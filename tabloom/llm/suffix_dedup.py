@@ -46,6 +46,8 @@ BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 SAMPLE_KEY_BYTES, KEY_BYTES = 5, 8
 BLOCKS_AT_ONCE = 4
+KEY_SEED, BUCKET_SEED = 1, 2
+BASE = int(np.random.default_rng(0).integers(0, 2**63)) << 1 | 1
 
 
 def packed_blocks(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -86,25 +88,32 @@ def packed_blocks(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataF
 class Block:
     """The texts of a block with window hashes at any position."""
 
+    powers = shift = np.ones(0, dtype=np.uint64)
+
     def __init__(self, data: bytes, sizes) -> None:
         self.bytes = np.frombuffer(data, dtype=np.uint8)
         self.sizes = np.asarray(sizes, dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
+        self.sums: dict[int, np.ndarray] = {}
 
     def hashes(self, at: np.ndarray, width: int, seed: int) -> np.ndarray:
-        """64-bit hash of the ``width`` bytes at each position: a polynomial modulo 2^64 over random byte values, mixed."""
-        random = np.random.default_rng(seed)
-        value = random.integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
-        base = (int(random.integers(0, 2**63)) << 1 | 1) & (2**64 - 1)
+        """64-bit hash of the ``width`` bytes at each position: a polynomial modulo 2^64 over random byte values, mixed.
+
+        The sums of a block are made once for each seed and serve all widths; the powers serve all blocks of a task.
+        """
         n = len(self.bytes)
-        powers = np.full(n + 1, np.uint64(base))
-        powers[0] = 1
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(value[self.bytes] * np.cumprod(powers, dtype=np.uint64)[:n], out=sums[1:])
-        powers[1:] = np.uint64(pow(base, -1, 2**64))
-        shift = np.cumprod(powers, dtype=np.uint64)
-        out = (sums[at + width] - sums[at]) * shift[at]
+        if len(Block.powers) <= n:
+            for name, base in (("powers", BASE), ("shift", pow(BASE, -1, 2**64))):
+                table = np.full(n + 1, np.uint64(base))
+                table[0] = 1
+                setattr(Block, name, np.cumprod(table, dtype=np.uint64))
+        if seed not in self.sums:
+            value = np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
+            self.sums[seed] = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(value[self.bytes] * Block.powers[:n], out=self.sums[seed][1:])
+        sums = self.sums[seed]
+        out = (sums[at + width] - sums[at]) * Block.shift[at]
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(32))
@@ -176,13 +185,13 @@ class Search:
     def __init__(self, data: bytes, sizes, bits: tuple[int, ...]) -> None:
         self.block, self.bits = Block(data, sizes), bits
 
-    def _keys(self, at: np.ndarray, width: int, seed: int, bits: int) -> Keys:
-        bucket = self.block.hashes(at, width, seed + 1) >> np.uint64(64 - bits)
-        return Keys(bucket.astype(np.int64), self.block.hashes(at, width, seed))
+    def _keys(self, at: np.ndarray, width: int, bits: int) -> Keys:
+        bucket = self.block.hashes(at, width, BUCKET_SEED) >> np.uint64(64 - bits)
+        return Keys(bucket.astype(np.int64), self.block.hashes(at, width, KEY_SEED))
 
     def sample_keys(self) -> Keys:
         self.at = self.block.sample()
-        key = self.block.hashes(self.at, SAMPLE, 1)
+        key = self.block.hashes(self.at, SAMPLE, KEY_SEED)
         low = key & np.uint64((1 << 8 * SAMPLE_KEY_BYTES) - 1)
         return Keys((key >> np.uint64(64 - self.bits[0])).astype(np.int64), low)
 
@@ -190,7 +199,7 @@ class Search:
         keys = self.sample_keys()
         self.tied = self.at[keys.tied(sample_answer)]
         self.long = self.tied[self.block.left()[self.tied] >= LONG] if len(self.tied) else self.tied
-        return self._keys(self.long, LONG, 2, self.bits[1])
+        return self._keys(self.long, LONG, self.bits[1])
 
     def suffix_keys(self, sample_answer, long_answer) -> Keys:
         keys = self.long_keys(sample_answer)
@@ -198,7 +207,7 @@ class Search:
         self.settled = self.block.covered(tied, tied + MODULUS)
         others = self.block.covered(later, later + MODULUS)
         self.open = np.flatnonzero(self.block.candidates(self.tied) & ~others)
-        return self._keys(self.open, LEAST, 4, self.bits[1])
+        return self._keys(self.open, LEAST, self.bits[1])
 
     def repeated(self, sample_answer, long_answer, suffix_answer) -> np.ndarray:
         keys = self.suffix_keys(sample_answer, long_answer)
