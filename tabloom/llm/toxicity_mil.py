@@ -27,8 +27,11 @@ STEPS = 200
 MEMORY = 10
 RIDGE = 0.05
 BAG_BATCH = 8192
+BAGS_A_TASK = 50_000
+MEMO_WORDS = 200_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_FROM_FIRST_LETTER = re.compile(r"[^\W\d_][^.!?\n]*")
 _NOT_LETTERS = "[^\\p{L}]+"
 
 
@@ -73,26 +76,34 @@ def vocabulary(rows: DataFrame, scratch: Scratch) -> list[str]:
     return [r["term"] for r in best.orderBy(F.desc("ratio"), "term").select("term").collect()]
 
 
-def hits_of(word: str, known: dict[str, int]) -> list[int]:
-    """Numbers of the known terms that a word has."""
-    terms = [word + WORD_END, *[word[:n] for n in PREFIXES if len(word) >= n]]
-    return [known[t] for t in terms if t in known]
+class Known(dict):
+    """Numbers of the known terms; those of a word are looked up once for some hundred thousand words at a time."""
 
+    def __init__(self, numbers: dict[str, int]) -> None:
+        super().__init__(numbers)
+        self.words: dict[str, list[int]] = {}
 
-def sentences(text: str | None, known: dict[str, int]) -> tuple[int, list[tuple[int, int, list[int]]]]:
+    def hits(self, word: str) -> list[int]:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= MEMO_WORDS:
+                self.words.clear()
+            terms = [word + WORD_END, *[word[:n] for n in PREFIXES if len(word) >= n]]
+            found = self.words[word] = [self[t] for t in terms if t in self]
+        return found
+
+
+def sentences(text: str | None, known: Known) -> tuple[int, list[tuple[int, int, list[int]]]]:
     """Number of sentences with words, and (start, end, term numbers) of those with known terms."""
     text = text or ""
     found = []
-    telling = {w: h for w in set(_WORD.findall(text.lower())) if (h := hits_of(w, known))}
-    n = 0
-    for match in _SENTENCE.finditer(text):
-        part = match.group()
-        if _WORD.search(part):
-            n += 1
-            if telling:
-                hits = {h for w in _WORD.findall(part.lower()) if w in telling for h in telling[w]}
-                if hits:
-                    found.append((match.start(), match.end(), sorted(hits)))
+    telling = {w: h for w in set(_WORD.findall(text.lower())) if (h := known.hits(w))}
+    n = len(_FROM_FIRST_LETTER.findall(text))
+    if telling:
+        for match in _SENTENCE.finditer(text):
+            hits = {h for w in _WORD.findall(match.group().lower()) if w in telling for h in telling[w]}
+            if hits:
+                found.append((match.start(), match.end(), sorted(hits)))
     return n, found
 
 
@@ -105,7 +116,7 @@ class Model:
 
     def __init__(self, words: list[str], weights: np.ndarray) -> None:
         self.words, self.weights = words, weights
-        self.known = {w: i + 1 for i, w in enumerate(words)}
+        self.known = Known({w: i + 1 for i, w in enumerate(words)})
 
     def logit(self, hits: list[int]) -> float:
         return float(self.weights[0] + self.weights[hits].sum())
@@ -120,7 +131,7 @@ class Model:
         return float(-np.expm1(-none)), bad
 
 
-def _bag(text: str | None, known: dict[str, int]) -> bytes:
+def _bag(text: str | None, known: Known) -> bytes:
     """Sentences of a training document in numbers: their count, that of those with known terms, lengths and terms of these."""
     n, found = sentences(text, known)
     out = [n, len(found), *[len(hits) for _, _, hits in found]]
@@ -240,6 +251,7 @@ def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     bags = scratch.write(rows.select("toxic", bag("text").alias("bag")))
     plain = bags.where(F.octet_length("bag") == 8).groupBy("bag", "toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()
     telling = scratch.write(bags.where(F.octet_length("bag") > 8))
+    telling = scratch.write(telling.repartition(1 + telling.count() // BAGS_A_TASK))  # few tasks a pass: they are small
 
     def evaluate(weights: np.ndarray) -> np.ndarray:
         with small_batches(rows.sparkSession, BAG_BATCH):

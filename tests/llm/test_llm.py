@@ -185,7 +185,7 @@ def test_documents_without_terms_add_up():
     import pandas as pd
 
     weights = np.array([-1.5, 2.0])
-    bags = [toxicity_mil._bag(t, {"bad$": 1}) for t in ("One. Two. Three!", "One. Two. Three!", "Fine.", "", "a. b")]
+    bags = [toxicity_mil._bag(t, toxicity_mil.Known({"bad$": 1})) for t in ("One. Two. Three!", "One. Two. Three!", "Fine.", "", "a. b")]
     toxic = np.array([0, 0, 1, 0, 1])
     counted = pd.DataFrame({"bag": bags, "toxic": toxic}).groupby(["bag", "toxic"]).size().reset_index(name="n")
     assert np.allclose(toxicity_mil._plain_sums(counted, weights), toxicity_mil._sums(bags, toxic, weights))
