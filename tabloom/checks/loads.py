@@ -11,7 +11,7 @@ from tabloom.naming import normalize_headers
 from tabloom.operators import export, load, profile
 from tabloom.operators.mapping import apply_mapping
 from tabloom.plans import derived, refresh
-from tabloom.plans.file_load import load_file
+from tabloom.plans.file_load import load_file, load_new_files
 from tabloom.plans.refresh import Source
 from tabloom.session import fresh_path
 from tabloom.sources import external
@@ -388,3 +388,23 @@ def export_ndjson(spark, folder):
 def column_dictionary(spark, folder):
     """The dictionary of a table as its content was profiled."""
     return export.column_dictionary(profile.infer_mapping(frames.text_table(spark, folder, "lineitem")), spark)
+
+
+@registry.query(
+    "folder_load",
+    "SELECT t.name AS table_name, c_nationkey, t.n * count(*) AS n_rows, sum(t.n * c_custkey)::BIGINT AS sum_keys FROM customer, "
+    "(VALUES ('one', 2), ('two', 1)) AS t(name, n) GROUP BY t.name, t.n, c_nationkey",
+)
+def folder_load(spark, folder):
+    """Customers as a file, an equal copy and one in another order, loaded into two tables by content and tried twice."""
+    store, base = _store(spark), fresh_path(spark, "files")
+    rows = frames.table(spark, folder, "customer").select("c_custkey", "c_nationkey").coalesce(1)
+    for name, order in (("a", F.asc("c_custkey")), ("b", F.asc("c_custkey")), ("c", F.desc("c_custkey"))):
+        rows.sortWithinPartitions(order).write.option("sep", ";").option("header", True).csv(f"{base}/{name}")
+    known = {"separator": ";", "encoding": "UTF-8", "multiline": False}
+    for table, files in (("one", f"{base}/*"), ("two", f"{base}/[ab]"), ("one", f"{base}/*"), ("two", f"{base}/a")):
+        load_new_files(store, table, files, "run", **known)
+    held = [store.read(table).withColumn("table_name", F.lit(table)) for table in ("one", "two")]
+    return held[0].unionByName(held[1]).groupBy("table_name", "c_nationkey").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("c_custkey").alias("sum_keys")
+    )

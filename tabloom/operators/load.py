@@ -75,7 +75,8 @@ def delta_prep(target: DataFrame, mapping: list[ColumnSpec]) -> DataFrame:
 
 def duplicate_keys(df: DataFrame, key: str | list[str]) -> DataFrame:
     """Keys that occur more than once; NULLs count as equal."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    return repeated.withColumnRenamed("_copies", "n")
 
 
 def upsert(target: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,6 @@ import time
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tabloom import types as hub
 from tabloom.functions.dates import excel_serial
@@ -49,19 +48,19 @@ def load_file(
     return rows
 
 
-def load_new_files(store: TableStore, table: str, path: str, load_id: str, **options) -> list[str]:
-    """Append the files of a folder whose content no load has brought yet; returns them, one of each content.
+def load_new_files(store: TableStore, table: str, path: str, run_id: str, **options) -> list[str]:
+    """Append the files of a folder whose content no load has brought to the table yet; returns them, one of each content.
 
-    Names come to the driver, as they do whenever Spark lists a folder.
+    A file's load id is made of its content.  So a run that died may be repeated, whatever files came or went since: what is
+    recorded is not loaded again, and what is not recorded is new.  Names come to the driver, as they do whenever Spark lists a
+    folder.
     """
-    with materialized(delimited.profile_files(store.spark, path), "files") as known:
-        fresh = store.new_files(known)
-        files = sorted(r["file"] for r in fresh.select("file").collect())
-        for number, file in enumerate(files):
-            load_file(store, table, unquote(file), "append" if store.exists(table) else "replace", f"{load_id}-{number}", **options)
-        if files:
-            store.log_files(known.where(F.col("file").isin(files)), load_id)
-    return files
+    with materialized(delimited.file_digests(store.spark, path), "files") as known:
+        fresh = sorted(store.new_files(table, known).collect(), key=lambda r: r["file"])
+    for row in fresh:
+        store.log_file(table, run_id, row)
+        load_file(store, table, unquote(row["file"]), "append" if store.exists(table) else "replace", row["load_id"], **options)
+    return [row["file"] for row in fresh]
 
 
 def with_serial_dates(raw: DataFrame, mapping: list[ColumnSpec]) -> DataFrame:

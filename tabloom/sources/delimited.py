@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.hashing import digest_sum
 from tabloom.naming import normalize_headers
+from tabloom.session import materialize
 from tabloom.sources.quoted import UTF8, WINDOWS, opens_quote, records, windows_text
 from tabloom.types import ColumnSpec
 
@@ -183,6 +184,26 @@ def profile_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """Size, lines and a digest of every text file of a folder: two files agree in all of them only if they are equal byte by byte.
+
+    Each line is hashed with its number in the file, and hashes are added up, so that tasks read a file in any split.  The number
+    is the line's place in its block and the lines of the blocks before, which a first scan counts.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size_bytes"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value",
+    )
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
+    past = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = materialize(blocks.withColumn("past", F.coalesce(F.sum("n").over(past), F.lit(0))), "blocks")
+    number = (F.col("past") + F.col("at") - F.col("first_at")).cast("string")
+    digest = F.md5(F.concat(F.concat(number, F.lit(":")).cast("binary"), F.col("value").cast("binary")))
+    return lines.join(blocks, ["file", "block"]).groupBy("file", "size_bytes").agg(
+        F.count(F.lit(1)).alias("line_count"), digest_sum(digest, 1).alias("sum_high"), digest_sum(digest, 17).alias("sum_low")
+    )
+
+
 def _csv(spark: SparkSession, separator: str, encoding: str):
     return spark.read.option("sep", separator).option("encoding", encoding).options(**_PARSER)
 

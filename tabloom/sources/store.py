@@ -52,7 +52,7 @@ SOURCES = _schema(
     error=T.StringType(), logged_at=T.TimestampNTZType(),
 )
 FILES = _schema(
-    file=T.StringType(), size_bytes=T.LongType(), line_count=T.LongType(), sum_high=T.StringType(), sum_low=T.StringType(),
+    table_name=T.StringType(), run_id=T.StringType(), file=T.StringType(), size_bytes=T.LongType(), line_count=T.LongType(), sum_high=T.StringType(), sum_low=T.StringType(),
     load_id=T.StringType(),
 )
 DROPPED = "drop"
@@ -94,9 +94,12 @@ class TableStore:
     those files it has to take rows out of.  All other files of the version before stay in the list.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, owner=None):
+        """``owner(path, load_id)`` gives the load that owns a new version's number, the same one to all that ask; the default
+        creates a file through Spark's checkpoint file manager, which can be set for stores without exclusive creation."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.owner = owner or self._created
         for log in ("_versions", "_events", "_sources", "_files"):
             path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{log}")
             path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
@@ -123,8 +126,9 @@ class TableStore:
         return self._log("_sources", SOURCES)
 
     def files(self) -> DataFrame:
-        """Size and content sums of every file that was loaded."""
-        return self._log("_files", FILES)
+        """Size, digest and load of every file that was loaded into a table, and the run that brought it."""
+        loads = self.versions().select("table_name", "load_id").distinct()
+        return self._log("_files", FILES).dropDuplicates(["table_name", "file", "load_id"]).join(loads, ["table_name", "load_id"], "left_semi")
 
     def log_event(self, table: str, load_id: str, detail: dict) -> None:
         self._append("_events", (table, load_id, json.dumps(detail), _now()), EVENTS)
@@ -133,17 +137,23 @@ class TableStore:
         mark = None if watermark is None else str(watermark)
         self._append("_sources", (table, load_id, status, mark, row_count, error, _now()), SOURCES)
 
-    def log_files(self, files: DataFrame, load_id: str) -> None:
-        """Remember files, as ``delimited.profile_files`` describes them."""
-        rows = files.withColumn("load_id", F.lit(load_id)).select(*[F.col(f.name).cast(f.dataType) for f in FILES.fields])
-        rows.write.parquet(f"{self.root}/_files/entry={uuid.uuid4().hex}")
+    def log_file(self, table: str, run_id: str, file: Row) -> None:
+        """Note that a file, as ``new_files`` describes it, is about to be loaded; ``files`` shows it once that load is recorded."""
+        self._append("_files", (table, run_id, *[file[f.name] for f in FILES.fields[2:]]), FILES)
 
-    def new_files(self, files: DataFrame) -> DataFrame:
-        """Of described files, one of each content that no load has brought yet."""
-        same = ["size_bytes", "line_count", "sum_high", "sum_low"]
-        texts = files.select("file", *[F.col(FILES[c].name).cast(FILES[c].dataType) for c in same])
+    def new_files(self, table: str, files: DataFrame) -> DataFrame:
+        """Of files, as ``delimited.file_digests`` describes them, one of each content that no load has brought to the table, with
+        the load id that this content has.
+
+        The record of versions itself says what was brought, so that nothing lies between a load and its note; a drop forgets it.
+        """
+        same = [f.name for f in FILES.fields[3:-1]]
+        texts = files.select("file", *[F.col(c).cast(FILES[c].dataType).alias(c) for c in same])
         firsts = texts.groupBy(*same).agg(F.min("file").alias("file"))
-        return keep_by_key(firsts, self.files(), same, present=False).select("file", *same)
+        firsts = firsts.withColumn("load_id", F.concat(F.lit("file-"), F.md5(F.concat_ws("|", *same))))
+        own = self.versions().where(F.col("table_name") == table)
+        dropped = own.where(F.col("mode") == DROPPED).agg(F.coalesce(F.max("version"), F.lit(0)).alias("n")).first()["n"]
+        return keep_by_key(firsts, own.where(F.col("version") > dropped), ["load_id"], present=False).select("file", *same, "load_id")
 
     def watermark(self, table: str) -> str | None:
         """The mark that the last successful refresh of a source stored."""
@@ -227,25 +237,33 @@ class TableStore:
         return self._read(paths, schema)
 
     def _claim(self, table: str, version: int, load_id: str) -> None:
-        """Take a version's number by creating a file that must not exist: of two loads from one version one is refused.
+        """Take a version's number: of two loads from one version one is refused.
 
         A load that died between this and its record keeps the number, and its retry, which has its id, goes on.
         """
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/{table}/{version}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        owner = self.owner(f"{self.root}/_claims/{quote(table, safe='')}/{version}", load_id)
+        if owner != load_id:
+            raise OvertakenError(f"{table}: version {version} is that of load {owner!r}")
+
+    def _created(self, path: str, load_id: str) -> str:
+        """The load in a file that the first caller wrote.  It is created whole or not at all, as Spark's streams commit batches:
+        ``spark.sql.streaming.checkpointFileManagerClass`` names the class that does so on an object store."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        streaming = jvm.org.apache.spark.sql.execution.streaming.checkpointing
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        manager = getattr(getattr(streaming, "CheckpointFileManager$"), "MODULE$").create(path.getParent(), conf)
+        manager.mkdirs(path.getParent())
         try:
-            out = files.create(path, False)
+            out = manager.createAtomic(path, False)
+            out.write(bytearray(load_id.encode("utf-8")))
+            out.close()
         except Py4JJavaError as error:
             if not error.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
                 raise
-            held = files.open(path)
-            owner = bytes(held.readAllBytes()).decode("utf-8")
-            held.close()
-            if owner != load_id:
-                raise OvertakenError(f"{table}: version {version} is that of load {owner!r}") from None
-        else:
-            out.write(bytearray(load_id.encode("utf-8")))
-            out.close()
+        held = manager.open(path)
+        owner = bytes(held.readAllBytes()).decode("utf-8")
+        held.close()
+        return owner
 
     def _read(self, paths: list[str], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
@@ -276,12 +294,7 @@ class TableStore:
         A replace of a table that has row hashes and the same columns becomes a delta replace.  A load that another one
         overtakes starts again from the new version.
         """
-        for _ in range(ATTEMPTS - 1):
-            try:
-                return self._load(table, raw, mapping, mode, load_id, key)
-            except OvertakenError:
-                continue
-        return self._load(table, raw, mapping, mode, load_id, key)
+        return self._again(lambda: self._load(table, raw, mapping, mode, load_id, key))
 
     def _load(
         self, table: str, raw: DataFrame, mapping: list[ColumnSpec], mode: str, load_id: str, key: str | None
@@ -330,11 +343,27 @@ class TableStore:
         return self.publish(table, added, "delta-replace", load_id, inserted, kept, state)
 
     def upsert(self, table: str, incoming: DataFrame, key: str, load_id: str) -> DataFrame:
-        """Publish ``incoming`` over the rows that share its keys.  Repeated keys are refused."""
+        """Publish ``incoming`` over the rows that share its keys.  Repeated keys are refused; a table that does not exist is made
+        of ``incoming``.  An upsert that another load overtakes starts again from the new version."""
         if not load.duplicate_keys(incoming, key).isEmpty():
             raise ValueError(f"repeated keys in {key!r}")
+        return self._again(lambda: self._upsert(table, incoming, key, load_id))
+
+    def _again(self, work):
+        for _ in range(ATTEMPTS - 1):
+            try:
+                return work()
+            except OvertakenError:
+                continue
+        return work()
+
+    def _upsert(self, table: str, incoming: DataFrame, key: str, load_id: str) -> DataFrame:
         state = self._state(table, load_id)
+        if state.done:
+            return self._open(state.newest)
         newest = state.newest
+        if newest is None:
+            return self.publish(table, incoming, "replace", load_id, state=state)
         target = self._open(newest)
         have, comes = ({f.name: f.dataType for f in df.schema.fields if f.name != ROW_HASH} for df in (target, incoming))
         if have != comes:
@@ -347,6 +376,9 @@ class TableStore:
 
     def compact(self, table: str, load_id: str, file_bytes: int = FILE_BYTES) -> DataFrame:
         """Publish the same rows in files of about one size: appends and deltas add a folder each."""
+        return self._again(lambda: self._compact(table, load_id, file_bytes))
+
+    def _compact(self, table: str, load_id: str, file_bytes: int) -> DataFrame:
         state = self._state(table, load_id)
         rows = self._open(state.newest)
         files = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).distinct()
