@@ -10,10 +10,11 @@ on the executors.  The fitted sentence scores then say which sentences offend.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import Scratch, bounded, held_out, small_batches, summed
@@ -28,11 +29,11 @@ MEMORY = 10
 RIDGE = 0.05
 BAG_BATCH = 8192
 BAGS_A_TASK = 50_000
-MEMO_WORDS = 200_000
+MEMO_TERMS = 200_000
+START = min(PREFIXES)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _FROM_FIRST_LETTER = re.compile(r"[^\W\d_][^.!?\n]*")
-_NOT_LETTERS = "[^\\p{L}]+"
 
 
 def training(labels: DataFrame) -> DataFrame:
@@ -41,15 +42,29 @@ def training(labels: DataFrame) -> DataFrame:
     return known.groupBy(F.col("doc_id").alias("of_id")).agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def _terms(text: Column) -> Column:
+def _terms(text: str | None) -> set[str]:
     """Distinct words of a text, marked at their end, and their beginnings."""
-    words = F.array_remove(F.array_distinct(F.split(F.lower(text), _NOT_LETTERS)), "")
-    whole = F.transform(words, lambda w: F.concat(w, F.lit(WORD_END)))
+    words = set(_WORD.findall((text or "").lower()))
+    out = {w + WORD_END for w in words}
+    for n in PREFIXES:
+        out.update({w[:n] for w in words if len(w) >= n})
+    return out
+
 
-    def starts(n: int) -> Column:
-        return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.substring(w, 1, n))
+def _document_counts(rows: DataFrame) -> DataFrame:
+    """(term, n): documents of ``rows`` that have the term.  Tasks count before the shuffle, some hundred thousand terms at a time."""
 
-    return F.array_distinct(F.concat(whole, *[starts(n) for n in PREFIXES]))
+    def of_partition(batches):
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                counts.update(_terms(text))
+                if len(counts) >= MEMO_TERMS:
+                    yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
+                    counts.clear()
+        yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
+
+    return rows.select("text").mapInPandas(of_partition, "term string, n long")
 
 
 def vocabulary(rows: DataFrame, scratch: Scratch) -> list[str]:
@@ -61,11 +76,10 @@ def vocabulary(rows: DataFrame, scratch: Scratch) -> list[str]:
     totals = rows.agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("n")).first()
     if not totals["p"] or not totals["n"]:
         return []
-    term = F.explode(_terms(F.col("text"))).alias("term")
-    toxic = rows.where("toxic = 1").select(term).groupBy("term").agg(F.count(F.lit(1)).alias("p"))
+    toxic = _document_counts(rows.where("toxic = 1")).groupBy("term").agg(F.sum("n").alias("p"))
     toxic = bounded(scratch.write(toxic.where(F.col("p") >= LEAST_DOCUMENTS)))
-    other = rows.where("toxic = 0").select(term).join(toxic.select("term"), "term", "left_semi")
-    other = other.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    other = _document_counts(rows.where("toxic = 0")).join(toxic.select("term"), "term", "left_semi")
+    other = other.groupBy("term").agg(F.sum("n").alias("n"))
     both = toxic.join(other, "term", "left").select("term", "p", F.coalesce("n", F.lit(0)).alias("n"))
     share = totals["p"] / (totals["p"] + totals["n"])
     due = (F.col("p") + F.col("n")) * share
@@ -77,27 +91,29 @@ def vocabulary(rows: DataFrame, scratch: Scratch) -> list[str]:
 
 
 class Known(dict):
-    """Numbers of the known terms; those of a word are looked up once for some hundred thousand words at a time."""
+    """Numbers of the known terms.  A word can have one only if it is one itself or starts as a known beginning does."""
 
     def __init__(self, numbers: dict[str, int]) -> None:
         super().__init__(numbers)
-        self.words: dict[str, list[int]] = {}
+        self.whole = {term.removesuffix(WORD_END) for term in numbers if term.endswith(WORD_END)}
+        self.starts = {term[:START] for term in numbers if not term.endswith(WORD_END)}
+
+    def telling(self, words: set[str]) -> dict[str, list[int]]:
+        """The words that have known terms, with these."""
+        starts = self.starts
+        likely = (words & self.whole).union([w for w in words if w[:START] in starts])
+        return {w: hits for w in likely if (hits := self.hits(w))}
 
     def hits(self, word: str) -> list[int]:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= MEMO_WORDS:
-                self.words.clear()
-            terms = [word + WORD_END, *[word[:n] for n in PREFIXES if len(word) >= n]]
-            found = self.words[word] = [self[t] for t in terms if t in self]
-        return found
+        terms = [word + WORD_END, *[word[:n] for n in PREFIXES if len(word) >= n]]
+        return [self[t] for t in terms if t in self]
 
 
 def sentences(text: str | None, known: Known) -> tuple[int, list[tuple[int, int, list[int]]]]:
     """Number of sentences with words, and (start, end, term numbers) of those with known terms."""
     text = text or ""
     found = []
-    telling = {w: h for w in set(_WORD.findall(text.lower())) if (h := known.hits(w))}
+    telling = known.telling(set(_WORD.findall(text.lower())))
     n = len(_FROM_FIRST_LETTER.findall(text))
     if telling:
         for match in _SENTENCE.finditer(text):
