@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,17 +55,20 @@ def _terms(text: str | None) -> set[str]:
 def _document_counts(rows: DataFrame) -> DataFrame:
     """(term, n): documents of ``rows`` that have the term.  Tasks count before the shuffle, some hundred thousand terms at a time."""
 
+    def as_batch(counts):
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+
     def of_partition(batches):
         counts: Counter[str] = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                counts.update(_terms(text))
+            for text in batch.column("text"):
+                counts.update(_terms(text.as_py()))
                 if len(counts) >= MEMO_TERMS:
-                    yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
+                    yield as_batch(counts)
                     counts.clear()
-        yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
+        yield as_batch(counts)
 
-    return rows.select("text").mapInPandas(of_partition, "term string, n long")
+    return rows.select("text").mapInArrow(of_partition, "term string, n long")
 
 
 def vocabulary(rows: DataFrame, scratch: Scratch) -> list[str]:
