@@ -254,3 +254,21 @@ def latest_per_key(spark, folder):
 )
 def sliding_rate(spark, folder):
     return ranking.sliding_rate(frames.table(spark, folder, "events"), "user_id", "ts")
+
+
+DAY_MICROS = 86_400_000_000
+
+
+@registry.query(
+    "admissions",
+    f"""WITH RECURSIVE i AS (SELECT event_type, epoch_us(ts) AS t, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY
+ epoch_us(ts)) AS rn FROM events WHERE ts IS NOT NULL GROUP BY 1, 2), walk AS (SELECT event_type, rn, t, n, least(n, 60) AS admitted,
+ [{{'t': t, 'a': least(n, 60)}}] AS live FROM i WHERE rn = 1 UNION ALL SELECT event_type, rn, t, n, least(n, room) AS admitted,
+ list_append(kept, {{'t': t, 'a': least(n, room)}}) AS live FROM (SELECT event_type, rn, t, n, kept, 60 - CAST(coalesce(list_sum(
+ list_transform(kept, lambda x: x.a)), 0) AS BIGINT) AS room FROM (SELECT i.event_type, i.rn, i.t, i.n, list_filter(w.live, lambda x:
+ x.t > i.t - {DAY_MICROS} AND x.a > 0) AS kept FROM walk w JOIN i ON i.event_type IS NOT DISTINCT FROM w.event_type AND i.rn = w.rn + 1)
+ k) r) SELECT event_type, make_timestamp(t) AS moment, n AS requests, CAST(admitted AS BIGINT) AS admitted, CAST(n - admitted AS BIGINT)
+ AS refused FROM walk""",
+)
+def admissions(spark, folder):
+    return ranking.admissions(frames.table(spark, folder, "events"), "event_type", "ts", window_micros=DAY_MICROS)

@@ -59,9 +59,12 @@ def new_rows(incoming: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def delta_precomputed(target: DataFrame, new_rows: DataFrame, removed_hashes: DataFrame) -> DataFrame:
-    """Delta whose differences the sender worked out: new rows go in, listed hashes go out."""
-    added = keep_by_key(new_rows, target, [ROW_HASH], present=False)
-    return keep_by_key(target.unionByName(added), removed_hashes, [ROW_HASH], present=False)
+    """Delta whose differences the sender worked out: new rows go in, listed hashes go out.
+
+    Both sides lose the listed hashes for themselves, so that no join lies below another one of the target's rows.
+    """
+    added = keep_by_key(keep_by_key(new_rows, removed_hashes, [ROW_HASH], present=False), target, [ROW_HASH], present=False)
+    return keep_by_key(target, removed_hashes, [ROW_HASH], present=False).unionByName(added)
 
 
 def delta_prep(target: DataFrame, mapping: list[ColumnSpec]) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime
+from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions.display import feed_value
 from tabloom.functions.moments import from_micros, unix_micros
@@ -40,39 +43,102 @@ def keep_newest(df: DataFrame, group: str, order: list[str], keep: int = 10) ->
     return ranked.where(F.col("rn") <= keep)
 
 
+def _placed(instants: DataFrame, window_micros: int, neighbour: int) -> DataFrame:
+    """Every instant in its own block of a window's length, and in the block before (-1) or after (1) it as well.
+
+    A block then holds all that its own instants can see within a window, so a busy principal's history is many small groups.
+    """
+    block = F.floor(F.col("micros") / window_micros)
+    places = [(block, True), (block + neighbour, False)]
+    place = F.explode(F.array(*[F.struct(at.alias("block"), F.lit(own).alias("own")) for at, own in places]))
+    return instants.withColumn("place", place)
+
+
+def _used(requests: DataFrame, principal: str, moment: str, window_micros: int) -> DataFrame:
+    """Instants of each principal, their requests, and those within the window that ends there."""
+    instants = requests.groupBy(principal, unix_micros(F.col(moment)).alias("micros")).agg(
+        F.count(F.lit(1)).alias("requests")
+    )
+    last = Window.partitionBy(principal, "place.block").orderBy("micros").rangeBetween(-(window_micros - 1), 0)
+    placed = _placed(instants, window_micros, 1).withColumn("used", F.sum("requests").over(last))
+    return placed.where("place.own").drop("place")
+
+
 def sliding_rate(requests: DataFrame, principal: str, moment: str, limit: int = RATE_LIMITS["query"]) -> DataFrame:
     """Requests of each principal within the minute up to each instant it made one, against its limit.
 
     Requests of one instant are counted first.  The instants are then cut into minutes: a minute and the one before it
     hold all that a count needs, so a busy principal's history is spread over many small windows.
     """
-    instants = requests.groupBy(principal, unix_micros(F.col(moment)).alias("micros")).agg(
-        F.count(F.lit(1)).alias("requests")
+    return _used(requests, principal, moment, WINDOW_MICROS).select(
+        principal,
+        from_micros(F.col("micros")).alias("moment"),
+        "requests",
+        "used",
+        F.greatest(F.lit(0), F.lit(limit) - F.col("used")).cast("bigint").alias("remaining"),
+        (F.col("used") > limit).alias("over_limit"),
     )
-    minute = F.floor(F.col("micros") / WINDOW_MICROS)
-    placed = instants.withColumn(
-        "place",
-        F.explode(
-            F.array(
-                F.struct(minute.alias("minute"), F.lit(True).alias("own")),
-                F.struct((minute + 1).alias("minute"), F.lit(False).alias("own")),
-            )
-        ),
-    )
-    last_minute = (
-        Window.partitionBy(principal, "place.minute").orderBy("micros").rangeBetween(-(WINDOW_MICROS - 1), 0)
-    )
-    return (
-        placed.withColumn("used", F.sum("requests").over(last_minute))
-        .where("place.own")
-        .select(
-            principal,
-            from_micros(F.col("micros")).alias("moment"),
-            "requests",
-            "used",
-            F.greatest(F.lit(0), F.lit(limit) - F.col("used")).cast("bigint").alias("remaining"),
-            (F.col("used") > limit).alias("over_limit"),
-        )
+
+
+def _replay(limit: int, window_micros: int):
+    """Function of Arrow batches in the order of (principal, run, micros): appends how many requests of each instant pass.
+
+    It holds the instants of the last window that let a request pass, ``limit`` at most, and starts anew with each run.
+    """
+
+    def replayed(batches):
+        live, passing = deque(), 0
+        for batch in batches:
+            admitted = []
+            for micros, run, requests in zip(*[batch.column(c).to_pylist() for c in ("micros", "run", "requests")]):
+                if micros == run:
+                    live.clear()
+                    passing = 0
+                while live and live[0][0] <= micros - window_micros:
+                    passing -= live.popleft()[1]
+                admitted.append(min(requests, limit - passing))
+                if admitted[-1]:
+                    live.append((micros, admitted[-1]))
+                    passing += admitted[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted, pa.int64())], [*batch.schema.names, "admitted"])
+
+    return replayed
+
+
+def admissions(
+    requests: DataFrame, principal: str, moment: str, limit: int = RATE_LIMITS["query"], window_micros: int = WINDOW_MICROS
+) -> DataFrame:
+    """What a limiter lets pass: requests and admitted requests of each principal at each instant it made any.
+
+    A request passes if fewer than ``limit`` have passed in the window up to it; one that is refused leaves no trace, so a
+    decision depends on all before it.  Where all requests of the window fit the limit, they pass, whatever came before.  Only
+    instants that have one beyond the limit within a window after them, or are one, are replayed in order, in runs that
+    begin where the window before is empty of such instants.  One run is sequential by nature; it streams through a
+    task that holds ``limit`` instants at most.  Requests of one instant pass in any order.  NULL is a principal like
+    any other; requests without a moment are left out.
+    """
+    if limit < 1 or window_micros < 1:
+        raise ValueError("limit and window must be positive")
+    used = _used(requests.where(F.col(moment).isNotNull()), principal, moment, window_micros)
+    blocks = Window.partitionBy(principal, "place.block").orderBy("micros")
+    ahead = F.max(F.col("used") > limit).over(blocks.rangeBetween(0, window_micros - 1))
+    marked = _placed(used, window_micros, -1).withColumn("contested", ahead).where("place.own").drop("place", "used")
+    free = marked.where("not contested").select(principal, "micros", "requests", F.col("requests").alias("admitted"))
+    contested = marked.where("contested").drop("contested")
+    history = Window.partitionBy(principal).orderBy("micros")
+    gap = F.col("micros") - F.lag("micros").over(history)
+    starts = contested.withColumn("start", F.when(gap.isNull() | (gap >= window_micros), F.col("micros")))
+    runs = starts.withColumn("run", F.last("start", ignorenulls=True).over(history)).drop("start")
+    ordered = runs.select(principal, "micros", "requests", "run").repartition(principal, "run")
+    ordered = ordered.sortWithinPartitions(principal, "run", "micros")
+    schema = T.StructType([*ordered.schema.fields, T.StructField("admitted", T.LongType())])
+    decided = ordered.mapInArrow(_replay(limit, window_micros), schema).drop("run")
+    return free.unionByName(decided).select(
+        principal,
+        from_micros(F.col("micros")).alias("moment"),
+        "requests",
+        "admitted",
+        (F.col("requests") - F.col("admitted")).alias("refused"),
     )
 
 

@@ -29,6 +29,35 @@ def test_sliding_rate_against_brute_force(spark):
     assert len(out) == len(set(calls)) and sum(r.requests for r in out) == len(calls)
 
 
+@pytest.mark.parametrize("limit, spread", [(3, 400_000), (10, 400_000), (5, 4_000_000), (1, 50_000)])
+def test_admissions_against_a_limiter(spark, limit, spread):
+    """A principal without a name makes a third of the requests; some stand in the same instant or exactly a minute apart."""
+    draw = random.Random(limit)
+    calls = [
+        (draw.choice([None, None, draw.randrange(1, 9)]), START + datetime.timedelta(milliseconds=draw.randrange(0, spread, 500)))
+        for _ in range(600)
+    ]
+    found = ranking.admissions(spark.createDataFrame([*calls, (1, None)], "p long, at timestamp_ntz"), "p", "at", limit).collect()
+    passed, wanted = {}, {}
+    for p, at in sorted(calls, key=lambda call: call[1]):
+        before = [t for t in passed.get(p, []) if t > at - datetime.timedelta(seconds=60)]
+        passes = len(before) < limit
+        passed[p] = [*before, at] if passes else before
+        n, admitted = wanted.get((p, at), (0, 0))
+        wanted[p, at] = (n + 1, admitted + passes)
+    assert {(r.p, r.moment): (r.requests, r.admitted) for r in found} == wanted
+    assert len(found) == len(wanted) and all(r.refused == r.requests - r.admitted for r in found)
+
+
+def test_admissions_of_nothing_and_of_calm(spark):
+    none = spark.createDataFrame([], "p string, at timestamp_ntz")
+    assert ranking.admissions(none, "p", "at").collect() == []
+    calm = spark.createDataFrame([("a", START), ("a", START + datetime.timedelta(seconds=30))], "p string, at timestamp_ntz")
+    assert [(r.requests, r.admitted, r.refused) for r in ranking.admissions(calm, "p", "at", 2).collect()] == [(1, 1, 0)] * 2
+    with pytest.raises(ValueError):
+        ranking.admissions(calm, "p", "at", 0)
+
+
 def test_keep_newest_limits_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 as g", "id as at")
     kept = ranking.keep_newest(df, "g", ["at"], 10)
