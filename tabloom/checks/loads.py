@@ -8,7 +8,7 @@ from tabloom import types as hub
 from tabloom.checks import Registry, frames
 from tabloom.functions.hashing import row_hash
 from tabloom.naming import normalize_headers
-from tabloom.operators import export, load, profile
+from tabloom.operators import exchange, export, load, profile
 from tabloom.operators.mapping import apply_mapping
 from tabloom.plans import derived, refresh
 from tabloom.plans.file_load import load_file, load_new_files
@@ -122,23 +122,32 @@ def load_same_file(spark, folder):
 _HASHED = frames.hash_sql([c for c, _ in frames.columns_of("orders")])
 
 
-@registry.query(
-    "delta_changes",
-    f"""WITH t AS (SELECT {_HASHED} AS row_hash FROM ({frames.text_sql('orders')}) o), f AS (SELECT {_HASHED} AS row_hash FROM (
+_CHANGES = f"""WITH t AS (SELECT {_HASHED} AS row_hash FROM ({frames.text_sql('orders')}) o), f AS (SELECT {_HASHED} AS row_hash FROM (
  {frames.text_sql('orders').replace('FROM orders', f'FROM {_FILE} x')}) o) SELECT row_hash, 'removed' AS change, 1 AS n FROM t WHERE
- row_hash NOT IN (SELECT row_hash FROM f) UNION ALL SELECT row_hash, 'added', 1 FROM f WHERE row_hash NOT IN (SELECT row_hash FROM t)""",
-)
-def delta_changes(spark, folder):
-    target, incoming = _pair(spark, folder)
-    changes = load.delta_changes(target, incoming)
-    gone = F.col("target_rows") > 0
+ row_hash NOT IN (SELECT row_hash FROM f) UNION ALL SELECT row_hash, 'added', 1 FROM f WHERE row_hash NOT IN (SELECT row_hash FROM t)"""
+
+
+def _told(changes):
+    """A change set in words."""
     return changes.select(
         hub.ROW_HASH,
-        F.when(gone, "removed").otherwise("added").alias("change"),
+        F.when(F.col("target_rows") > 0, "removed").otherwise("added").alias("change"),
         (F.col("target_rows") + F.col("file_rows")).cast("int").alias("n"),
     )
 
 
+@registry.query("delta_changes", _CHANGES)
+def delta_changes(spark, folder):
+    return _told(load.delta_changes(*_pair(spark, folder)))
+
+
+@registry.query("delta_reconciled", _CHANGES)
+def delta_reconciled(spark, folder):
+    """The same change set from trees of hash sums and the hashes of those leaves that differ."""
+    target, incoming = _pair(spark, folder)
+    return _told(exchange.reconciled_changes(target, incoming, exchange.tree_depth(target.count())))
+
+
 @registry.query("delta_prep", f"SELECT {_HASHED} AS row_hash FROM ({frames.text_sql('orders')}) o")
 def delta_prep(spark, folder):
     return load.delta_prep(_hashed(_target_text(spark, folder)), ORDERS_MAPPING)
