@@ -11,6 +11,7 @@ from tabloom.naming import normalize_headers
 from tabloom.operators import mapping as mapped
 from tabloom.operators import profile
 from tabloom.operators.reconcile import table_counts
+from tabloom.session import fresh_path, materialize
 
 registry = Registry()
 
@@ -70,6 +71,21 @@ def column_stats(spark, folder):
     return profile.column_stats(lines).unionByName(profile.column_stats(events))
 
 
+@registry.query("profiles_merged", f"SELECT * EXCLUDE (row_count, text_bytes) FROM ({_stats_sql('lineitem')} UNION ALL {_stats_sql('events')}) s")
+def profiles_merged(spark, folder):
+    """Each file of a folder is profiled when it arrives; the stored profiles answer for all rows."""
+
+    def of_table(name):
+        rows = materialize(frames.text_table(spark, folder, name).repartition(8), "arrived")
+        stored, file = fresh_path(spark, "profiles"), F.col("_metadata.file_name")
+        for batch in (0, 1):
+            arrived = rows.where(F.crc32(file.cast("binary")) % 2 == batch)
+            profile.part_profiles(arrived, file).write.mode("append").parquet(stored)
+        return profile.merged_stats(spark.read.parquet(stored), rows.columns)
+
+    return of_table("lineitem").unionByName(of_table("events"))
+
+
 def _inferred_sql(table: str) -> str:
     return f"""SELECT '{table}' AS table_name, ordinal, column_name AS original_name, column_name AS sql_name, {_TYPE_SQL} AS sql_type
  FROM ({_stats_sql(table)}) s"""

@@ -44,6 +44,7 @@ STATS = (
     "ordinal", "column_name", "sample_count", "has_null", "max_len", "all_int", "all_decimal", "all_date", "has_time",
     "all_time", "looks_identifier",
 )
+MEASURES = ("row_count", "sample_count", "every", "some", "max_len", "text_bytes")
 
 
 def column_stats(df: DataFrame) -> DataFrame:
@@ -51,19 +52,19 @@ def column_stats(df: DataFrame) -> DataFrame:
     return _full_stats(df).select(*STATS)
 
 
-def _full_stats(df: DataFrame) -> DataFrame:
-    """Column statistics with row count and text size.
+def _measured(df: DataFrame, part: Column | None = None) -> DataFrame:
+    """What the values at each position have in common, for each ``part`` of the rows if one is given.
 
     Rows are turned into (position, value) pairs, so that one small expression, compiled once, classifies the values of
     all columns however wide the table is.  Bitwise aggregates by position, combined inside each map task, then answer
-    all questions in one pass; what is shuffled is one row per column and task.
+    all questions in one pass; what is shuffled is one row per column, part and task.
     """
-    names = df.columns
-    values = df.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in names])).alias("at", "value"))
-    per_column = (
+    pairs = F.posexplode(F.array(*[F.col(f"`{c}`") for c in df.columns])).alias("at", "value")
+    values = df.select(pairs) if part is None else df.select(part.alias("part"), pairs)
+    return (
         values.withColumn("text", left_trimmed(F.col("value")))
         .withColumn("bits", _value_bits(F.col("text")))
-        .groupBy("at")
+        .groupBy("at", *[] if part is None else ["part"])
         .agg(
             F.count(F.lit(1)).alias("row_count"),
             F.count("bits").alias("sample_count"),
@@ -73,8 +74,52 @@ def _full_stats(df: DataFrame) -> DataFrame:
             F.sum(F.octet_length("value")).alias("text_bytes"),
         )
     )
+
+
+def part_profiles(df: DataFrame, part: Column) -> DataFrame:
+    """(part, column_name, ...) for each part of the rows, such as a file: one row per column, to be stored and merged.
+
+    A part without rows has none.  ``merged_stats`` of the profiles of any parts is ``column_stats`` of their rows, so a table
+    that grows by files is profiled by its new files alone.
+    """
+    names = F.array(*[F.lit(c) for c in df.columns])
+    measured = _measured(df, part)
+    return measured.select("part", F.element_at(names, F.col("at") + 1).alias("column_name"), *MEASURES)
+
+
+def merged_stats(profiles: DataFrame, names: list[str]) -> DataFrame:
+    """``column_stats`` of all rows from the profiles of their parts; a column that a part lacks counts as NULL there.
+
+    Profiles are small rows, combined in map tasks; only sums, maxima and bits are formed, in any order.
+    """
+    whole = profiles.groupBy("part").agg(F.max("row_count").alias("part_rows"))
+    rows = whole.agg(F.sum("part_rows").alias("all_rows"))
+    at = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("column_name"))
+    combined = (
+        profiles.withColumn("at", (at - 1).cast("int"))
+        .where("at >= 0")
+        .groupBy("at")
+        .agg(
+            F.sum("sample_count").alias("sample_count"),
+            F.bit_and("every").alias("every"),
+            F.bit_or("some").alias("some"),
+            F.max("max_len").alias("max_len"),
+            F.sum("text_bytes").alias("text_bytes"),
+        )
+        .withColumn("row_count", rows.scalar())
+    )
+    return _stats_of(combined, names).select(*STATS)
+
+
+def _full_stats(df: DataFrame) -> DataFrame:
+    """Column statistics with row count and text size."""
+    return _stats_of(_measured(df), df.columns)
+
+
+def _stats_of(per_column: DataFrame, names: list[str]) -> DataFrame:
+    """The statistics that bits and counts by position amount to."""
     # A table without rows still has columns.
-    columns = df.sparkSession.range(len(names), numPartitions=1).select(F.col("id").cast("int").alias("at"))
+    columns = per_column.sparkSession.range(len(names), numPartitions=1).select(F.col("id").cast("int").alias("at"))
     found = columns.join(F.broadcast(per_column), "at", "left")  # one row per column on either side
 
     def every(bit: int) -> Column:

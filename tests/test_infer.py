@@ -1,9 +1,10 @@
 """What type a column of text gets."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom import types as hub
-from tabloom.operators.profile import column_stats, infer_mapping, native_mapping, preview
+from tabloom.operators.profile import column_stats, infer_mapping, merged_stats, native_mapping, part_profiles, preview
 
 CASES = [
     ("inteiro", ["10"], hub.BIGINT),
@@ -68,3 +69,19 @@ def test_native_types(table):
 def test_preview_is_the_first_rows(table):
     keys = [r.o_orderkey for r in preview(table("orders"), ["o_orderkey"], 5).collect()]
     assert keys == sorted(keys) and len(keys) == 5
+
+
+def test_profiles_of_parts_merge_into_the_profile_of_all(text_rows):
+    rows = [("a", "12", None, "2024-01-01"), ("a", "x", None, ""), ("b", "7", "1,5", "2024-01-01 10:00:00"), ("c", None, None, "10:30"),
+            ("c", None, "", None), (None, "100", "3", "2024-02-30")]
+    df = text_rows(["part", "n", "d", "at"], rows)
+    body = df.select("n", "d", "at")
+    profiles = part_profiles(df, F.col("part")).where("column_name <> 'part'")
+    assert profiles.count() == 4 * 3
+    by_ordinal = lambda stats: [tuple(r) for r in stats.orderBy("ordinal").collect()]
+    assert by_ordinal(merged_stats(profiles, body.columns)) == by_ordinal(column_stats(body))
+    assert by_ordinal(merged_stats(profiles.where("false"), body.columns)) == by_ordinal(column_stats(body.where("false")))
+    old = part_profiles(df.where("part = 'a'").select("part", "n"), F.col("part"))  # this file lacks two columns
+    new = part_profiles(df.where("part <> 'a'"), F.col("part"))
+    lacking = text_rows(["n", "d", "at"], [(r[1], None, None) if r[0] == "a" else r[1:] for r in rows if r[0]])
+    assert by_ordinal(merged_stats(old.unionByName(new), body.columns)) == by_ordinal(column_stats(lacking))
