@@ -159,12 +159,13 @@ class Model:
 
 
 def _bag(text: str | None, known: Known) -> bytes:
-    """Sentences of a training document in numbers: their count, that of those with known terms, lengths and terms of these."""
+    """A training document in numbers: its sentences, those of them with known terms, then which of these each hit is in, and the
+    terms of the hits, in order of terms: hits of one term stand together, so that no pass has to sort."""
     n, found = sentences(text, known)
-    out = [n, len(found), *[len(hits) for _, _, hits in found]]
-    for _, _, hits in found:
-        out += hits
-    return np.array(out, dtype=np.int32).tobytes()
+    terms = np.array([h for _, _, hits in found for h in hits], dtype=np.int32)
+    at = np.repeat(np.arange(len(found), dtype=np.int32), [len(hits) for _, _, hits in found])
+    order = np.argsort(terms, kind="stable")
+    return np.concatenate([np.array([n, len(found)], dtype=np.int32), at[order], terms[order]]).tobytes()
 
 
 def _sums(bags, toxic: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -173,11 +174,12 @@ def _sums(bags, toxic: np.ndarray, weights: np.ndarray) -> np.ndarray:
     parts = [np.frombuffer(b, dtype=np.int32) for b in bags]
     found = np.array([a[1] for a in parts])
     plain = np.array([a[0] for a in parts]) - found
-    lengths = np.concatenate([a[2 : 2 + a[1]] for a in parts])
-    hits = np.concatenate([a[2 + a[1] :] for a in parts])
+    lengths = [len(a) // 2 - 1 for a in parts]
+    hits = np.concatenate([a[2 + k :] for a, k in zip(parts, lengths)])
     document = np.repeat(np.arange(n), found)
-    sentence = np.repeat(np.arange(len(lengths)), lengths)
-    z = weights[0] + np.bincount(sentence, weights[hits], len(lengths))
+    owner = np.repeat(np.arange(n), lengths)
+    sentence = np.concatenate([a[2 : 2 + k] for a, k in zip(parts, lengths)]) + (np.cumsum(found) - found)[owner]
+    z = weights[0] + np.bincount(sentence, weights[hits], len(document))
     s = _sigmoid(z)
     total = plain * _softplus(weights[0]) + np.bincount(document, _softplus(z), n)
     p = np.maximum(-np.expm1(-total), 1e-12)
@@ -185,9 +187,9 @@ def _sums(bags, toxic: np.ndarray, weights: np.ndarray) -> np.ndarray:
     pull = np.where(toxic == 1, -odds, 1.0)
     # slopes of a document's hazard; the Fisher information of a Bernoulli is their square times the odds against
     bias = plain * _sigmoid(weights[0]) + np.bincount(document, s, n)
-    pairs, at = np.unique(document[sentence] * width + hits, return_inverse=True)
-    slope = np.bincount(at, s[sentence], len(pairs))
-    of, term = pairs // width, pairs % width
+    first = np.flatnonzero(np.diff(owner * width + hits, prepend=-1))
+    slope = np.add.reduceat(s[sentence], first)
+    of, term = owner[first], hits[first]
     gradient = np.bincount(term, pull[of] * slope, width).astype(np.float64)  # whole numbers where there is no term
     fisher = np.bincount(term, odds[of] * slope**2, width).astype(np.float64)
     gradient[0], fisher[0] = pull @ bias, odds @ bias**2
