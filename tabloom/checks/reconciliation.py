@@ -10,6 +10,7 @@ from tabloom.operators import load, reconcile
 from tabloom.operators.mapping import apply_mapping
 from tabloom.plans import refresh
 from tabloom.session import fresh_path
+from tabloom.sources import file_stats
 from tabloom.sources.store import TableStore
 
 registry = Registry()
@@ -130,3 +131,18 @@ def fingerprint_of_copy(spark, folder):
         "o_orderdate", F.col("o_orderdate").cast("date")
     )
     return reconcile.compare_tables({"orders": (direct, stored)})
+
+
+@registry.query(
+    "fingerprint_of_stored",
+    f"""SELECT count(*) AS row_count, CAST(sum(CAST(('0x' || h[1:15]) AS BIGINT)) AS VARCHAR) AS sum_high, CAST(sum(CAST(('0x' || h[17:31])
+ AS BIGINT)) AS VARCHAR) AS sum_low FROM ({_line_sql('orders')}) l""",
+)
+def fingerprint_of_stored(spark, folder):
+    """Orders without the open ones are published and described; the open ones are upserted, and only their files are read again."""
+    store = TableStore(spark, fresh_path(spark, "store"))
+    orders = frames.table(spark, folder, "orders")
+    store.publish("orders", orders.where("o_orderstatus <> 'O'"), "replace", "first")
+    file_stats.stored_fingerprint(store, "orders")
+    store.upsert("orders", orders.where("o_orderstatus = 'O'"), "o_orderkey", "second")
+    return file_stats.stored_fingerprint(store, "orders")

@@ -31,14 +31,14 @@ def compared_text(value: Column, data_type: T.DataType) -> Column:
     return text
 
 
-def line_digests(df: DataFrame) -> DataFrame:
-    """MD5 of every row's compared text.
+def line_digests(df: DataFrame, *beside: Column) -> DataFrame:
+    """MD5 of every row's compared text, and columns ``beside`` it.
 
     A value stands behind its length in bytes, NULL is a dash: a bar inside a value, an empty text and NULL differ.
     """
     texts = [compared_text(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
     fields = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
-    return df.select(F.md5(F.concat_ws("|", *fields)).alias("h"))
+    return df.select(F.md5(F.concat_ws("|", *fields)).alias("h"), *beside)
 
 
 def leaf_digits(row_count: int) -> int:
@@ -71,25 +71,29 @@ def table_fingerprint(df: DataFrame, digits: int) -> DataFrame:
     return level.select("row_count", F.col("digest").alias("fingerprint"))
 
 
-def fingerprint_sums(df: DataFrame) -> DataFrame:
-    """Row count and two sums over the row digests: no shuffle of rows at all, one partial sum per task.
+def fingerprint_sums(df: DataFrame, *parts: Column) -> DataFrame:
+    """Row count and two sums over the row digests, for each value of named columns ``parts`` if any are given: no shuffle of rows
+    at all, one partial sum per task.
 
     Each sum adds fifteen hex digits of all digests.  A task adds their upper 28 and lower 32 bits as whole numbers, which
     hold the rows of any task; these few sums are then added as decimals.
     """
     starts = {"sum_high": 1, "sum_low": 17}
-    numbers = line_digests(df).select(
+    digests = line_digests(df, *parts)
+    names = digests.columns[1:]
+    numbers = digests.select(
         F.spark_partition_id().alias("task"),
+        *names,
         *[F.conv(F.substring("h", start, 15), 16, 10).cast("bigint").alias(name) for name, start in starts.items()],
     )
     upper = [F.sum(F.shiftright(name, 32)).alias(f"{name}_upper") for name in starts]
     lower = [F.sum(F.col(name).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"{name}_lower") for name in starts]
-    tasks = numbers.groupBy("task").agg(F.count(F.lit(1)).alias("n"), *upper, *lower)
+    tasks = numbers.groupBy("task", *names).agg(F.count(F.lit(1)).alias("n"), *upper, *lower)
 
     def whole(name: str) -> Column:
         return F.coalesce(F.sum(F.col(name).cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)"))
 
-    return tasks.agg(
+    return tasks.groupBy(*names).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         *[(whole(f"{name}_upper") * 2**32 + whole(f"{name}_lower")).cast("string").alias(name) for name in starts],
     )

@@ -20,6 +20,7 @@ from tabloom.operators import load
 from tabloom.operators.mapping import apply_mapping
 from tabloom.operators.skew import keep_by_key
 from tabloom.session import materialized
+from tabloom.sources import file_stats
 from tabloom.types import ROW_HASH, ColumnSpec
 
 WHOLE_MODES = ("replace", "copy", "derived", "compact")  # that carry no row over as updated
@@ -369,8 +370,11 @@ class TableStore:
         if have != comes:
             odd = sorted(name for name in have.keys() | comes.keys() if have.get(name) != comes.get(name))
             raise load.SchemaMismatch(f"{table}: columns differ from the table's: {', '.join(odd)}")
-        located = target.withColumn("file_name", F.col("_metadata.file_name"))
-        rows, kept = self._split(newest, keep_by_key(located, incoming, [key], present=True))
+        rows, kept = None, Kept(newest.paths, newest.row_count)
+        files = file_stats.admitting(self, table, target, incoming, key)
+        if files:
+            located = self._read(files, target.schema).withColumn("file_name", F.col("_metadata.file_name"))
+            rows, kept = self._split(newest, keep_by_key(located, incoming, [key], present=True))
         new = incoming if rows is None else load.upsert(rows, incoming, key)
         return self.publish(table, new, "upsert", load_id, incoming.count(), kept, state)
 
