@@ -101,10 +101,13 @@ def fingerprint_sums(df: DataFrame, *parts: Column) -> DataFrame:
 
 def compare_tables(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Counts of two tables and whether their content is equal, for each named pair."""
+    return compare_sums({name: (fingerprint_sums(a), fingerprint_sums(b)) for name, (a, b) in pairs.items()})
+
+
+def compare_sums(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``compare_tables`` of what ``fingerprint_sums`` says of source and target."""
     def one(name: str, source: DataFrame, target: DataFrame) -> DataFrame:
-        sides = fingerprint_sums(source).withColumn("side", F.lit("source")).unionByName(
-            fingerprint_sums(target).withColumn("side", F.lit("target"))
-        )
+        sides = source.withColumn("side", F.lit("source")).unionByName(target.withColumn("side", F.lit("target")))
 
         def of(side: str, column: str) -> Column:
             return F.max(F.when(F.col("side") == side, F.col(column)))

@@ -88,3 +88,12 @@ def test_empty_tables_and_files(spark, store):
     assert tuple(file_stats.stored_fingerprint(store, "t").first()) == (0, "0", "0")
     assert sorted(r.id for r in store.upsert("t", rows(spark, [4, 5]), "id", "second").collect()) == [4, 5]
     assert store.upsert("t", rows(spark, []), "id", "third").count() == 2
+
+
+def test_stored_tables_are_compared_by_their_sums(spark, store, folder):
+    other = TableStore(spark, f"{folder}/other")
+    eight_files(spark, store)
+    other.publish("t", store.read("t").repartition(3), "copy", "first")
+    assert tuple(file_stats.compare_stored(store, other, ["t"]).first()) == ("t", 80, 80, True)
+    other.upsert("t", spark.createDataFrame([(3, "else")], "id bigint, name string"), "id", "second")
+    assert tuple(file_stats.compare_stored(store, other, ["t"]).first()) == ("t", 80, 80, False)
