@@ -43,32 +43,43 @@ def keep_newest(df: DataFrame, group: str, order: list[str], keep: int = 10) ->
     return ranked.where(F.col("rn") <= keep)
 
 
-def _placed(instants: DataFrame, window_micros: int, neighbour: int) -> DataFrame:
-    """Every instant in its own block of a window's length, and in the block before (-1) or after (1) it as well.
+def _used(requests: DataFrame, principal: str, moment: str, window_micros: int) -> DataFrame:
+    """Instants of each principal, their requests, and those within the window that ends there.
 
-    A block then holds all that its own instants can see within a window, so a busy principal's history is many small groups.
+    Time is cut into blocks of a window's length.  An instant enters its own block; the block after has it from the start and
+    loses it a window later.  So a busy principal's history is many small groups, and one running sum in each of them answers,
+    however many instants a window holds.
     """
-    block = F.floor(F.col("micros") / window_micros)
-    places = [(block, True), (block + neighbour, False)]
-    place = F.explode(F.array(*[F.struct(at.alias("block"), F.lit(own).alias("own")) for at, own in places]))
-    return instants.withColumn("place", place)
-
-
-def _used(requests: DataFrame, principal: str, moment: str, window_micros: int) -> DataFrame:
-    """Instants of each principal, their requests, and those within the window that ends there."""
     instants = requests.groupBy(principal, unix_micros(F.col(moment)).alias("micros")).agg(
         F.count(F.lit(1)).alias("requests")
     )
-    last = Window.partitionBy(principal, "place.block").orderBy("micros").rangeBetween(-(window_micros - 1), 0)
-    placed = _placed(instants, window_micros, 1).withColumn("used", F.sum("requests").over(last))
+    block, micros, n = F.floor(F.col("micros") / window_micros), F.col("micros"), F.col("requests")
+    steps = [(block, micros, n, True), (block + 1, micros, n, False), (block + 1, micros + window_micros, -n, False)]
+    places = [F.struct(at.alias("block"), when.alias("when"), by.alias("by"), F.lit(own).alias("own")) for at, when, by, own in steps]
+    upto = Window.partitionBy(principal, "place.block").orderBy("place.when")  # and all of the same instant
+    placed = instants.withColumn("place", F.explode(F.array(*places))).withColumn("used", F.sum("place.by").over(upto))
     return placed.where("place.own").drop("place")
 
 
+def _contested(used: DataFrame, principal: str, limit: int, window_micros: int) -> DataFrame:
+    """``used`` with ``contested``: whether an instant has one beyond the limit within a window after it, or is one.
+
+    Instants stand in their own block and in the block before, which then holds all that its own ones can see.
+    """
+    block = F.floor(F.col("micros") / window_micros)
+    places = [F.struct(at.alias("block"), F.lit(own).alias("own")) for at, own in ((block, True), (block - 1, False))]
+    later = Window.partitionBy(principal, "place.block").orderBy(F.desc("micros"))
+    beyond = F.min(F.when(F.col("used") > limit, F.col("micros"))).over(later)  # the nearest from here on
+    placed = used.withColumn("place", F.explode(F.array(*places))).withColumn("beyond", beyond).where("place.own")
+    near = F.col("beyond") - F.col("micros") < window_micros
+    return placed.withColumn("contested", F.coalesce(near, F.lit(False))).drop("place", "used", "beyond")
+
+
 def sliding_rate(requests: DataFrame, principal: str, moment: str, limit: int = RATE_LIMITS["query"]) -> DataFrame:
     """Requests of each principal within the minute up to each instant it made one, against its limit.
 
     Requests of one instant are counted first.  The instants are then cut into minutes: a minute and the one before it
-    hold all that a count needs, so a busy principal's history is spread over many small windows.
+    hold all that a count needs, so a busy principal's history is spread over many small windows, each read once.
     """
     return _used(requests, principal, moment, WINDOW_MICROS).select(
         principal,
@@ -120,9 +131,7 @@ def admissions(
     if limit < 1 or window_micros < 1:
         raise ValueError("limit and window must be positive")
     used = _used(requests.where(F.col(moment).isNotNull()), principal, moment, window_micros)
-    blocks = Window.partitionBy(principal, "place.block").orderBy("micros")
-    ahead = F.max(F.col("used") > limit).over(blocks.rangeBetween(0, window_micros - 1))
-    marked = _placed(used, window_micros, -1).withColumn("contested", ahead).where("place.own").drop("place", "used")
+    marked = _contested(used, principal, limit, window_micros)
     free = marked.where("not contested").select(principal, "micros", "requests", F.col("requests").alias("admitted"))
     contested = marked.where("contested").drop("contested")
     history = Window.partitionBy(principal).orderBy("micros")

@@ -49,6 +49,16 @@ def test_admissions_against_a_limiter(spark, limit, spread):
     assert len(found) == len(wanted) and all(r.refused == r.requests - r.admitted for r in found)
 
 
+def test_rates_read_a_window_once(spark, capsys):
+    """Frames that slide are summed up anew at each instant: their cost grows with the square of what a window holds."""
+    calls = spark.createDataFrame([("a", START + datetime.timedelta(milliseconds=i)) for i in range(500)], "p string, at timestamp_ntz")
+    for rows in (ranking.sliding_rate(calls, "p", "at"), ranking.admissions(calls, "p", "at")):
+        rows.explain("simple")
+        plan = capsys.readouterr().out
+        assert "RangeFrame" in plan and not re.search(r"RangeFrame, (?!unboundedpreceding)|RangeFrame, \w+\$\(\), (?!currentrow)", plan)
+    assert [r.used for r in ranking.sliding_rate(calls, "p", "at").orderBy("moment").collect()] == [*range(1, 501)]
+
+
 def test_admissions_of_nothing_and_of_calm(spark):
     none = spark.createDataFrame([], "p string, at timestamp_ntz")
     assert ranking.admissions(none, "p", "at").collect() == []
