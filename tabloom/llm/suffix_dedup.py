@@ -46,6 +46,7 @@ BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 SAMPLE_KEY_BYTES, KEY_BYTES = 5, 8
 BLOCKS_AT_ONCE = 4
+CACHED = 1 << 14
 KEY_SEED, BUCKET_SEED = 1, 2
 BASE = int(np.random.default_rng(0).integers(0, 2**63)) << 1 | 1
 
@@ -110,8 +111,12 @@ class Block:
                 setattr(Block, name, np.cumprod(table, dtype=np.uint64))
         if seed not in self.sums:
             value = np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
-            self.sums[seed] = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(value[self.bytes] * Block.powers[:n], out=self.sums[seed][1:])
+            self.sums[seed] = sums = np.zeros(n + 1, dtype=np.uint64)
+            for a in range(0, n, CACHED):  # what lies between stays in the processor's cache
+                part = value[self.bytes[a : a + CACHED]]
+                part *= Block.powers[a : a + len(part)]
+                part[:1] += sums[a : a + 1]
+                np.cumsum(part, out=sums[a + 1 : a + 1 + len(part)])
         sums = self.sums[seed]
         out = (sums[at + width] - sums[at]) * Block.shift[at]
         out ^= out >> np.uint64(29)
@@ -120,39 +125,60 @@ class Block:
 
     def sample(self) -> np.ndarray:
         """Cover positions, by place in their text, that have 68 bytes of it left."""
-        place = np.arange(len(self.bytes), dtype=np.int64)
-        offset = place - np.repeat(self.starts, self.sizes)
-        in_cover = np.zeros(MODULUS, dtype=bool)
-        in_cover[list(COVER)] = True
-        return place[in_cover[offset % MODULUS] & (place + SAMPLE <= np.repeat(self.ends, self.sizes))]
+        longest = int(self.sizes.max(initial=0))
+        offsets = (np.arange(0, longest, MODULUS)[:, None] + np.array(COVER)).ravel()
+        count = np.searchsorted(offsets, self.sizes - SAMPLE, side="right")
+        before = np.cumsum(count) - count
+        return np.repeat(self.starts, count) + offsets[np.arange(count.sum()) - np.repeat(before, count)]
 
-    def left(self) -> np.ndarray:
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        """Number of the text that each position lies in."""
+        return np.searchsorted(self.ends, at, side="right")
+
+    def left(self, at: np.ndarray) -> np.ndarray:
         """Bytes from each position to the end of its text."""
-        return np.repeat(self.ends, self.sizes) - np.arange(len(self.bytes))
+        return self.ends[self.text_of(at)] - at
 
     def covered(self, first: np.ndarray, beyond: np.ndarray) -> np.ndarray:
-        """Which positions lie in any of the ranges."""
-        step = np.bincount(first, minlength=len(self.bytes) + 1) - np.bincount(beyond, minlength=len(self.bytes) + 1)
-        return np.cumsum(step[:-1]) > 0
+        """Which positions lie in any of the ranges; both bounds ascend."""
+        step = np.zeros(len(self.bytes) + 1, dtype=np.int8)
+        apart = first[1:] > beyond[:-1]  # ranges that meet are one
+        step[first[np.concatenate([[True], apart])[: len(first)]]] = 1
+        step[beyond[np.concatenate([apart, [True]])[: len(first)]]] = -1
+        return np.cumsum(step[:-1], dtype=np.int8).view(bool)
 
-    def candidates(self, tied: np.ndarray) -> np.ndarray:
-        """Whether a position has 200 bytes left and a tied sample position at most 132 bytes on."""
-        start = np.repeat(self.starts, self.sizes)
-        near = self.covered(np.maximum(start[tied], tied - (MODULUS - 1)), tied + 1)
-        return near & (self.left() >= LEAST)
+    def candidates(self, tied: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Positions, but for ``others``, with 200 bytes left and a tied sample position at most 132 bytes on."""
+        near = self.covered(np.maximum(self.starts[self.text_of(tied)], tied - (MODULUS - 1)), tied + 1)
+        near &= ~others
+        at = np.flatnonzero(near)
+        return at[self.left(at) >= LEAST]
 
 
 class Keys:
     """Distinct keys of a block in the order of (bucket, key): what goes to the buckets, and what their answer means."""
 
-    def __init__(self, bucket: np.ndarray, key: np.ndarray) -> None:
-        order = np.lexsort((key, bucket))
+    def __init__(self, bucket: np.ndarray, key: np.ndarray, width: int) -> None:
+        joint = int(bucket.max(initial=0)).bit_length() + 8 * width <= 64
+        whole = bucket.astype(np.uint64) << np.uint64(8 * width) | key if joint else key
+        order = np.argsort(whole)
         b, k = bucket[order], key[order]
+        other = b[1:] != b[:-1]
+        if not joint and (other & (k[1:] == k[:-1])).any():  # one key in two buckets: rare, for it is of the same bytes nearly always
+            order = np.lexsort((bucket, key))
+            b, k = bucket[order], key[order]
+            other = b[1:] != b[:-1]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
+        new[1:] = other | (k[1:] != k[:-1])
+        b, k, place = b[new], k[new], np.cumsum(new) - 1
+        if not joint:
+            by_bucket = np.argsort(b.astype(np.uint16) if int(b.max(initial=0)) < 1 << 16 else b, kind="stable")
+            rank = np.empty(len(b), dtype=np.int64)
+            rank[by_bucket] = np.arange(len(b))
+            b, k, place = b[by_bucket], k[by_bucket], rank[place]
         self.of = np.empty(len(order), dtype=np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        self.bucket, self.key = b[new], k[new]
+        self.of[order] = place
+        self.bucket, self.key = b, k
         self.often = np.bincount(self.of, minlength=len(self.key)) > 1
 
     def rows(self, block_id: int, width: int) -> pd.DataFrame:
@@ -187,18 +213,18 @@ class Search:
 
     def _keys(self, at: np.ndarray, width: int, bits: int) -> Keys:
         bucket = self.block.hashes(at, width, BUCKET_SEED) >> np.uint64(64 - bits)
-        return Keys(bucket.astype(np.int64), self.block.hashes(at, width, KEY_SEED))
+        return Keys(bucket.astype(np.int64), self.block.hashes(at, width, KEY_SEED), KEY_BYTES)
 
     def sample_keys(self) -> Keys:
         self.at = self.block.sample()
         key = self.block.hashes(self.at, SAMPLE, KEY_SEED)
         low = key & np.uint64((1 << 8 * SAMPLE_KEY_BYTES) - 1)
-        return Keys((key >> np.uint64(64 - self.bits[0])).astype(np.int64), low)
+        return Keys((key >> np.uint64(64 - self.bits[0])).astype(np.int64), low, SAMPLE_KEY_BYTES)
 
     def long_keys(self, sample_answer) -> Keys:
         keys = self.sample_keys()
         self.tied = self.at[keys.tied(sample_answer)]
-        self.long = self.tied[self.block.left()[self.tied] >= LONG] if len(self.tied) else self.tied
+        self.long = self.tied[self.block.left(self.tied) >= LONG]
         return self._keys(self.long, LONG, self.bits[1])
 
     def suffix_keys(self, sample_answer, long_answer) -> Keys:
@@ -206,13 +232,13 @@ class Search:
         tied, later = self.long[keys.tied(long_answer)], self.long[keys.later(long_answer)]
         self.settled = self.block.covered(tied, tied + MODULUS)
         others = self.block.covered(later, later + MODULUS)
-        self.open = np.flatnonzero(self.block.candidates(self.tied) & ~others)
+        self.open = self.block.candidates(self.tied, others)
         return self._keys(self.open, LEAST, self.bits[1])
 
     def repeated(self, sample_answer, long_answer, suffix_answer) -> np.ndarray:
         keys = self.suffix_keys(sample_answer, long_answer)
-        tied = self.open[keys.tied(suffix_answer)]
-        return np.concatenate([np.flatnonzero(self.settled), tied])
+        self.settled[self.open[keys.tied(suffix_answer)]] = True
+        return np.flatnonzero(self.settled)
 
 
 def ties(keys: DataFrame, width: int) -> DataFrame:

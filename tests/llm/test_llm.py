@@ -305,6 +305,35 @@ def test_repeated_substrings(spark):
         assert sorted(found, key=str) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("width, most", [(5, 64), (8, 8), (8, 70_000)])
+def test_keys_stand_in_the_order_of_buckets(width, most):
+    """By one sort of whole keys; a key of two buckets, and more buckets than 16 bits count, too."""
+    random = np.random.default_rng(width + most)
+    key = random.integers(0, 2 ** (8 * width), 400, dtype=np.uint64)[random.integers(0, 400, 2000)]
+    bucket = (key % np.uint64(most)).astype(np.int64)
+    bucket[key == key[0]] = random.integers(0, most, np.sum(key == key[0]))
+    keys = suffix_dedup.Keys(bucket, key, width)
+    pairs = list(zip(bucket.tolist(), key.tolist()))
+    assert list(zip(keys.bucket.tolist(), keys.key.tolist())) == sorted(set(pairs))
+    assert [(int(keys.bucket[i]), int(keys.key[i])) for i in keys.of] == pairs
+    often = collections.Counter(pairs)
+    assert keys.often.tolist() == [often[p] > 1 for p in sorted(often)]
+
+
+def test_ranges_and_samples_of_a_block():
+    """Sample places come from the texts' sizes, ranges that touch or overlap are one."""
+    sizes = [0, 67, 68, 500, 0, 133, 201, 0]
+    block = suffix_dedup.Block(bytes(sum(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    wanted = [int(s) + o for s, n in zip(starts, sizes) for o in range(n) if o % 133 in suffix_dedup.COVER and o + 68 <= n]
+    assert block.sample().tolist() == wanted and block.sample().dtype == np.int64
+    first = np.array([0, 5, 10, 40, 41, 960])
+    inside = {i for a in first.tolist() for i in range(a, min(a + 5, 969))}
+    assert set(np.flatnonzero(block.covered(first, np.minimum(first + 5, 969))).tolist()) == inside
+    assert not block.covered(first[:0], first[:0]).any()
+    assert block.left(np.array([0, 66, 67, 968])).tolist() == [67, 1, 68, 1]
+
+
 def test_long_texts_are_put_together():
     random = np.random.default_rng(3)
     for _ in range(50):
