@@ -15,6 +15,8 @@ from tabloom.session import fresh_path, materialize
 
 registry = Registry()
 
+FILE_ROWS = 500_000  # of a file that arrives, so that what a task holds does not grow with the table
+
 _DECIMAL = r"-?\d{1,3}(?:[.,]\d{3})*,\d+|-?\d+[.,]\d+"
 _INT = r"regexp_full_match(t, '-?\d+')"
 _ZERO = r"regexp_full_match(t, '0\d+')"
@@ -76,7 +78,9 @@ def profiles_merged(spark, folder):
     """Each file of a folder is profiled when it arrives; the stored profiles answer for all rows."""
 
     def of_table(name):
-        rows = materialize(frames.text_table(spark, folder, name).repartition(8), "arrived")
+        table = frames.text_table(spark, folder, name)
+        files = max(8, -(-table.count() // FILE_ROWS))  # counted from the file's footer
+        rows = materialize(table.repartition(files), "arrived")
         stored, file = fresh_path(spark, "profiles"), F.col("_metadata.file_name")
         for batch in (0, 1):
             arrived = rows.where(F.crc32(file.cast("binary")) % 2 == batch)

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom import types as hub
+from tabloom.checks import profiles
 from tabloom.operators.profile import column_stats, infer_mapping, merged_stats, native_mapping, part_profiles, preview
+from tabloom.session import materialize
 
 CASES = [
     ("inteiro", ["10"], hub.BIGINT),
@@ -85,3 +87,17 @@ def test_profiles_of_parts_merge_into_the_profile_of_all(text_rows):
     new = part_profiles(df.where("part <> 'a'"), F.col("part"))
     lacking = text_rows(["n", "d", "at"], [(r[1], None, None) if r[0] == "a" else r[1:] for r in rows if r[0]])
     assert by_ordinal(merged_stats(old.unionByName(new), body.columns)) == by_ordinal(column_stats(lacking))
+
+
+def test_files_that_arrive_grow_in_number_not_in_size(spark, monkeypatch):
+    sizes = []
+
+    def files_of(rows, label):
+        sizes.append([r["count"] for r in rows.groupBy(F.spark_partition_id().alias("file")).count().collect()])
+        return materialize(rows, label)
+
+    monkeypatch.setattr(profiles, "materialize", files_of)
+    monkeypatch.setattr(profiles, "FILE_ROWS", 300)
+    profiles.profiles_merged(spark, "/root/testdata/sf0.001")
+    lines, events = sizes
+    assert len(lines) == -(-sum(lines) // 300) > 8 and max(lines) <= 600 and len(events) == 8
