@@ -13,7 +13,7 @@ from tabloom.operators.mapping import apply_mapping
 from tabloom.plans import derived, refresh
 from tabloom.plans.file_load import load_file, load_new_files
 from tabloom.plans.refresh import Source
-from tabloom.session import fresh_path
+from tabloom.session import fresh_path, materialize
 from tabloom.sources import external
 from tabloom.sources.store import TableStore
 from tabloom.types import ColumnSpec
@@ -55,6 +55,12 @@ def _pair(spark, folder):
     return _hashed(_target_text(spark, folder)), _hashed(_file_text(spark, folder))
 
 
+def _stored_pair(spark, folder):
+    """The same, converted and hashed once: for what reads either side more than once."""
+    target, incoming = _pair(spark, folder)
+    return materialize(target, "target"), materialize(incoming, "incoming")
+
+
 def _shown(df):
     return frames.shown(df.drop(hub.ROW_HASH))
 
@@ -95,7 +101,7 @@ def load_upsert(spark, folder):
 )
 def load_delta_precomputed(spark, folder):
     """The sender lists all hashes of one status as removed; of the file only rows the target lacks go in."""
-    target, incoming = _pair(spark, folder)
+    target, incoming = _stored_pair(spark, folder)
     new = incoming.where("o_orderkey < 0 or o_orderstatus = 'P'")
     removed = target.where("o_orderstatus = 'F'").select(hub.ROW_HASH)
     return _shown(load.delta_precomputed(target, new, removed))
@@ -144,7 +150,7 @@ def delta_changes(spark, folder):
 @registry.query("delta_reconciled", _CHANGES)
 def delta_reconciled(spark, folder):
     """The same change set from trees of hash sums and the hashes of those leaves that differ."""
-    target, incoming = _pair(spark, folder)
+    target, incoming = _stored_pair(spark, folder)
     return _told(exchange.reconciled_changes(target, incoming, exchange.tree_depth(target.count())))
 
 
@@ -160,7 +166,7 @@ def delta_prep(spark, folder):
  '1-URGENT' OR o_orderstatus = 'P') c""",
 )
 def load_counts(spark, folder):
-    target, incoming = _pair(spark, folder)
+    target, incoming = _stored_pair(spark, folder)
     changes = load.delta_changes(target, incoming)
     upserted = load.upsert_counts(target, incoming, "o_orderkey").withColumn("mode", F.lit("upsert"))
     delta = load.delta_counts(target, changes).withColumn("mode", F.lit("delta"))

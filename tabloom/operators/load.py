@@ -61,9 +61,10 @@ def new_rows(incoming: DataFrame, changes: DataFrame) -> DataFrame:
 def delta_precomputed(target: DataFrame, new_rows: DataFrame, removed_hashes: DataFrame) -> DataFrame:
     """Delta whose differences the sender worked out: new rows go in, listed hashes go out.
 
-    Both sides lose the listed hashes for themselves, so that no join lies below another one of the target's rows.
+    A new row that the target has, or that is listed, stays out: one join says both.  No join lies below another one.
     """
-    added = keep_by_key(keep_by_key(new_rows, removed_hashes, [ROW_HASH], present=False), target, [ROW_HASH], present=False)
+    known = target.select(ROW_HASH).unionByName(removed_hashes.select(ROW_HASH))
+    added = keep_by_key(new_rows, known, [ROW_HASH], present=False)
     return keep_by_key(target, removed_hashes, [ROW_HASH], present=False).unionByName(added)
 
 

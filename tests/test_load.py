@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom import types as hub
+from tabloom.checks import loads
 from tabloom.operators import load
 from tabloom.operators.mapping import apply_mapping
 from tabloom.operators.skew import keep_by_key, look_up
@@ -291,3 +292,20 @@ def test_random_loads_against_a_model(spark, store, file_of):
         out = store.load("t", raw, MAPPING, mode, f"load-{step}", key="id")
         assert sorted((r.id, r.valor) for r in out.collect()) == sorted(model), (step, mode)
         assert store.versions().orderBy(F.desc("version")).first().row_count == len(model)
+
+
+@pytest.mark.parametrize("name", ["load_delta_precomputed", "load_counts", "delta_reconciled"])
+def test_rows_are_hashed_once(spark, name, capsys):
+    """A side that is read more than once is stored first: no plan converts and hashes its text again."""
+    loads.registry.queries[name](spark, "/root/testdata/sf0.001").explain("extended")
+    assert "md5(" not in capsys.readouterr().out
+
+
+def test_new_rows_meet_target_and_list_in_one_join(spark, monkeypatch):
+    """Neither what the target has nor what is listed goes in; one join for the new rows, one for the target's."""
+    joins = []
+    monkeypatch.setattr(load, "keep_by_key", lambda *a, **b: joins.append(a) or keep_by_key(*a, **b))
+    rows = spark.createDataFrame([(h, n) for n, h in enumerate("abcde")], "row_hash string, n long")
+    removed = spark.createDataFrame([("d",), ("x",)], "row_hash string")
+    out = load.delta_precomputed(rows.where("n < 2"), rows.where("n > 0"), removed)
+    assert sorted(r.row_hash for r in out.collect()) == ["a", "b", "c", "e"] and len(joins) == 2
