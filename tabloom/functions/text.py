@@ -33,8 +33,11 @@ def trimmed(value: Column) -> Column:
 
 
 def left_trimmed(value: Column) -> Column:
-    """The value without blanks at its start: cheap, and enough for patterns that allow blanks at the end."""
-    return F.ltrim(value, F.lit(BLANKS))
+    """The value without blanks at its start: cheap, and enough for patterns that allow blanks at the end.
+
+    A value that starts with a visible ASCII character, as most do, is told by two comparisons and taken as it is.
+    """
+    return F.when((value >= "!") & (value < "\x7f"), value).otherwise(F.ltrim(value, F.lit(BLANKS)))
 
 
 def has_text(value: Column) -> Column:

@@ -34,11 +34,35 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+# Settings that suit these operators.  Conversions of wide tables make long generated methods; beyond 8000 bytecodes the
+# JVM would interpret them, so Spark is told to split the work of such a stage into shorter ones instead.
+RECOMMENDED_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+@contextmanager
+def short_methods(spark: SparkSession):
+    """While a block runs, stages whose generated method the JVM would only interpret are split into shorter methods, as
+    ``RECOMMENDED_CONF`` has it, whatever the session says."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, RECOMMENDED_CONF[key])
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df, label: str):
     """Write a DataFrame once to the shared folder and read it back: its lineage then starts at the files."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    with short_methods(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,18 +72,9 @@ def materialized(df, label: str):
     spark = df.sparkSession
     path = fresh_path(spark, label)
     try:
-        df.write.parquet(path)
+        with short_methods(spark):
+            df.write.parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-# Settings that suit these operators.  Conversions of wide tables make long generated methods; beyond 8000 bytecodes the
-# JVM would interpret them, so Spark is told to split the work of such a stage into shorter ones instead.
-RECOMMENDED_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.codegen.hugeMethodLimit": "8000",
-    "spark.sql.session.timeZone": "UTC",
-}

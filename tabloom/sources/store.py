@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tabloom.operators import load
 from tabloom.operators.mapping import apply_mapping
 from tabloom.operators.skew import keep_by_key
-from tabloom.session import materialized
+from tabloom.session import materialized, short_methods
 from tabloom.sources import file_stats
 from tabloom.types import ROW_HASH, ColumnSpec
 
@@ -207,7 +207,8 @@ class TableStore:
             return self._open(state.newest)
         path = f"{self.root}/{table}/{load_id}"
         sent = Observation()
-        rows.observe(sent, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+        with short_methods(self.spark):  # the rows are converted while they are written
+            rows.observe(sent, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
         held = self._read([path], rows.schema).count()  # from the file footers
         if held != sent.get["n"]:
             raise IntegrityError(f"{table}: {sent.get['n']} rows sent, {held} rows held; version not published")

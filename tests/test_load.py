@@ -1,10 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tabloom import types as hub
 from tabloom.checks import loads
+from tabloom.functions.text import BLANKS, has_text, left_trimmed
 from tabloom.operators import load
 from tabloom.operators.mapping import apply_mapping
 from tabloom.operators.skew import keep_by_key, look_up
@@ -309,3 +311,27 @@ def test_new_rows_meet_target_and_list_in_one_join(spark, monkeypatch):
     removed = spark.createDataFrame([("d",), ("x",)], "row_hash string")
     out = load.delta_precomputed(rows.where("n < 2"), rows.where("n > 0"), removed)
     assert sorted(r.row_hash for r in out.collect()) == ["a", "b", "c", "e"] and len(joins) == 2
+
+
+def test_rows_are_converted_by_short_methods(spark, store, file_of, monkeypatch):
+    """A method beyond 8000 bytecodes is interpreted, which doubles the time of a load; the session is left as it is."""
+    key, seen, write = "spark.sql.codegen.hugeMethodLimit", {}, DataFrameWriter.parquet
+
+    def parquet(writer, path, *a, **b):
+        seen[path.rsplit("/", 1)[1].split("-")[0]] = spark.conf.get(key)
+        return write(writer, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    before = spark.conf.get(key)
+    store.load("t", file_of(range(3)), MAPPING, "replace", "first")
+    store.load("t", file_of(range(4)), MAPPING, "replace", "second")
+    assert [seen[name] for name in ("first", "second", "incoming", "changes")] == ["8000"] * 4
+    assert spark.conf.get(key) == before != "8000"
+
+
+def test_blanks_at_the_start(spark):
+    values = [None, "", " ", "\t x", "\u00a0", "\u00a0é", "\ufeff1", "!", "~ ", "\x7f", "\x1f", "é", " \u3000", "a\u00a0", "\x0b\x0c"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    found = rows.select("v", left_trimmed(F.col("v")).alias("left"), has_text(F.col("v")).alias("text")).collect()
+    assert [r.left for r in found] == [None if v is None else v.lstrip(BLANKS) for v in values]
+    assert [r.text for r in found] == [None if v is None else v.strip(BLANKS) != "" for v in values]
