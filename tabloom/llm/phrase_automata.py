@@ -32,6 +32,8 @@ SAMPLE_TEXTS = 2000
 SAMPLE_PAIRS = 32
 UNION_ROWS = 1_000_000
 FILTER_BITS = (16, 28)
+FILTER_BLOCKS = 8  # as a power of two
+FILTER_HASHES = 1_000_000
 NO_LANG = "und"
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)  # a byte that UTF-8 never has
 _MARK = b"\xff"
@@ -288,26 +290,51 @@ class PairFilter:
 
 
 def pair_filter(pairs: DataFrame) -> PairFilter:
-    """Filter of the pairs (lang, phrase): 16 bits each, 2**28 bits at most, so that the driver never holds more than 32 MB."""
+    """Filter of the pairs (lang, phrase): 16 bits each, 2**28 bits at most.  Tasks put its bits together by blocks, so that the
+    driver gets 256 rows at most, of 32 MB together."""
     low, high = FILTER_BITS
     bits = min(high, max(low, int(np.ceil(np.log2(16 * max(1, pairs.count()))))))
+    within = bits - FILTER_BLOCKS
 
-    def cells(batches):
+    def dealt(hashes):
+        probe = np.unique(np.concatenate(PairFilter.probes(np.concatenate(hashes), bits)))
+        first = np.flatnonzero(np.diff(probe >> within, prepend=-1))
+        places = np.split((probe & ((1 << within) - 1)).astype("<u4"), first[1:])
+        return pd.DataFrame({"block": probe[first] >> within, "places": [x.tobytes() for x in places]})
+
+    def of_pairs(batches):
+        held, n = [], 0
         for batch in batches:
             langs, words = {}, {}
             split = [p.split(" ") for p in batch["phrase"]]
             lang = np.array([langs.setdefault(x, len(langs)) for x in batch["lang"]], dtype=np.int64)
             first = np.array([words.setdefault(p[0], len(words)) for p in split], dtype=np.int64)
             second = np.array([words.setdefault(p[1], len(words)) for p in split], dtype=np.int64)
-            hashes = PairFilter.hashes([x.encode() for x in langs], [x.encode() for x in words], lang, first, second)
-            probe = np.concatenate(PairFilter.probes(hashes, bits))
-            yield pd.DataFrame({"cell": probe >> 6, "mask": (np.uint64(1) << (probe & 63).astype(np.uint64)).view(np.int64)})
-
-    found = pairs.select("lang", "phrase").mapInPandas(cells, "cell long, mask long")
-    found = found.groupBy("cell").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(max(1, 2**bits // 64), dtype=np.uint64)
-    out[found["cell"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64).view(np.uint64)
-    return PairFilter(out)
+            held.append(PairFilter.hashes([x.encode() for x in langs], [x.encode() for x in words], lang, first, second))
+            n += len(batch)
+            if n >= FILTER_HASHES:
+                yield dealt(held)
+                held, n = [], 0
+        if n:
+            yield dealt(held)
+
+    def of_block(batches):
+        blocks = {}
+        for batch in batches:
+            for block, data in zip(batch["block"], batch["places"]):
+                cells = blocks.setdefault(block, np.zeros((1 << within) // 64, dtype=np.uint64))
+                place = np.frombuffer(data, "<u4").astype(np.int64)  # sorted
+                first = np.flatnonzero(np.diff(place >> 6, prepend=-1))
+                cells[place[first] >> 6] |= np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), first)
+        for block, cells in blocks.items():
+            yield pd.DataFrame({"block": [block], "cells": [cells.tobytes()]})
+
+    found = pairs.select("lang", "phrase").mapInPandas(of_pairs, "block int, places binary")
+    found = found.repartition("block").mapInPandas(of_block, "block int, cells binary")
+    out = np.zeros((1 << FILTER_BLOCKS, (1 << within) // 64), dtype=np.uint64)
+    for block, cells in found.collect():
+        out[block] = np.frombuffer(cells, dtype=np.uint64)
+    return PairFilter(out.reshape(-1))
 
 
 def splitters(documents: DataFrame, ranges: int, n: int) -> list[tuple[bytes, bytes, bytes]]:
@@ -334,16 +361,17 @@ def splitters(documents: DataFrame, ranges: int, n: int) -> list[tuple[bytes, by
 
 def pieces(documents: DataFrame, borders: list[tuple[bytes, bytes, bytes]], shard_words: int, known: PairFilter | None) -> DataFrame:
     """(range, automaton): each shard's automaton of words and pairs, or with ``known`` of triples, cut at the borders."""
+    cells = None if known is None else documents.sparkSession.sparkContext.broadcast(known.cells)  # else each task would unpickle them
 
     def of_batches(batches):
         for shard in shards(batches, shard_words):
             langs, words, lang, ids = shard.ranked()
             if not words:
                 continue
-            if known is None:
+            if cells is None:
                 columns, counts, keys = words_and_pairs(lang, ids, len(words))
             else:
-                columns, counts, keys = triples(lang, ids, len(words), known.admits(langs, words))
+                columns, counts, keys = triples(lang, ids, len(words), PairFilter(cells.value).admits(langs, words))
             ends = [0, *np.searchsorted(keys, cuts(langs, words, borders)).tolist(), len(keys)]
             for i, (a, b) in enumerate(zip(ends, ends[1:])):
                 if a < b:

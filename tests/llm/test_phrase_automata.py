@@ -84,3 +84,26 @@ def test_the_filter_never_refuses_a_frequent_pair(spark):
     i = np.arange(1000)
     passes = known.admits(langs, words)(np.zeros(1000, dtype=np.int64), i, 1000 + i % 7)
     assert passes[:500].all() and passes[500:].sum() < 100
+
+
+@pytest.mark.parametrize("hashes", [None, 1000])
+def test_the_filter_reaches_the_driver_in_blocks(spark, hashes, monkeypatch):
+    """A row for each cell of 64 bits, 4 million of them at most, took more memory than the driver has."""
+    if hashes:
+        monkeypatch.setattr(phrase_automata, "FILTER_HASHES", hashes)
+    rows = [(f"l{i % 3}", f"w{i % 977} v{i}") for i in range(40_000)]
+    pairs, got = spark.createDataFrame(rows, "lang string, phrase string").repartition(5), []
+    collect = type(pairs).collect
+    monkeypatch.setattr(type(pairs), "collect", lambda self: got.append(collect(self)) or got[-1])
+    cells = phrase_automata.pair_filter(pairs).cells
+    assert sum(len(x) for x in got) <= 256
+
+    lang, split = [r[0] for r in rows], [r[1].split(" ") for r in rows]
+    langs, words = sorted(set(lang)), sorted({w for p in split for w in p})
+    of_lang, of_word = {x: i for i, x in enumerate(langs)}, {x: i for i, x in enumerate(words)}
+    columns = [np.array([of_lang[x] for x in lang]), *(np.array([of_word[p[k]] for p in split]) for k in (0, 1))]
+    hashed = phrase_automata.PairFilter.hashes([x.encode() for x in langs], [x.encode() for x in words], *columns)
+    bits = np.zeros(2**20, dtype=bool)  # 16 bits a pair
+    for probe in phrase_automata.PairFilter.probes(hashed, 20):
+        bits[probe] = True
+    assert np.array_equal(np.unpackbits(cells.view(np.uint8), bitorder="little"), bits)
