@@ -27,6 +27,7 @@ TOP = 2000
 TOP_BUCKETS = 32
 SHARD_WORDS = 1_000_000
 RANGE_BYTES = 16 << 20
+FRAME_BYTES = 1 << 20
 MAX_RANGES = 20_000
 SAMPLE_TEXTS = 2000
 SAMPLE_PAIRS = 32
@@ -50,16 +51,24 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().translate(_ENDS).replace(_MARK, b" \xff ").split()
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Shard:
     """Words of some texts as numbers; ``ranked`` turns these into ranks of the sorted word list."""
 
     def __init__(self) -> None:
-        self.number, self.langs, self.parts, self.size = {_MARK: 0}, {}, [], 0
+        self.number, self.langs, self.parts, self.size = Numbers({_MARK: 0}), {}, [], 0
 
     def add(self, lang: str | None, words: list[bytes]) -> None:
-        number, known = self.number, self.langs
+        known = self.langs
         of = known.setdefault(NO_LANG if lang is None else lang, len(known))
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
+        ids = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
         self.parts.append((of, ids))
         self.size += len(words)
 
@@ -110,7 +119,7 @@ def _register(symbol: np.ndarray, weight: np.ndarray, target: np.ndarray, bounds
     else:
         first, back = np.arange(len(single)), np.arange(len(single))
     state[single] = back + 1
-    kept, register = [at[first]], {}
+    register, lows = {}, []
     table = np.stack([symbol, weight, target], axis=1)
     several = []
     for i in np.flatnonzero(lengths > 1).tolist():
@@ -119,10 +128,13 @@ def _register(symbol: np.ndarray, weight: np.ndarray, target: np.ndarray, bounds
         if key not in register:
             register[key] = len(first) + len(register) + 1
             several.append(high - low)
-            kept.append(np.arange(low, high))
+            lows.append(low)
         state[i] = register[key]
-    kept = np.concatenate(kept).astype(np.int64)
-    sizes = np.concatenate([np.ones(len(first), dtype=np.int64), np.array(several, dtype=np.int64)])
+    several = np.array(several, dtype=np.int64)
+    ends = np.cumsum(several)
+    rest = np.arange(several.sum()) + np.repeat(np.array(lows, dtype=np.int64) - ends + several, several)
+    kept = np.concatenate([at[first], rest]).astype(np.int64)
+    sizes = np.concatenate([np.ones(len(first), dtype=np.int64), several])
     return state, [sizes, symbol[kept], weight[kept], target[kept]]
 
 
@@ -196,7 +208,7 @@ def serialised(langs: list[bytes], words: list[bytes], columns: list[np.ndarray]
     used = used[used >= 0]
     columns = [np.searchsorted(used_langs, columns[0])] + [np.where(c < 0, -1, np.searchsorted(used, c)) for c in columns[1:]]
     names = [langs[i] for i in used_langs.tolist()] + [words[i] for i in used.tolist()]
-    head = packed_arrays([np.array([len(used_langs)]), np.array([len(x) for x in names])])
+    head = packed_arrays([np.array([len(used_langs)]), np.fromiter(map(len, names), dtype=np.int64, count=len(names))])
     body = packed_arrays(built(columns, counts))
     return np.array([len(head), len(body)], dtype="<i4").tobytes() + head + body + b"".join(names)
 
@@ -373,9 +385,14 @@ def pieces(documents: DataFrame, borders: list[tuple[bytes, bytes, bytes]], shar
             else:
                 columns, counts, keys = triples(lang, ids, len(words), PairFilter(cells.value).admits(langs, words))
             ends = [0, *np.searchsorted(keys, cuts(langs, words, borders)).tolist(), len(keys)]
+            held, size = [], 0
             for i, (a, b) in enumerate(zip(ends, ends[1:])):
                 if a < b:
-                    yield pd.DataFrame({"range": [i], "automaton": [serialised(langs, words, [c[a:b] for c in columns], counts[a:b])]})
+                    held.append((i, serialised(langs, words, [c[a:b] for c in columns], counts[a:b])))
+                    size += len(held[-1][1])
+                if held and (size >= FRAME_BYTES or i == len(ends) - 2):  # a batch for each piece would cost more than the piece
+                    yield pd.DataFrame(held, columns=["range", "automaton"])
+                    held, size = [], 0
 
     return documents.select("lang", "text").mapInPandas(of_batches, "range int, automaton binary")
 

@@ -107,3 +107,13 @@ def test_the_filter_reaches_the_driver_in_blocks(spark, hashes, monkeypatch):
     for probe in phrase_automata.PairFilter.probes(hashed, 20):
         bits[probe] = True
     assert np.array_equal(np.unpackbits(cells.view(np.uint8), bitorder="little"), bits)
+
+
+def test_pieces_are_the_same_however_they_are_put_into_batches(spark, monkeypatch):
+    docs = spark.createDataFrame(TEXTS, "lang string, text string").repartition(2)
+    borders = [(b"de", b"b", b""), (b"en", b"be", b"or"), (b"en", b"or", b""), (b"fr", b"quatre", b"un")]
+    found = []
+    for size in (1, 200, phrase_automata.FRAME_BYTES):
+        monkeypatch.setattr(phrase_automata, "FRAME_BYTES", size)
+        found.append(sorted((r[0], bytes(r[1])) for r in phrase_automata.pieces(docs, borders, 20, None).collect()))
+    assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == set(range(5))
